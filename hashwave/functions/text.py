@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The two size markers in profile image addresses.
+# What a hashtag in a text looks like, and the two size markers in profile image
+# addresses.
+HASHTAG = r"(?<![^ ])#([^ ]+)"
 SMALL_IMAGE = "_normal"
 LARGE_IMAGE = "_400x400"
 
@@ -18,8 +20,7 @@ def text_hashtags(text: Column) -> Column:
     Words are separated by single spaces only; a hashtag is a word that starts with ``#`` and
     has something after that one mark. So ``#a,`` keeps its comma and ``##a`` gives ``#a``.
     """
-    words = F.filter(F.split(text, " "), lambda w: F.startswith(w, F.lit("#")) & (F.length(w) > 1))
-    return F.transform(words, lambda w: F.substr(w, F.lit(2)))
+    return F.regexp_extract_all(text, F.lit(HASHTAG), F.lit(1))
 
 
 def entity_hashtags(entities: Column) -> Column:

@@ -12,8 +12,7 @@ from hashwave.functions.timing import (
     LIVE_LABEL,
     LIVE_SLICE,
     colour_icon,
-    legend_entries,
-    legend_slices,
+    legend_steps,
     slice_colour,
     time_slice,
     timebucket,
@@ -125,10 +124,10 @@ def with_slices(geo: DataFrame, ranges: DataFrame) -> DataFrame:
     in one task; a skewed join partition is split at run time.
     """
     placed = geo.join(ranges, "hashtag").withColumn(
-        "slice", time_slice(F.col("timebucket"), F.col("oldest"), F.col("newest"))
+        "slice", time_slice("timebucket", "oldest", "newest")
     )
-    coloured = placed.withColumn("colour", slice_colour(F.col("slice")))
-    return coloured.withColumn("icon", colour_icon(F.col("colour")))
+    coloured = placed.withColumn("colour", slice_colour("slice"))
+    return coloured.withColumn("icon", colour_icon("colour"))
 
 
 def hashtag_slices(geo: DataFrame) -> DataFrame:
@@ -136,19 +135,16 @@ def hashtag_slices(geo: DataFrame) -> DataFrame:
 
 
 def with_legend(ranges: DataFrame) -> DataFrame:
-    """Ranges (oldest, newest) with their six legend rows in an array column."""
-    slices = legend_slices(F.col("oldest"), F.col("newest"))
-    return (
-        ranges.withColumn("_slices", slices)
-        .withColumn("legend", legend_entries(F.col("_slices")))
-        .drop("_slices")
-    )
+    """Ranges (oldest, newest) with their six legend rows as an array column."""
+    steps, legend = legend_steps(ranges)
+    return steps.select(*ranges.columns, legend.alias("legend"))
 
 
 def trend_legend(ranges: DataFrame) -> DataFrame:
     """Six legend rows per range."""
-    entry = with_legend(ranges).select("hashtag", F.explode("legend").alias("entry"))
-    return entry.select("hashtag", "entry.*")
+    # Exploded as an expression: from a column, Spark would repeat it in a filter on its size.
+    steps, legend = legend_steps(ranges)
+    return steps.select("hashtag", F.inline(legend))
 
 
 def trend_map(sliced: DataFrame, live: DataFrame) -> DataFrame:

@@ -75,29 +75,27 @@ def _average(posts: Column, reshares: Column) -> Column:
     return (F.coalesce(reshares, F.lit(0)).cast("double") / posts).alias("avg_retweets")
 
 
-def _items(metric: str) -> Column:
-    none = F.lit(None).cast("bigint")
-    return F.transform(
-        F.col(metric), lambda item, pos: _item(F.lit(metric), item, pos.cast("bigint"), none)
-    )
-
-
-def _item(metric: Column, item: Column, pos: Column, score: Column) -> Column:
-    return F.struct(
-        metric.alias("metric"), item.alias("item"), pos.alias("pos"), score.alias("score")
-    )
+def _items(metrics: list[str], score: bool = False) -> Column:
+    """The countable items of a post as one array, with the post's own score in front if wanted."""
+    lists = [
+        f"""transform({metric}, (item, pos) -> struct(
+                '{metric}' AS metric, item, bigint(pos) AS pos, CAST(NULL AS bigint) AS score))"""
+        for metric in metrics
+    ]
+    if score:
+        own = "coalesce(retweet_count, 0L)"
+        lists.insert(
+            0, f"array(struct('{_SCORE}' AS metric, CAST(NULL AS string) AS item, 0L AS pos, {own} AS score))"
+        )
+    return F.expr(f"concat({', '.join(lists)})")
 
 
 def _count_items(tl: DataFrame, items: Column) -> DataFrame:
-    rows = tl.select("user_handle", "rn", F.explode(items).alias("i")).select(
-        "user_handle", "rn", "i.*"
-    )
+    rows = tl.select("user_handle", "rn", F.inline(items))
     # Post number and position within the post in one sortable number.
-    seen = F.shiftleft(F.col("rn").cast("bigint"), 32).bitwiseOR(F.col("pos"))
+    seen = F.expr("min(shiftleft(bigint(rn), 32) | pos)")
     return rows.groupBy("user_handle", "metric", "item").agg(
-        F.count("*").alias("count"),
-        F.min(seen).alias("first_seen"),
-        F.sum("score").alias("score"),
+        F.count("*").alias("count"), seen.alias("first_seen"), F.sum("score").alias("score")
     )
 
 
@@ -106,8 +104,7 @@ def item_counts(tl: DataFrame, metrics: list[str] | None = None) -> DataFrame:
 
     A timeline is already partitioned by user and bounded per user, so nothing here shuffles.
     """
-    items = F.concat(*[_items(metric) for metric in metrics or COUNTED_METRICS])
-    return _count_items(tl, items).drop("score")
+    return _count_items(tl, _items(metrics or list(COUNTED_METRICS))).drop("score")
 
 
 def _single(tl: DataFrame, metric: str) -> DataFrame:
@@ -154,23 +151,17 @@ def user_analytics(tl: DataFrame, n: int = 15) -> DataFrame:
     Everything is counted in one pass over the timeline, whose partitioning by user serves every
     later step.
     """
-    none = F.lit(None).cast("string")
-    score = F.coalesce(F.col("retweet_count"), F.lit(0))
-    average = F.array(_item(F.lit(_SCORE), none, F.lit(0).cast("bigint"), score))
-    counts = _count_items(tl, F.concat(average, *map(_items, COUNTED_METRICS)))
-    top = top_n(counts, n)
+    top = top_n(_count_items(tl, _items(list(COUNTED_METRICS), score=True)), n)
 
     def listed(metric: str) -> Column:
         field, name = COUNTED_METRICS[metric]
-        entry = F.struct("rank", "item", "count")
-        ranked = F.sort_array(F.collect_list(F.when(F.col("metric") == metric, entry)))
-        named = F.transform(ranked, lambda e: F.struct(e["item"].alias(name), e["count"]))
-        return named.alias(field)
+        entries = f"collect_list(struct(rank, item, count)) FILTER (WHERE metric = '{metric}')"
+        named = f"transform(sort_array({entries}), e -> struct(e.item AS {name}, e.count))"
+        return F.expr(named).alias(field)
 
-    of_score = F.col("metric") == _SCORE
+    average = F.expr(f"max(double(score) / count) FILTER (WHERE metric = '{_SCORE}')")
     return top.groupBy("user_handle").agg(
-        F.max(F.when(of_score, F.col("score").cast("double") / F.col("count"))).alias(AVERAGE_FIELD),
-        *[listed(metric) for metric in COUNTED_METRICS],
+        average.alias(AVERAGE_FIELD), *map(listed, COUNTED_METRICS)
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashwave.functions.text import avatar_url, normalise_handle
-from hashwave.functions.timing import humanize_seconds
+from hashwave.functions.timing import UNIT_SECONDS, humanize_seconds
 from hashwave.operators import filters, geo, influence, lookups, users
 from hashwave.plans import influencers as influencer_plans
 from hashwave.plans import trends, users as user_plans
@@ -183,12 +183,11 @@ def _legend_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def duration_labels(spark, sf_dir):
-    length = (F.col("newest") - F.col("oldest")) / 7
-    units = ["sec", "minute", "hr", "day"]
-    return _legend_ranges(spark, sf_dir).select(
+    ranges = _legend_ranges(spark, sf_dir)
+    return ranges.withColumn("length", (F.col("newest") - F.col("oldest")) / 7).select(
         "hashtag",
-        humanize_seconds(length).alias("auto_label"),
-        *[humanize_seconds(length, unit).alias(f"{unit}_label") for unit in units],
+        humanize_seconds("length").alias("auto_label"),
+        *[humanize_seconds("length", unit).alias(f"{unit}_label") for unit in UNIT_SECONDS],
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashwave.schemas import TWEET
@@ -11,98 +11,58 @@ EVENT_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
 
-
-def _either(condition: Column, value: Column) -> Column:
-    return F.when(condition, value)
-
-
-def _part(condition: Column, *text: Column | str) -> Column:
-    pieces = [F.lit(t) if isinstance(t, str) else t for t in text]
-    return F.when(condition, F.concat(*pieces)).otherwise(F.lit(""))
-
-
-def _handle(number: Column) -> Column:
-    return F.concat(F.lit("user"), number.cast("string"))
+# Facts of a post that several columns use, each from the ones above it.
+_FACTS = {
+    # The properties read {"k": n}. A pattern, as the rule is used by many filters at once.
+    "k": r"""int(regexp_extract(props, '"k": *([0-9]+)', 1))""",
+    "original": """CASE WHEN event_type IN ('click', 'purchase')
+                        THEN 'user' || (user_id + k) % 25 END""",
+    "tag1": """CASE WHEN k % 10 != 7
+                    THEN CASE WHEN k % 2 = 0 THEN event_type ELSE upper(event_type) END END""",
+    "tag2": "CASE WHEN k % 3 = 0 THEN 'k' || k % 10 END",
+    "mention1": "CASE WHEN k % 2 = 1 THEN 'user' || (user_id * 7 + k) % 150 END",
+    "mention2": "CASE WHEN k % 5 = 0 THEN 'user' || k % 20 END",
+}
+
+_COLUMNS = {
+    "id": "event_id",
+    "created_at": "timestamp(ts)",
+    "text": r"""concat(
+        CASE WHEN original IS NOT NULL THEN 'RT @' || original || ': ' ELSE '' END,
+        'hello',
+        CASE WHEN tag1 IS NOT NULL THEN ' #' || tag1 ELSE '' END,
+        CASE WHEN tag2 IS NOT NULL THEN '  #' || tag2 ELSE '' END,
+        CASE WHEN k % 11 = 0 THEN ' #' || event_type ELSE '' END,
+        CASE WHEN k % 13 = 0 THEN ' # ##dbl' ELSE '' END,
+        CASE WHEN k % 17 = 0 THEN '\n#glued' ELSE '' END,
+        CASE WHEN k % 7 = 0 THEN ' #comma,' ELSE '' END,
+        ' ')""",
+    "retweet_count": "bigint(floor(value))",
+    "user": "struct(user_id AS id, 'user' || user_id AS screen_name)",
+    "in_reply_to_screen_name": "CASE WHEN event_type = 'view' THEN ' user' || k % 30 || ' ' END",
+    "coordinates": """CASE WHEN k % 6 = 0 THEN struct(array(
+        double((event_id * 13) % 360 - 180), double((event_id * 7) % 180 - 90)) AS coordinates) END""",
+    "place": """CASE WHEN k % 4 != 0 THEN struct(
+        n_name AS full_name,
+        struct(array(array(array(
+            double((user_id * 37) % 360 - 180) + 0.5D, double((user_id * 17) % 180 - 90) + 0.25D
+        ))) AS coordinates) AS bounding_box) END""",
+    "entities": """struct(
+        transform(filter(array(tag1, tag2), t -> t IS NOT NULL), t -> struct(t AS text)) AS hashtags,
+        transform(filter(array(mention1, mention2), m -> m IS NOT NULL),
+                  m -> struct(m AS screen_name)) AS user_mentions)""",
+    "retweeted_status": """CASE WHEN original IS NOT NULL THEN struct(
+        CAST(NULL AS bigint) AS id, struct(original AS screen_name) AS user) END""",
+}
 
 
 def tweets_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
     """One post per event; works on tables and on streams."""
-    k = F.col("k")
-    event_type, event_id, user = F.col("event_type"), F.col("event_id"), F.col("user_id")
-    facts = (
-        events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-        .join(
-            nation.select("n_nationkey", "n_name"),
-            F.col("user_id") % 25 == F.col("n_nationkey"),
-            "left",
-        )
-        .withColumn("is_reshare", event_type.isin("click", "purchase"))
-        .withColumn("original", _either(F.col("is_reshare"), _handle((user + k) % 25)))
-        .withColumn(
-            "tag1",
-            _either(k % 10 != 7, F.when(k % 2 == 0, event_type).otherwise(F.upper(event_type))),
-        )
-        .withColumn("tag2", _either(k % 3 == 0, F.concat(F.lit("k"), (k % 10).cast("string"))))
-        .withColumn("mention1", _either(k % 2 == 1, _handle((user * 7 + k) % 150)))
-        .withColumn("mention2", _either(k % 5 == 0, _handle(k % 20)))
-    )
-    text = F.concat(
-        _part(F.col("is_reshare"), "RT @", F.col("original"), ": "),
-        F.lit("hello"),
-        _part(F.col("tag1").isNotNull(), " #", F.col("tag1")),
-        _part(F.col("tag2").isNotNull(), "  #", F.col("tag2")),
-        _part(k % 11 == 0, " #", event_type),
-        _part(k % 13 == 0, " # ##dbl"),
-        _part(k % 17 == 0, "\n#glued"),
-        _part(k % 7 == 0, " #comma,"),
-        F.lit(" "),
-    )
-    corner = F.array(
-        ((user * 37) % 360 - 180).cast("double") + 0.5,
-        ((user * 17) % 180 - 90).cast("double") + 0.25,
-    )
-    exact = F.array(
-        ((event_id * 13) % 360 - 180).cast("double"), ((event_id * 7) % 180 - 90).cast("double")
-    )
-
-    def present(*columns: str) -> Column:
-        return F.filter(F.array(*columns), lambda item: item.isNotNull())
-
-    columns = {
-        "id": event_id,
-        "created_at": F.col("ts").cast("timestamp"),
-        "text": text,
-        "retweet_count": F.floor("value").cast("bigint"),
-        "user": F.struct(user.alias("id"), _handle(user).alias("screen_name")),
-        "in_reply_to_screen_name": _either(
-            event_type == "view",
-            F.concat(F.lit(" "), _handle(k % 30), F.lit(" ")),
-        ),
-        "coordinates": _either(k % 6 == 0, F.struct(exact.alias("coordinates"))),
-        "place": _either(
-            k % 4 != 0,
-            F.struct(
-                F.col("n_name").alias("full_name"),
-                F.struct(F.array(F.array(corner)).alias("coordinates")).alias("bounding_box"),
-            ),
-        ),
-        "entities": F.struct(
-            F.transform(present("tag1", "tag2"), lambda t: F.struct(t.alias("text"))).alias(
-                "hashtags"
-            ),
-            F.transform(
-                present("mention1", "mention2"), lambda m: F.struct(m.alias("screen_name"))
-            ).alias("user_mentions"),
-        ),
-        "retweeted_status": _either(
-            F.col("is_reshare"),
-            F.struct(
-                F.lit(None).cast("bigint").alias("id"),
-                F.struct(F.col("original").alias("screen_name")).alias("user"),
-            ),
-        ),
-    }
-    return facts.select(*[columns[name].alias(name) for name in TWEET.fieldNames()])
+    places = nation.selectExpr("n_nationkey", "n_name")
+    facts = events.join(places, F.expr("user_id % 25 = n_nationkey"), "left")
+    facts = facts.withColumn("k", F.expr(_FACTS["k"]))
+    facts = facts.withColumns({name: F.expr(rule) for name, rule in _FACTS.items() if name != "k"})
+    return facts.selectExpr(*[f"{_COLUMNS[name]} AS {name}" for name in TWEET.fieldNames()])
 
 
 def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,18 +79,12 @@ def stream_event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of most users; some are left out so that joins meet missing ones."""
-    key = F.col("c_custkey")
-    suffix = F.when(key % 10 == 0, ".png").otherwise("_normal.png")
-    return (
-        spark.read.parquet(f"{sf_dir}/customer.parquet")
-        .where(key % 7 != 3)
-        .select(
-            _handle(key).alias("screen_name"),
-            F.concat(F.lit("http://img.example.com/"), key.cast("string"), suffix).alias(
-                "profile_image_url"
-            ),
-            F.col("c_mktsegment").alias("description"),
-            F.floor("c_acctbal").cast("bigint").alias("followers_count"),
-            F.col("c_nationkey").cast("bigint").alias("friends_count"),
-        )
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 != 3")
+    return customers.selectExpr(
+        "'user' || c_custkey AS screen_name",
+        """'http://img.example.com/' || c_custkey
+           || CASE WHEN c_custkey % 10 = 0 THEN '.png' ELSE '_normal.png' END AS profile_image_url""",
+        "c_mktsegment AS description",
+        "bigint(floor(c_acctbal)) AS followers_count",
+        "bigint(c_nationkey) AS friends_count",
     )

@@ -18,6 +18,7 @@ from hashwave.functions.timing import (
     timebucket,
 )
 from hashwave.operators.filters import complete_rows, located, with_place
+from hashwave.operators.joins import splittable_join
 
 
 def geo_uses(tweets: DataFrame) -> DataFrame:
@@ -66,6 +67,7 @@ def hashtag_points(uses: DataFrame, bucket: str, points_per_row: int = 10_000) -
 
     A group of more than ``points_per_row`` points is spread over several rows, numbered by
     ``part``, so no row and no task holds a hot hashtag whole. Nothing is left out.
+    :func:`point_rows` has the same points without any shuffle.
     """
     rows = point_rows(uses, bucket)
     key = ["hashtag", "timebucket"]
@@ -78,8 +80,10 @@ def hashtag_points(uses: DataFrame, bucket: str, points_per_row: int = 10_000) -
     digest = F.substring(F.md5(F.concat_ws(":", "id", "pos").cast("binary")), 1, 8)
     spread = F.pmod(F.conv(digest, 16, 10).cast("bigint"), F.col("parts"))
     return (
-        rows.join(large, key, "left")
+        splittable_join(rows, large, key, "left")
         .withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(spread))
+        # Otherwise the groups would be built where the join left them, all parts in one task.
+        .repartition(*key, "part")
         .groupBy(*key, "part")
         .agg(
             F.count("*").alias("uses"),
@@ -121,9 +125,9 @@ def with_slices(geo: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each point with the range of its hashtag, its slice of that range, and the slice's colour.
 
     The range is joined back rather than taken over a window, which would gather a hot hashtag
-    in one task; a skewed join partition is split at run time.
+    in one task.
     """
-    placed = geo.join(ranges, "hashtag").withColumn(
+    placed = splittable_join(geo, ranges, ["hashtag"]).withColumn(
         "slice", time_slice("timebucket", "oldest", "newest")
     )
     coloured = placed.withColumn("colour", slice_colour("slice"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashwave.functions.text import normalise_tag
+from hashwave.operators.joins import splittable_join
 
 
-def _keywords(spark, keywords: list[str] | DataFrame) -> DataFrame:
+def _keywords(spark: SparkSession, keywords: list[str] | DataFrame) -> DataFrame:
     if isinstance(keywords, DataFrame):
         return keywords.select(normalise_tag(F.col("keyword")).alias("hashtag")).distinct()
     rows = [(word.lower(),) for word in dict.fromkeys(keywords)]
@@ -21,7 +22,8 @@ def lookup_hashtag(table: DataFrame, keywords: list[str] | DataFrame) -> DataFra
     A list becomes a filter the Parquet scan can skip row groups by; a DataFrame a semi join.
     """
     if isinstance(keywords, DataFrame):
-        return table.join(_keywords(table.sparkSession, keywords), "hashtag", "left_semi")
+        wanted = _keywords(table.sparkSession, keywords)
+        return splittable_join(table, wanted, ["hashtag"], "left_semi")
     return table.where(F.col("hashtag").isin([word.lower() for word in keywords]))
 
 
@@ -34,7 +36,10 @@ def lookup_hashtag_user(table: DataFrame, pairs: DataFrame) -> DataFrame:
 def keyword_status(trend: DataFrame, keywords: list[str] | DataFrame) -> DataFrame:
     """For each keyword, whether the trend has any row, and how many."""
     wanted = _keywords(trend.sparkSession, keywords)
-    found = lookup_hashtag(trend, keywords).groupBy("hashtag").agg(F.count("*").alias("rows"))
+    if not isinstance(keywords, DataFrame):
+        trend = lookup_hashtag(trend, keywords)
+    # Counted before the join, so a hot hashtag meets it as one row per task.
+    found = trend.groupBy("hashtag").agg(F.count("*").alias("rows"))
     return wanted.join(found, "hashtag", "left").select(
         "hashtag",
         F.coalesce("rows", F.lit(0)).alias("rows"),

@@ -50,17 +50,11 @@ def for_handles(posts: DataFrame, handles: list[str] | None) -> DataFrame:
 
 
 def timeline(
-    posts: DataFrame, page_size: int = 200, pages: int = 3, salts: int | None = None
+    posts: DataFrame, page_size: int = 200, pages: int = 3, parts: int | None = None
 ) -> DataFrame:
     """Each user's newest posts, numbered and paged."""
     newest = top_per_key_wide(
-        posts,
-        ["user_handle"],
-        [F.col("id").desc()],
-        page_size * pages,
-        spread_by="id",
-        rank="rn",
-        salts=salts,
+        posts, ["user_handle"], [F.col("id").desc()], page_size * pages, "rn", parts
     )
     page = F.floor((F.col("rn") - 1) / page_size) + 1
     return newest.withColumn("page", page.cast("int"))

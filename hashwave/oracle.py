@@ -392,6 +392,18 @@ def oracle_sql() -> dict[str, str]:
             + ", ".join(f"('{word.lower()}')" for word in q.KEYWORDS)
             + ") as k(hashtag)",
         ),
+        "hashtag_trend_table": _trend(
+            "select * from trend where hashtag in (select lower(event_type) from events)"
+        ),
+        "keyword_status_table": _with(
+            """
+            select k.hashtag, count(g.hashtag) as rows, count(g.hashtag) > 0 as has_data
+            from keywords k left join geo g on g.hashtag = k.hashtag group by k.hashtag
+            """,
+            "geo",
+            keywords="""select lower(n_name) as hashtag from nation
+                        union select lower(event_type) from events""",
+        ),
         "lookup_hashtag": _with(
             """
             select * from geo where hashtag in (

@@ -9,27 +9,38 @@ from hashwave.operators import geo as ops
 from hashwave.operators.lookups import lookup_hashtag
 
 
-def hashtag_trend(geo: DataFrame, keywords: list[str] | DataFrame | None = None) -> DataFrame:
-    """Every recorded point of the hashtags with its slice, colour, legend label and JSON form."""
-    if keywords is not None:
+Keywords = list[str] | DataFrame | None
+
+
+def _points_and_ranges(geo: DataFrame, keywords: Keywords) -> tuple[DataFrame, DataFrame]:
+    """Points, and the time range of every wanted hashtag.
+
+    Listed keywords filter the scan. Keywords from a table pick ranges, which are one row per
+    hashtag; the points meet them only in the join that attaches the range.
+    """
+    if isinstance(keywords, list):
         geo = lookup_hashtag(geo, keywords)
-    ranges = ops.with_legend(ops.hashtag_time_range(geo))
-    sliced = ops.with_slices(geo, ranges)
-    label = F.get(F.col("legend"), F.col("slice") - 1)["name"]
+    ranges = ops.hashtag_time_range(geo)
+    if isinstance(keywords, DataFrame):
+        ranges = lookup_hashtag(ranges, keywords)
+    return geo, ranges
+
+
+def hashtag_trend(geo: DataFrame, keywords: Keywords = None) -> DataFrame:
+    """Every recorded point of the hashtags with its slice, colour, legend label and JSON form."""
+    points, ranges = _points_and_ranges(geo, keywords)
+    sliced = ops.with_slices(points, ops.with_legend(ranges))
+    label = F.expr("get(legend, slice - 1).name")
     point = F.to_json(F.struct("timebucket", "lat", "lng"))
     return sliced.withColumn("label", label).withColumn("point", point).drop("legend")
 
 
-def hashtag_legend(geo: DataFrame, keywords: list[str] | DataFrame | None = None) -> DataFrame:
+def hashtag_legend(geo: DataFrame, keywords: Keywords = None) -> DataFrame:
     """The legend rows that go with :func:`hashtag_trend`."""
-    if keywords is not None:
-        geo = lookup_hashtag(geo, keywords)
-    return ops.trend_legend(ops.hashtag_time_range(geo))
+    return ops.trend_legend(_points_and_ranges(geo, keywords)[1])
 
 
-def live_trend(
-    geo: DataFrame, live: DataFrame, keywords: list[str] | DataFrame | None = None
-) -> DataFrame:
+def live_trend(geo: DataFrame, live: DataFrame, keywords: Keywords = None) -> DataFrame:
     """Recorded points and live points on one map."""
     if keywords is not None:
         live = lookup_hashtag(live, keywords)

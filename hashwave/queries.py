@@ -219,11 +219,27 @@ def keyword_status(spark, sf_dir):
 
 @query
 def lookup_hashtag(spark, sf_dir):
-    """Keywords from a table: the tag of every nation's name and of every event type."""
+    return lookups.lookup_hashtag(_geo_trend(spark, sf_dir), _table_keywords(spark, sf_dir))
+
+
+def _table_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("keyword"))
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    types = events.select(F.upper("event_type").alias("keyword"))
-    return lookups.lookup_hashtag(_geo_trend(spark, sf_dir), names.unionByName(types))
+    return names.unionByName(events.select(F.upper("event_type").alias("keyword")))
+
+
+@query
+def hashtag_trend_table(spark, sf_dir):
+    """Keywords from a table: the different kinds of events."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    wanted = events.select(F.upper("event_type").alias("keyword"))
+    return trends.hashtag_trend(_geo_trend(spark, sf_dir), wanted)
+
+
+@query
+def keyword_status_table(spark, sf_dir):
+    """Keywords from a table: names of nations, which nobody tags, and kinds of events."""
+    return lookups.keyword_status(_geo_trend(spark, sf_dir), _table_keywords(spark, sf_dir))
 
 
 @query

@@ -67,11 +67,10 @@ def backfill_influencers(spark: SparkSession, path: str) -> DataFrame:
 
 def _write(lines: DataFrame, path: str, suffix: str) -> None:
     batch = F.format_string(f"-%d000.{suffix}", F.col("timebucket"))
-    # Splitting by the record as well keeps a large batch from being written by one task.
-    spread = F.pmod(F.xxhash64("value"), F.lit(4))
+    # Gathers small batches into few files and splits a large one over several tasks.
     (
         lines.select(batch.alias("batch"), "value")
-        .repartition("batch", spread)
+        .hint("rebalance", "batch")
         .write.partitionBy("batch")
         .mode("overwrite")
         .text(path)
@@ -81,7 +80,6 @@ def _write(lines: DataFrame, path: str, suffix: str) -> None:
 def dump_geo(groups: DataFrame, path: str, suffix: str = "geo") -> None:
     """Write grouped points in the geo dump format."""
 
-
     def point(p: Column) -> Column:
         day = F.get(F.array(*map(F.lit, WEEKDAYS)), F.weekday(p["ts"]))
         date = F.concat_ws(" ", day, F.date_format(p["ts"], POINT_DATE))
@@ -94,8 +92,5 @@ def dump_geo(groups: DataFrame, path: str, suffix: str = "geo") -> None:
 
 def dump_influencers(counts: DataFrame, path: str, suffix: str = "counts") -> None:
     """Write counts in the influencer dump format."""
-    line = F.concat(
-        F.lit("(("), "hashtag", F.lit(","), "user_handle", F.lit("),"),
-        F.col("count").cast("string"), F.lit(")"),
-    )
+    line = F.format_string("((%s,%s),%d)", "hashtag", "user_handle", "count")
     _write(counts.select("timebucket", line.alias("value")), path, suffix)

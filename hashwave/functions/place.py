@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: west, south, east, north of the box the live feed covers.
+WORLD_BOX = (-179.9, -89.9, 179.9, 89.9)
+
 
 def _lat_lng(lng_lat: Column) -> tuple[Column, Column]:
     return F.get(lng_lat, F.lit(1)), F.get(lng_lat, F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashwave.functions.place import in_box
+from hashwave.functions.place import WORLD_BOX, in_box
 
 
 def posts_only(messages: DataFrame) -> DataFrame:
@@ -31,7 +31,11 @@ def complete_rows(trend: DataFrame) -> DataFrame:
 
 
 def bbox_filter(
-    points: DataFrame, west: float, south: float, east: float, north: float
+    points: DataFrame,
+    west: float = WORLD_BOX[0],
+    south: float = WORLD_BOX[1],
+    east: float = WORLD_BOX[2],
+    north: float = WORLD_BOX[3],
 ) -> DataFrame:
     """Points inside a longitude/latitude box, edges included."""
     return points.where(in_box(F.col("lat"), F.col("lng"), west, south, east, north))

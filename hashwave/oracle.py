@@ -350,6 +350,11 @@ def oracle_sql() -> dict[str, str]:
                 where lng between {_WEST} and {_EAST} and lat between {_SOUTH} and {_NORTH}""",
             "live",
         ),
+        "geo_points_world": _with(
+            """select id, pos, hashtag, lat, lng from live
+               where lng between -179.9 and 179.9 and lat between -89.9 and 89.9""",
+            "live",
+        ),
         "point_rows": _with(
             f"""select hashtag, {_bucket_end(1)} as timebucket, id, pos,
                        floor(epoch(created_at))::bigint as ts, lat, lng from uses""",
@@ -496,6 +501,7 @@ def oracle_sql() -> dict[str, str]:
             "reshares",
         ),
         "stream_running": _with("select * from totals", "totals"),
+        "stream_accumulate": _with("select * from totals", "totals"),
         "stream_live": _with("select hashtag, lat, lng, id, pos from live", "live"),
         "stream_live_messages": _with(
             """select hashtag as key, to_json({'lat': lat, 'lng': lng})::varchar as value

@@ -106,6 +106,12 @@ def geo_points(spark, sf_dir):
     return filters.bbox_filter(points, *BOX).select("id", "pos", "hashtag", "lat", "lng")
 
 
+@query
+def geo_points_world(spark, sf_dir):
+    points = geo.live_points(event_posts(spark, sf_dir))
+    return filters.bbox_filter(points).select("id", "pos", "hashtag", "lat", "lng")
+
+
 @query
 def point_rows(spark, sf_dir):
     rows = geo.point_rows(_geo_uses(spark, sf_dir), "1 second")
@@ -409,6 +415,15 @@ def stream_running(spark, sf_dir):
     return sinks.read_totals(spark, f"{path}/table")
 
 
+@query
+def stream_accumulate(spark, sf_dir):
+    path = shared_dir(spark, "stream-accumulate")
+    posts = stream_event_posts(spark, sf_dir)
+    sinks.accumulate_counts(posts, f"{path}/table", f"{path}/checkpoint", every=None).awaitTermination()
+    tables.compact_counts(spark, f"{path}/table", f"{path}/compact")
+    return tables.read_counts(spark, f"{path}/compact")
+
+
 @query
 def stream_live(spark, sf_dir):
     path = shared_dir(spark, "stream-live")

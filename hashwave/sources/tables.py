@@ -6,8 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hashwave.functions.text import normalise_tag
 from hashwave.functions.timing import day_of
-from hashwave.operators.influence import sum_counts
 from hashwave.operators.lookups import put_geo
 from hashwave.schemas import GEO_TREND, INFLUENCER
 
@@ -46,15 +46,21 @@ def write_count_batch(counts: DataFrame, batch_id: int, path: str) -> None:
 
     A batch that is run again replaces its own folder, so it never counts twice.
     """
-    rows = counts.select(*INFLUENCER.fieldNames())
+    rows = counts.withColumn("hashtag", normalise_tag(F.col("hashtag")))
+    rows = rows.select(*INFLUENCER.fieldNames())
     rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Totals over all stored batches."""
-    return sum_counts(spark.read.schema(INFLUENCER).parquet(path))
+    """Totals over all stored batches; a filter on the hashtag reaches the files."""
+    rows = spark.read.schema(INFLUENCER).parquet(path)
+    return rows.groupBy("hashtag", "user_handle").agg(F.sum("count").alias("count"))
 
 
 def compact_counts(spark: SparkSession, path: str, target: str) -> None:
-    """Totals of all finished batches as the first batch of a new table, for readers to move to."""
-    write_count_batch(read_counts(spark, path), 0, target)
+    """Totals of all finished batches as the first batch of a new table, for readers to move to.
+
+    They are stored in hashtag order, a hot hashtag over several files.
+    """
+    totals = read_counts(spark, path).repartitionByRange("hashtag", "user_handle")
+    write_count_batch(totals.sortWithinPartitions("hashtag", "user_handle"), 0, target)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from hashwave.functions.timing import day_of
+from hashwave.operators.influence import reshare_uses, running_influencers
 from hashwave.schemas import INFLUENCER
+from hashwave.sources.tables import write_count_batch
 
 # Fixed value: how often an idle job looks for new input.
 POLL_INTERVAL = "5 minutes"
@@ -44,6 +46,22 @@ def write_totals(
     return _triggered(writer.option("checkpointLocation", checkpoint), every).start()
 
 
+def accumulate_counts(
+    tweets: DataFrame, path: str, checkpoint: str, every: str | None = POLL_INTERVAL
+) -> StreamingQuery:
+    """Store each batch's own counts, to be added up on reading. Keeps no state at all.
+
+    This is the form for totals that outgrow the cluster's state: late posts count, a batch that
+    is run again replaces itself, and old batches can be compacted.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        write_count_batch(running_influencers(reshare_uses(batch)), batch_id, path)
+
+    writer = tweets.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return _triggered(writer, every).start()
+
+
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
     """The newest total of each pair; totals only grow, so it is the largest."""
     return (

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from conftest import entities, message, rows
-from hashwave.operators import geo, influence
+from hashwave.operators import geo, lookups
 from hashwave.sources import dumps, tables
 from hashwave.sources.tweets import decode_tweets, read_profiles, read_tweets
 
@@ -110,3 +110,11 @@ def test_count_batches_are_idempotent(spark, tmp_path):
     assert rows(tables.read_counts(spark, path)) == totals
     tables.compact_counts(spark, path, target)
     assert rows(tables.read_counts(spark, target)) == totals
+
+
+def test_hashtag_filter_reaches_the_stored_counts(spark, tmp_path):
+    path = str(tmp_path / "counts")
+    counts = spark.createDataFrame([("a", "x", 1)], "hashtag string, user_handle string, count bigint")
+    tables.write_count_batch(counts, 0, path)
+    plan = lookups.lookup_hashtag(tables.read_counts(spark, path), ["A"])._jdf.queryExecution()
+    assert "EqualTo(hashtag,a)" in plan.toString()

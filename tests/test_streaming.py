@@ -2,6 +2,7 @@ import pytest
 
 from conftest import at, author, entities, message, place, reshare_of, rows
 from hashwave.operators import geo, influence
+from hashwave.sources.tables import read_counts
 from hashwave.sources.tweets import read_tweets, stream_tweets
 from hashwave.streaming import jobs, sinks
 
@@ -77,6 +78,17 @@ def test_running_totals_equal_the_batch_result_and_survive_a_restart(spark, writ
         assert rows(sinks.read_totals(spark, folders[0])) == rows(batch)
 
 
+def test_accumulated_batches_count_late_and_early_posts_once(spark, write_messages, folders):
+    path = write_messages(posts_of(range(0, 20)))
+    for later in (None, posts_of([0, 1, 50], 900)):
+        if later:
+            write_messages(later, path)
+        posts = stream_tweets(spark, path, max_files=1)
+        sinks.accumulate_counts(posts, *folders, every=None).awaitTermination()
+        batch = influence.running_influencers(influence.reshare_uses(read_tweets(spark, path)))
+        assert rows(read_counts(spark, folders[0])) == rows(batch)
+
+
 def test_running_totals_in_complete_mode(spark, write_messages):
     path = write_messages(posts_of(range(0, 20)))
     totals = jobs.stream_running(stream_tweets(spark, path))

@@ -81,8 +81,8 @@ _CTES = {
         from reshares group by lower(hashtag), user_handle
     """,
     "top": """
-        select *, row_number() over (
-                   partition by hashtag order by count desc, user_handle) as rank
+        select *, (row_number() over (
+                   partition by hashtag order by count desc, user_handle))::integer as rank
         from totals qualify rank <= 3
     """,
     "profiles": """
@@ -122,8 +122,8 @@ _CTES = {
         from items group by user_handle, metric, item
     """,
     "item_ranks": """
-        select *, row_number() over (
-                   partition by user_handle, metric order by count desc, first_seen) as rank
+        select *, (row_number() over (
+                   partition by user_handle, metric order by count desc, first_seen))::integer as rank
         from item_counts
     """,
     "averages": """
@@ -466,7 +466,8 @@ def oracle_sql() -> dict[str, str]:
             "totals",
         ),
         "timeline": _with(
-            """select user_handle, id, rn, floor((rn - 1) / 10)::bigint + 1 as page
+            """select user_handle, id, rn::integer as rn,
+                      (floor((rn - 1) / 10) + 1)::integer as page
                from ranked where rn <= 30""",
             "ranked",
         ),

@@ -7,6 +7,14 @@ from pathlib import Path
 
 import duckdb
 
+_SPARK_TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "VARCHAR": "string",
+    "DOUBLE": "double",
+    "BOOLEAN": "boolean",
+}
+
 
 def open_tables(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -23,6 +31,9 @@ def differences(spark_df, con, sql: str) -> list[str]:
     if names != sorted(rel.columns):
         return [f"columns {names} against {sorted(rel.columns)}"]
     ours = Counter(tuple(row[n] for n in names) for row in spark_df.collect())
+    found = {n: _SPARK_TYPES.get(str(t), str(t)) for n, t in zip(rel.columns, rel.types)}
+    if found != dict(spark_df.dtypes):
+        return [f"types {dict(spark_df.dtypes)} against {found}"]
     order = [rel.columns.index(n) for n in names]
     theirs = Counter(tuple(row[i] for i in order) for row in rel.fetchall())
     out = []

@@ -126,9 +126,15 @@ def test_replayed_rows_pass_once(spark, tmp_path, folders):
     assert rows(spark.read.parquet(folders[0]), "hashtag", "timebucket") == [("a", 5), ("b", 5)]
 
 
-def test_default_trigger_polls(spark, write_messages, folders):
+def test_polling_keeps_running(spark, write_messages, folders):
     path = write_messages(posts_of([0]))
-    query = sinks.write_batches(jobs.stream_live(stream_tweets(spark, path)), *folders)
-    query.processAllAvailable()
-    query.stop()
-    assert spark.read.parquet(folders[0]).count() == 1
+    live = jobs.stream_live(stream_tweets(spark, path))
+    query = sinks.write_batches(live, *folders, every="1 second")
+    try:
+        query.processAllAvailable()
+        write_messages(posts_of([1], 1), path)
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    assert rows(spark.read.parquet(folders[0]), "id") == [(0,), (1,)]

@@ -18,7 +18,13 @@ from hashwave.plans import influencers as influencer_plans
 from hashwave.plans import trends, users as user_plans
 from hashwave.session import prepare, shared_dir, use_rocksdb_state
 from hashwave.sources import dumps, tables
-from hashwave.sources.event_posts import event_posts, event_profiles, stream_event_posts
+from hashwave.sources.event_posts import (
+    event_posts,
+    event_profiles,
+    read_events,
+    read_nations,
+    stream_event_posts,
+)
 from hashwave.streaming import jobs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,7 +186,7 @@ def trend_legend(spark, sf_dir):
 def _legend_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges short enough for labels to clash, one per event."""
     start = F.unix_seconds(F.col("ts").cast("timestamp"))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return read_events(spark, sf_dir).select(
         F.concat_ws("_", "event_type", "event_id").alias("hashtag"),
         start.alias("oldest"),
         (start + F.col("event_id") * 37 % 400000).alias("newest"),
@@ -229,15 +235,15 @@ def lookup_hashtag(spark, sf_dir):
 
 
 def _table_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("keyword"))
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    names = read_nations(spark, sf_dir).select(F.col("n_name").alias("keyword"))
+    events = read_events(spark, sf_dir)
     return names.unionByName(events.select(F.upper("event_type").alias("keyword")))
 
 
 @query
 def hashtag_trend_table(spark, sf_dir):
     """Keywords from a table: the different kinds of events."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = read_events(spark, sf_dir)
     wanted = events.select(F.upper("event_type").alias("keyword"))
     return trends.hashtag_trend(_geo_trend(spark, sf_dir), wanted)
 

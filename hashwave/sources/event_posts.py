@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from hashwave.schemas import TWEET
 
+# The columns used here, so that no job reads the file footers for them.
 EVENT_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
+NATION_SCHEMA = "n_nationkey int, n_name string"
+CUSTOMER_SCHEMA = "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 # Facts of a post that several columns use, each from the ones above it.
 _FACTS = {
@@ -65,22 +68,34 @@ def tweets_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
     return facts.selectExpr(*[f"{_COLUMNS[name]} AS {name}" for name in TWEET.fieldNames()])
 
 
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+
+
+def read_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(NATION_SCHEMA).parquet(f"{sf_dir}/nation.parquet")
+
+
 def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return tweets_from_events(events, spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    return tweets_from_events(read_events(spark, sf_dir), read_nations(spark, sf_dir))
 
 
-def stream_event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_event_posts(
+    spark: SparkSession, sf_dir: str, max_files: int | None = None
+) -> DataFrame:
     """The same posts as a stream over the events file or folder."""
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     # Written as a glob because the file source takes one file only in that form.
-    events = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
-    return tweets_from_events(events, spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    events = reader.parquet(f"{sf_dir}/events.parque[t]")
+    return tweets_from_events(events, read_nations(spark, sf_dir))
 
 
 def event_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of most users; some are left out so that joins meet missing ones."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 != 3")
-    return customers.selectExpr(
+    customers = spark.read.schema(CUSTOMER_SCHEMA).parquet(f"{sf_dir}/customer.parquet")
+    return customers.where("c_custkey % 7 != 3").selectExpr(
         "'user' || c_custkey AS screen_name",
         """'http://img.example.com/' || c_custkey
            || CASE WHEN c_custkey % 10 = 0 THEN '.png' ELSE '_normal.png' END AS profile_image_url""",

@@ -22,10 +22,14 @@ def _typed(raw: DataFrame) -> DataFrame:
 
 
 def read_tweets(spark: SparkSession, path: str | list[str], format: str = "json") -> DataFrame:
-    """Posts from JSON messages, or from typed Parquet; control messages are dropped."""
+    """Posts from JSON messages, whose control messages are dropped, or from a typed table.
+
+    A typed table holds posts only, so it is not filtered: that would read the author's columns
+    in jobs that do not need them.
+    """
     if format == "json":
         return _typed(spark.read.schema(RAW_TWEET).json(path))
-    return posts_only(spark.read.schema(TWEET).format(format).load(path))
+    return spark.read.schema(TWEET).format(format).load(path)
 
 
 def stream_tweets(
@@ -37,7 +41,7 @@ def stream_tweets(
         reader = reader.option("maxFilesPerTrigger", max_files)
     if format == "json":
         return _typed(reader.schema(RAW_TWEET).json(path))
-    return posts_only(reader.schema(TWEET).format(format).load(path))
+    return reader.schema(TWEET).format(format).load(path)
 
 
 def decode_tweets(messages: DataFrame, column: str = "value") -> DataFrame:

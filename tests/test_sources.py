@@ -1,9 +1,10 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from conftest import entities, message, rows
-from hashwave.operators import geo, lookups
+from hashwave.operators import geo, influence, lookups, users
 from hashwave.sources import dumps, tables
 from hashwave.sources.tweets import decode_tweets, read_profiles, read_tweets
 
@@ -118,3 +119,18 @@ def test_hashtag_filter_reaches_the_stored_counts(spark, tmp_path):
     tables.write_count_batch(counts, 0, path)
     plan = lookups.lookup_hashtag(tables.read_counts(spark, path), ["A"])._jdf.queryExecution()
     assert "EqualTo(hashtag,a)" in plan.toString()
+
+
+def scanned(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.search(r"ReadSchema: (struct<.*)", plan).group(1)
+
+
+def test_scans_read_only_what_a_job_needs(spark, tweets, tmp_path):
+    tweets(message(1, "#a")).write.parquet(str(tmp_path / "p"))
+    posts = read_tweets(spark, str(tmp_path / "p"), "parquet")
+    counted = scanned(influence.running_influencers(influence.reshare_uses(posts)))
+    assert "text:string" in counted and "retweeted_status" in counted
+    assert "entities" not in counted and "place" not in counted and "struct<user" not in counted
+    average = scanned(users.user_avg_retweets(users.timeline(users.user_posts(posts))))
+    assert "text" not in average and "entities" not in average

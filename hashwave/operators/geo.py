@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hashwave.functions.place import place_point, resolve_point
@@ -92,20 +92,35 @@ def hashtag_points(uses: DataFrame, bucket: str, points_per_row: int = 10_000) -
     )
 
 
-def latest_points(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One point per (lower-cased hashtag, time bucket): the last by the given order."""
-    last = F.max_by(F.struct("lat", "lng"), F.struct(*order))
-    latest = (
-        rows.groupBy(normalise_tag(F.col("hashtag")).alias("hashtag"), "timebucket")
-        .agg(last.alias("point"))
-        .select("hashtag", "timebucket", "point.lat", "point.lng")
+def newest_point(instant: str) -> list[Column]:
+    """Aggregates giving the point of a group's last row by (instant, id).
+
+    Both are packed into one number, since aggregates over plain numbers are hashed, while those
+    over structs make Spark sort all rows first. Rows of equal number belong to one post.
+    """
+    moment = F.expr(
+        f"CAST(unix_micros({instant}) AS decimal(18, 0)) * 10000000000000000000BD "
+        "+ CAST(id AS decimal(19, 0))"
     )
-    return complete_rows(latest)
+    return [F.max_by(name, moment).alias(name) for name in ("lat", "lng")]
+
+
+def latest_points(rows: DataFrame, last: list[Column]) -> DataFrame:
+    """One point per (lower-cased hashtag, time bucket), picked by the given aggregates."""
+    key = normalise_tag(F.col("hashtag")).alias("hashtag")
+    return complete_rows(rows.groupBy(key, "timebucket").agg(*last))
 
 
 def hashtag_geo_latest(uses: DataFrame, bucket: str) -> DataFrame:
     """The stored geo trend: the last point of each hashtag in each time bucket."""
-    return latest_points(point_rows(uses, bucket), ["ts", "id", "pos"])
+    return latest_points(point_rows(uses, bucket), newest_point("ts"))
+
+
+def latest_dumped_points(points: DataFrame) -> DataFrame:
+    """The same from points without an id: the last by time, then the largest."""
+    last = F.max(F.struct("ts", "lat", "lng"))
+    fields = [last.getField(name).alias(name) for name in ("lat", "lng")]
+    return latest_points(points, fields)
 
 
 def hashtag_time_range(geo: DataFrame) -> DataFrame:

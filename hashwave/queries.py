@@ -461,7 +461,7 @@ def backfill_geo(spark, sf_dir):
 def backfill_geo_latest(spark, sf_dir):
     path = shared_dir(spark, "geo-dump")
     dumps.dump_geo(geo.hashtag_points(_geo_uses(spark, sf_dir), "1 day", 1000), path)
-    return geo.latest_points(dumps.backfill_geo(spark, path), ["ts", "lat", "lng"])
+    return geo.latest_dumped_points(dumps.backfill_geo(spark, path))
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hashwave.functions.text import normalise_tag
 from hashwave.operators.filters import complete_rows
-from hashwave.operators.geo import geo_uses, live_points
+from hashwave.operators.geo import geo_uses, live_points, newest_point
 from hashwave.operators.influence import reshare_uses, running_influencers
 
 
@@ -32,9 +32,8 @@ def stream_geo(
 ) -> DataFrame:
     """The stored geo trend as a stream: the last point per hashtag and interval, emitted once."""
     tag = normalise_tag(F.col("hashtag")).alias("hashtag")
-    last = F.max_by(F.struct("lat", "lng"), F.struct("created_at", "id", "pos"))
-    grouped = _by_window(geo_uses(tweets), bucket, delay, tag).agg(last.alias("point"))
-    return complete_rows(grouped.select("hashtag", _bucket_end(), "point.lat", "point.lng"))
+    grouped = _by_window(geo_uses(tweets), bucket, delay, tag).agg(*newest_point("created_at"))
+    return complete_rows(grouped.select("hashtag", _bucket_end(), "lat", "lng"))
 
 
 def stream_influencers(

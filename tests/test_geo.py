@@ -48,6 +48,27 @@ def test_last_point_wins_whatever_the_case(tweets):
     assert rows(latest) == [("foo", START + 900, 3.0, 3.0), ("foo", START + 1800, 4.0, 4.0)]
 
 
+def test_last_point_among_very_large_ids(tweets):
+    top = 2**63 - 1
+    posts = tweets(
+        message(top - 1, "#a", created_at=at("20:00:01"), place=place(1.0, 1.0)),
+        message(top, "#a", created_at=at("20:00:01"), place=place(2.0, 2.0)),
+        message(top - 2, "#a", created_at=at("20:00:01"), place=place(3.0, 3.0)),
+        message(5, "#b", created_at=at("20:00:02"), place=place(4.0, 4.0)),
+        message(top, "#b", created_at=at("20:00:01"), place=place(5.0, 5.0)),
+    )
+    latest = geo.hashtag_geo_latest(geo.geo_uses(posts), "1 minute")
+    assert rows(latest, "hashtag", "lat", "lng") == [("a", 2.0, 2.0), ("b", 4.0, 4.0)]
+
+
+def test_latest_point_is_hashed_and_combined_before_the_shuffle(tweets):
+    posts = tweets(message(1, "#a", place=place(1.0, 1.0)))
+    plan = geo.hashtag_geo_latest(geo.geo_uses(posts), "1 minute")._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    assert "partial_max_by" in text and "SortAggregate" not in text
+    assert text.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("per_row", [1, 3, 7, 1000])
 def test_large_groups_are_split_and_stay_whole(spark, per_row):
     """One hashtag holds most of the points."""

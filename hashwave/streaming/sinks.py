@@ -22,15 +22,24 @@ def _triggered(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
 
 
 def write_batches(
-    rows: DataFrame, path: str, checkpoint: str, every: str | None = POLL_INTERVAL
+    rows: DataFrame,
+    path: str,
+    checkpoint: str,
+    every: str | None = POLL_INTERVAL,
+    files_per_day: int = 4,
 ) -> StreamingQuery:
-    """Append finished intervals to Parquet, by day where they have a time bucket."""
-    by_day = "timebucket" in rows.columns
-    if by_day:
-        rows = rows.withColumn("date", day_of(F.col("timebucket")))
-    writer = rows.writeStream.format("parquet").outputMode("append")
-    if by_day:
-        writer = writer.partitionBy("date")
+    """Append rows to Parquet, exactly once; rows with a time bucket by day.
+
+    Each finished interval would leave a file per state partition and day. Rows are dealt out by
+    hashtag instead, so that a batch leaves at most ``files_per_day`` files for a day; raise it
+    where the batches are large.
+    """
+    writer = rows.writeStream
+    if "timebucket" in rows.columns:
+        share = F.pmod(F.xxhash64("hashtag", "timebucket"), F.lit(files_per_day))
+        by_day = rows.withColumn("date", day_of(F.col("timebucket"))).repartition("date", share)
+        writer = by_day.writeStream.partitionBy("date")
+    writer = writer.format("parquet").outputMode("append")
     return _triggered(writer.option("checkpointLocation", checkpoint), every).start(path)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashwave.functions.text import avatar_url, normalise_handle
@@ -54,7 +54,7 @@ def registered() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
-def _seconds(name: str) -> F.Column:
+def _seconds(name: str) -> Column:
     return F.unix_seconds(name).alias(name)
 
 
@@ -83,7 +83,7 @@ def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tweets_flat(spark, sf_dir):
-    lat, lng = (F.col(f"coordinates.coordinates")[i] for i in (1, 0))
+    lat, lng = (F.col("coordinates.coordinates")[i] for i in (1, 0))
     posts = filters.posts_only(event_posts(spark, sf_dir))
     return posts.select(
         "id",

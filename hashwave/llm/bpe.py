@@ -85,31 +85,29 @@ class BpeCodec:
 
     def _by_prefixes(self, word: bytes) -> bytes:
         """The ids of one pre-token, from the last token of each of its prefixes."""
-        last = [(-1, 0)] * (len(word) + 1)
-        pairs, compatible = self._pairs, self._compatible
-        filled = 0
+        tokens, lengths = [0] * len(word), [0] * len(word)
+        known, compatible = self._pairs, self._compatible
+        filled = -1
         for end, (token, length) in self._suffixes.iter(word.decode("latin-1")):
-            end += 1
-            if filled == end:
+            if end == filled:
                 continue
-            before = last[end - length][0]
-            if length < end:
-                key = before << 20 | token
-                fits = pairs.get(key)
+            before = end - length
+            if before >= 0:
+                pair = tokens[before] << 20 | token
+                fits = known.get(pair)
                 if fits is None:
-                    if len(pairs) >= 1_000_000:
-                        pairs.clear()
-                    fits = pairs[key] = compatible(before, token)
+                    if len(known) >= 1_000_000:
+                        known.clear()
+                    fits = known[pair] = compatible(tokens[before], token)
                 if not fits:
                     continue
-            last[end] = (token, length)
-            filled = end
-        ids, at = [], len(word)
-        while at:
-            token, length = last[at]
-            ids.append(self._id_by_age[token])
-            at -= length
-        return b"".join(reversed(ids))
+            tokens[end], lengths[end], filled = token, length, end
+        ids, at = [], len(word) - 1
+        while at >= 0:
+            ids.append(self._id_by_age[tokens[at]])
+            at -= lengths[at]
+        ids.reverse()
+        return b"".join(ids)
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether the merges of two adjacent tokens' bytes end with just these two tokens.

@@ -2,7 +2,75 @@
 
 from __future__ import annotations
 
-_SQL: dict[str, str] = {}
+from hashwave.llm.mixing import SEED
+
+_MIX = f"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))), 1, 13))::bigint / 4503599627370496e0 as chance
+  from documents
+), sources as (
+  select source, sum(size)::bigint as source_size from sized group by source
+), weighed as (
+  select *, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1]::bigint as weight, 2 * source_size as full_size
+  from sources
+), levels as (
+  select *, (150 * sum(source_size) over () - 100 * coalesce(sum(full_size) over (
+      order by full_size::double / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
+    / (100e0 * (sum(weight) over (
+      order by full_size::double / weight, source nulls last rows between current row and unbounded following))::double) as level
+  from weighed
+), common as (
+  select *, max(level) over () as top from levels
+), targets as (
+  select source, source_size, case when top * weight < full_size then top * weight else full_size::double end as target from common
+), rated as (
+  select *, case when source_size > 0 then target / source_size else 0e0 end as rate from targets
+)
+select doc_id, size, source_size, target,
+  (size * (floor(rate) + case when chance < rate - floor(rate) then 1 else 0 end))::bigint as taken
+from sized join rated on sized.source is not distinct from rated.source
+"""
+
+# Escaping does not change a text without control strings, so the twin escapes all.
+_CHAT = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), whole as (
+  select conv_id, count(*) as n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
+    coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss,
+    sum(20 + length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g'))
+      + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')))::bigint as formatted_chars
+  from rows group by conv_id
+)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars
+from whole
+"""
+
+# No page of these tables declares another address, so the rules decide alone here; the tests
+# cover what links pass on.
+_URLS = r"""
+with parts as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), judged as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from parts
+), rules(verdict, rule_host, rule_path) as (
+  values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), fitting as (
+  select page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+    arg_max(verdict, length(rule_host || rule_path)) as verdict
+  from judged join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by page_id
+)
+select judged.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
+from judged left join fitting on judged.page_id = fitting.page_id
+"""
+
+_SQL: dict[str, str] = {"op4_mix": _MIX, "op5_chat": _CHAT, "op10_urls": _URLS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashwave.llm import bpe, tokenfile
-from hashwave.llm.common import local_shared_dir, read_table, tokenizer_path
+from hashwave.llm import bpe, chat, mixing, quality, tokenfile, urls
+from hashwave.llm.common import local_shared_dir, read_table, tokenizer_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,42 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    docs = read_table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", mixing.size().alias("size"), mixing.draw(text="text").alias("chance"))
+    sized = written(sized, "sizes")
+    rates = mixing.source_targets(sized)
+    rated = sized.join(rates.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of")))
+    taken = F.col("size") * mixing.copies(F.col("rate"), F.col("chance"))
+    return rated.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+#: A conversation whose texts hold the template's own control strings.
+CONFLICT = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format every conversation, and read turns and loss texts back from the output."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = F.array(*(F.struct(*map(F.lit, row)) for row in CONFLICT))
+    rows = F.inline(F.transform(added, lambda r: F.struct(*(r[f"col{i + 1}"].alias(n) for i, n in enumerate(turns.columns)))))
+    chats = chat.format_chats(turns.unionByName(spark.range(1).select(rows)))
+    turn_text = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    loss = F.array_join(chat.masked(F.col("formatted"), F.col("loss_spans")), "")
+    back = chats.withColumn("_turns", chat.parsed(F.col("formatted"))).withColumn("_loss", loss)
+    return back.select(
+        "conv_id",
+        F.size("_turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("_turns", turn_text), ""), 256).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the token file of all documents, read it back, and give each document's place and checksum."""
@@ -53,6 +89,36 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict of the weighed rules."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    features = written(quality.with_features(docs).drop("text"), "features")
+    model = quality.fit(features)
+    return features.select(
+        "doc_id",
+        *quality.FEATURES,
+        quality.base_failed().alias("base_failed"),
+        quality.kept(model).alias("kept"),
+        model.posterior().alias("quality"),
+    )
+
+
+RULES = [
+    urls.Rule("block", "net", "/"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+]
+
+
+@query
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page's url by rule, or else by its aliases."""
+    judged = urls.judge(read_table(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""

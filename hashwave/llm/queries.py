@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashwave.llm import bpe, chat, mixing, quality, tokenfile, urls
+from hashwave.llm import bpe, chat, html, mixing, quality, token_counts, tokenfile, urls
 from hashwave.llm.common import local_shared_dir, read_table, tokenizer_path, written
+from hashwave.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,30 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents come in, those labelled bad go, those labelled good are
+    counted again by a newer tokenizer. Every batch is delivered twice and the table is compacted in between.
+    """
+    old, new = "byte_bpe_50k", "byte_bpe_multi_50k"
+    files = {version: tokenizer_path(f"{version}.tiktoken") for version in (old, new)}
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counts = written(token_counts.count_tokens(docs, files), "counts")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    labelled = lambda q: counts.join(labels.where(F.col("quality") == q).select("doc_id").distinct(), "doc_id", "left_semi")
+    batches = {
+        "1-insert": token_counts.inserts(counts, old, f"n_{old}"),
+        "2-delete": token_counts.deletes(labelled(0), old, f"n_{old}"),
+        "3-revise": token_counts.revisions(labelled(1), (old, f"n_{old}"), (new, f"n_{new}")),
+    }
+    rollup = token_counts.TokenRollup(spark, shared_dir(spark, "token-counts"))
+    for batch, changes in batches.items():
+        rollup.commit(changes, batch)
+        rollup.commit(changes, batch)
+        rollup.compact()
+    return rollup.totals()
+
+
 @query
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document."""
@@ -104,6 +129,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 RULES = [
     urls.Rule("block", "net", "/"),
     urls.Rule("allow", "example.net", "/en/"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashwave.llm import bpe, chat, html, mixing, quality, token_counts, tokenfile, urls
+from hashwave.llm import bpe, chat, html, mixing, quality, token_counts, tokenfile, urls, vectors
 from hashwave.llm.common import local_shared_dir, read_table, tokenizer_path, written
 from hashwave.session import shared_dir
 
@@ -44,6 +44,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents come in, those labelled bad go, those labelled good are

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashwave.llm import bpe, chat, html, mixing, quality, token_counts, tokenfile, urls, vectors
+from hashwave.llm import bpe, chat, html, jaccard, mixing, quality, token_counts, tokenfile, urls, vectors
 from hashwave.llm.common import local_shared_dir, read_table, tokenizer_path, written
 from hashwave.session import shared_dir
 
@@ -135,6 +135,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by shingle similarity 0.8."""
+    return jaccard.similar_texts(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""

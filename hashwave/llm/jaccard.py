@@ -28,6 +28,7 @@ from hashwave.llm.shingles import Shingler
 from hashwave.operators.joins import splittable_join
 
 GROUPS = 64
+_MOST = 65535
 #: Rows of a leaf, on average.
 LEAF = 256
 #: The list of frequent shingles: at most so many, each in so many texts of one batch.
@@ -60,8 +61,16 @@ def _signature(shingles: np.ndarray) -> tuple[int, int]:
     return shingles.sum(dtype=np.uint64), (odd ^ (odd >> np.uint64(32))).sum(dtype=np.uint64)
 
 
-def _points(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def _point(shingles: np.ndarray) -> bytes:
+    """Group counts in two bytes each; the greatest stands for itself and all above."""
+    counts = np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, _MOST).astype("<u2").tobytes()
+
+
+def _counts(points: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Points as rows, never below the true counts."""
+    rows = np.frombuffer(b"".join(points), "<u2").reshape(-1, GROUPS).astype(np.int64)
+    return np.where(rows == _MOST, sizes[:, None], rows)
 
 
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
@@ -85,7 +94,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(shingles))
                 ones.append(one)
                 twos.append(two)
-                points.append(_points(shingles).tobytes())
+                points.append(_point(shingles))
                 held.append(shingles)
                 size += len(shingles)
                 if size >= _COUNTED:
@@ -197,9 +206,9 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(f"point_{s}").to_pylist()), "<u4").reshape(-1, GROUPS) for s in "ab")
-            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            kept = pa.array(_enough(np.minimum(a, b).sum(axis=1, dtype=np.int64), sizes, percent))
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            a, b = (_counts(batch.column(p).to_pylist(), n) for p, n in (("point_a", n_a), ("point_b", n_b)))
+            kept = pa.array(_enough(np.minimum(a, b).sum(axis=1), n_a + n_b, percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
     return both.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(run, "a long, b long")
@@ -242,8 +251,8 @@ def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
     met = one.join(two, "key").where("c1 < c2").select("one", "two")
 
     def box(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        points = np.frombuffer(b"".join(r["point"] for r in rows), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        return points, np.array([r["n"] for r in rows]), np.array([r["rep"] for r in rows])
+        sizes = np.array([r["n"] for r in rows])
+        return _counts([r["point"] for r in rows], sizes), sizes, np.array([r["rep"] for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +301,15 @@ def similar_texts(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFra
     # What these have not connected meets in leaves.
     parts = connected_components(near).withColumnRenamed("node", "rep")
     placed = cells.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    # Cells with the same sets, as the shingles of one shared passage make them, are one cell.
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("x"),
+        F.max("component").alias("y"),
+        F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("rep")).alias("h1"),
+        F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"),
+    )
+    mixed = mixed.where("x != y").groupBy("x", "y", "size", "h1", "h2").agg(F.min("key").alias("key")).select("key")
     members = splittable_join(placed, mixed, ["key"]).join(points, "rep")
     rest = _verified(_leaf_pairs(members, percent), docs, percent, width)
 

@@ -33,22 +33,34 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class BpeCodec:
-    """Encoder and decoder for one byte-level vocabulary file."""
+class Vocabulary:
+    """The bytes of every token of a byte-level vocabulary file, and its special tokens."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+            self.spec = json.load(file)
         alphabet = byte_alphabet()
-        raw = lambda token: bytes(alphabet[c] for c in token)
-        vocab = spec["model"]["vocab"]
-        self.bytes_of = [b""] * (1 + max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])]))
-        for token, id in vocab.items():
-            self.bytes_of[id] = raw(token)
-        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        self.raw = lambda token: bytes(alphabet[c] for c in token)
+        self.vocab, added = self.spec["model"]["vocab"], self.spec["added_tokens"]
+        self.bytes_of = [b""] * (1 + max([*self.vocab.values(), *(a["id"] for a in added)]))
+        for token, id in self.vocab.items():
+            self.bytes_of[id] = self.raw(token)
+        self.special = {a["content"]: a["id"] for a in added}
         for content, id in self.special.items():
             self.bytes_of[id] = content.encode()
 
+    def decode(self, ids) -> str:
+        """The text of some ids, special tokens included; broken UTF-8 becomes U+FFFD."""
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class BpeEncoder:
+    """Encoder for one byte-level vocabulary file."""
+
+    def __init__(self, path: str):
+        vocabulary = Vocabulary(path)
+        spec, raw, vocab = vocabulary.spec, vocabulary.raw, vocabulary.vocab
+
         # Tokens are numbered by age: single bytes first, then in the order of the merges.
         age = {bytes([b]): b for b in range(256)}
         self._left, self._right, self._merged = list(range(256)), list(range(256)), {}
@@ -68,7 +80,7 @@ class BpeCodec:
         self._pairs: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
         self._pre_token = regex.compile(PRE_TOKEN)
-        self.encode_text = PieceEncoder(self._encode_piece, self.special)
+        self.encode_text = PieceEncoder(self._encode_piece, vocabulary.special)
 
     def _encode_piece(self, piece: str) -> bytes:
         return b"".join(map(self._encode_word, self._pre_token.findall(piece)))
@@ -78,7 +90,7 @@ class BpeCodec:
         if known is None:
             known = self._by_prefixes(word.encode())
             if len(word) <= 32:
-                if len(self._words) >= 200_000:
+                if len(self._words) >= 150_000:
                     self._words.clear()
                 self._words[word] = known
         return known
@@ -96,7 +108,7 @@ class BpeCodec:
                 pair = tokens[before] << 20 | token
                 fits = known.get(pair)
                 if fits is None:
-                    if len(known) >= 1_000_000:
+                    if len(known) >= 400_000:
                         known.clear()
                     fits = known[pair] = compatible(tokens[before], token)
                 if not fits:
@@ -128,15 +140,17 @@ class BpeCodec:
             else:
                 made, right = right + 1, self._left[right]
 
-    def decode(self, ids) -> str:
-        """The text of some ids, special tokens included; broken UTF-8 becomes U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> BpeEncoder:
+    """One per Python worker and file."""
+    return BpeEncoder(path)
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> BpeCodec:
-    """One codec per Python worker and file."""
-    return BpeCodec(path)
+def vocabulary(path: str) -> Vocabulary:
+    """One per Python worker and file."""
+    return Vocabulary(path)
 
 
 def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -157,7 +171,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = codec(path).encode_text
+        encode_text = encoder(path).encode_text
         for batch in batches:
             encoded = [encode_text(t or "") for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *(len(e) // 4 for e in encoded)], dtype=np.int64)
@@ -174,9 +188,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of = codec(path).decode
+        text_of = vocabulary(path).decode
         for batch in batches:
-            texts = [text_of(row or ()) for row in batch.column(ids).to_pylist()]
+            rows = batch.column(ids)
+            values, ends = rows.values.to_numpy(), rows.offsets.to_numpy()
+            texts = [text_of(values[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             yield _with_column(batch, out, pa.array(texts, pa.string()))
 
     return df.mapInArrow(run, _schema_with(df, out, T.StringType()))

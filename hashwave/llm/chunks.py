@@ -28,7 +28,7 @@ def pieces(text: str) -> list[str]:
 class PieceCache(dict):
     """Encoded pieces by text, in two generations, so that memory is bounded and common ones stay."""
 
-    def __init__(self, encode: Callable[[str], bytes], prefix: str, most: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], prefix: str, most: int = 250_000):
         super().__init__()
         self._encode, self._prefix, self._most, self._old = encode, prefix, most, {}
 

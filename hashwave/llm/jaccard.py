@@ -9,8 +9,8 @@ Points of so many dimensions all lie far from one another, so boxes alone would
 of leaves through. The upper level of the tree therefore cuts the sets exactly: sets that are
 similar enough share one of their first shingles in any order common to all, so each of these is a cell.
 Rare shingles come first, which keeps passages that very many texts share from making large cells.
-Sets that do share much are first joined with the smallest of their cells; what that connects
-is not compared again, so a group of near copies costs no pairs.
+Sets that do share much are first joined with the best connected set of their cells; what
+that connects is not compared again, so a group of near copies costs no pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from hashwave.operators.joins import splittable_join
 
 GROUPS = 64
 _MOST = 65535
+#: Rounds in which each set is tried with one other set, before all pairs still apart are looked at.
+STARS = 2
 #: Rows of a leaf, on average.
 LEAF = 256
 #: The list of frequent shingles: at most so many, each in so many texts of one batch.
@@ -271,6 +273,13 @@ def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _placed(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of all cells with the component that the links so far put each set in."""
+    parts = connected_components(links).withColumnRenamed("node", "rep")
+    placed = splittable_join(cells, parts, ["rep"], "left").withColumn("component", F.coalesce("component", "rep"))
+    return written(placed, "placed")
+
+
 def similar_texts(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for every row with (doc_id, text).
 
@@ -292,16 +301,25 @@ def similar_texts(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFra
     cells = cells.join(rows.where("rep is not null").select("doc_id", "rep").distinct(), "doc_id").groupBy("key", "rep").agg(F.lit(1).alias("one"))
     cells = written(cells.select("key", "rep"), "cells")
 
-    # Each set with the smallest set of all its cells.
-    smallest = cells.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b != z").select("key", "b")
-    stars = splittable_join(cells, smallest, ["key"]).groupBy(F.col("rep").alias("a")).agg(F.min("b").alias("b")).where("a != b")
+    # The more of a set's first shingles others have too, the more of them can link with it: each set is
+    # tried with the best of its cells, and those still apart with the best of another component.
     points = classes.select("rep", "n", "point")
-    near = _verified(_bounded(stars, points, percent), docs, percent, width)
-
-    # What these have not connected meets in leaves.
-    parts = connected_components(near).withColumnRenamed("node", "rep")
-    placed = cells.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    # Cells with the same sets, as the shingles of one shared passage make them, are one cell.
+    sizes = cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    several = splittable_join(cells, sizes, ["key"])
+    scores = several.groupBy("rep").agg(F.sum("size").alias("score")).join(points.select("rep", "n"), "rep")
+    scores = scores.select("rep", (F.col("score") / F.col("n")).alias("score"))
+    cells = written(several.select("key", "rep").join(scores, "rep"), "cells")
+    links = cells.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    for _ in range(STARS):
+        placed = _placed(cells, links)
+        best = placed.groupBy("key").agg(F.max_by("rep", "score").alias("b"), F.max_by("component", "score").alias("c"), F.max("score").alias("best"))
+        tried = splittable_join(placed, best, ["key"]).where("component != c")
+        stars = tried.groupBy(F.col("rep").alias("a")).agg(F.max_by("b", "best").alias("b"))
+        links = written(links.unionByName(_verified(_bounded(stars, points, percent), docs, percent, width)), "links")
+
+    # What these have not connected meets in leaves. Cells with the same sets, as the shingles of one
+    # shared passage make them, are one cell.
+    placed = _placed(cells, links)
     mixed = placed.groupBy("key").agg(
         F.min("component").alias("x"),
         F.max("component").alias("y"),
@@ -310,10 +328,10 @@ def similar_texts(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFra
         F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"),
     )
     mixed = mixed.where("x != y").groupBy("x", "y", "size", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-    members = splittable_join(placed, mixed, ["key"]).join(points, "rep")
+    members = splittable_join(placed, mixed, ["key"]).drop("score").join(points, "rep")
     rest = _verified(_leaf_pairs(members, percent), docs, percent, width)
 
-    parts = connected_components(near.unionByName(rest)).withColumnRenamed("node", "rep")
+    parts = connected_components(links.unionByName(rest)).withColumnRenamed("node", "rep")
     labelled = splittable_join(rows, parts, ["rep"], "left")
     return labelled.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")

@@ -71,8 +71,8 @@ def _point(shingles: np.ndarray) -> bytes:
 
 def _counts(points: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """Points as rows, never below the true counts."""
-    rows = np.frombuffer(b"".join(points), "<u2").reshape(-1, GROUPS).astype(np.int64)
-    return np.where(rows == _MOST, sizes[:, None], rows)
+    rows = np.frombuffer(b"".join(points), "<u2").reshape(-1, GROUPS).astype(np.int32)
+    return np.where(rows == _MOST, sizes[:, None].astype(np.int32), rows)
 
 
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
@@ -252,23 +252,29 @@ def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
     two = leaves.select("key", F.col("component").alias("c2"), F.col("sets").alias("two"))
     met = one.join(two, "key").where("c1 < c2").select("one", "two")
 
-    def box(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([r["n"] for r in rows])
-        return _counts([r["point"] for r in rows], sizes), sizes, np.array([r["rep"] for r in rows])
+    def opened(sets: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, sizes and points of all sets in some leaves, and where each leaf begins."""
+        rep, n, point = sets.flatten().flatten()
+        sizes, ends = n.to_numpy(), sets.offsets.to_numpy()
+        return rep.to_numpy(), sizes, _counts(point.to_pylist(), sizes), ends - ends[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for left, right in zip(batch.column("one"), batch.column("two")):
-                (p, n, a), (q, m, b) = box(left.as_py()), box(right.as_py())
-                if not _enough(np.minimum(p.max(axis=0), q.max(axis=0)).sum(), n.min() + m.min(), percent):
+            (a, n, p, i), (b, m, q, j) = opened(batch.column("one")), opened(batch.column("two"))
+            single = (np.diff(i) == 1) & (np.diff(j) == 1)
+            left, right = i[:-1][single], j[:-1][single]
+            kept = _enough(np.minimum(p[left], q[right]).sum(axis=1), n[left] + m[right], percent)
+            found_a, found_b = [a[left[kept]]], [b[right[kept]]]
+            for leaf in np.flatnonzero(~single):
+                one, two = slice(i[leaf], i[leaf + 1]), slice(j[leaf], j[leaf + 1])
+                shared = np.minimum(p[one].max(axis=0), q[two].max(axis=0)).sum()
+                if not _enough(shared, n[one].min() + m[two].min(), percent):
                     continue
-                for i in range(len(a)):
-                    shared = np.minimum(p[i], q).sum(axis=1)
-                    found += [(a[i], b[j]) for j in np.flatnonzero(_enough(shared, n[i] + m, percent))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"]
-            )
+                for row in range(one.start, one.stop):
+                    near = _enough(np.minimum(p[row], q[two]).sum(axis=1), n[row] + m[two], percent)
+                    found_b.append(b[two][near])
+                    found_a.append(np.full(int(near.sum()), a[row], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f), pa.int64()) for f in (found_a, found_b)], ["a", "b"])
 
     return met.mapInArrow(run, "a long, b long").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

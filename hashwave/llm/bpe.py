@@ -20,11 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hashwave.llm.chunks import PieceEncoder
-
-#: Fixed by the tokenizer's format: how a text falls into pre-tokens before the merges.
-PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
+from hashwave.llm.chunks import PRE_TOKEN, PieceCache, PieceEncoder
 
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabulary files."""
@@ -78,25 +74,16 @@ class BpeEncoder:
             self._suffixes.add_word(token.decode("latin-1"), (number, len(token)))
         self._suffixes.make_automaton()
         self._pairs: dict[int, bool] = {}
-        self._words: dict[str, bytes] = {}
-        self._pre_token = regex.compile(PRE_TOKEN)
+        self._words = PieceCache(self._by_prefixes)
+        self._pre_token = regex.compile(PRE_TOKEN).findall
         self.encode_text = PieceEncoder(self._encode_piece, vocabulary.special)
 
     def _encode_piece(self, piece: str) -> bytes:
-        return b"".join(map(self._encode_word, self._pre_token.findall(piece)))
-
-    def _encode_word(self, word: str) -> bytes:
-        known = self._words.get(word)
-        if known is None:
-            known = self._by_prefixes(word.encode())
-            if len(word) <= 32:
-                if len(self._words) >= 150_000:
-                    self._words.clear()
-                self._words[word] = known
-        return known
-
-    def _by_prefixes(self, word: bytes) -> bytes:
+        return b"".join(map(self._words.__getitem__, self._pre_token(piece)))
+
+    def _by_prefixes(self, text: str) -> bytes:
         """The ids of one pre-token, from the last token of each of its prefixes."""
+        word = text.encode()
         tokens, lengths = [0] * len(word), [0] * len(word)
         known, compatible = self._pairs, self._compatible
         filled = -1

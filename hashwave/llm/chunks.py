@@ -16,6 +16,9 @@ from collections.abc import Callable
 _NEEDS_CARE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
+#: Fixed by the tokenizers' format: how a text falls into pre-tokens before the merges.
+PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 #: Longer pieces (text without spaces) are encoded each time instead of being kept.
 LONGEST_KEPT = 64
 
@@ -28,7 +31,7 @@ def pieces(text: str) -> list[str]:
 class PieceCache(dict):
     """Encoded pieces by text, in two generations, so that memory is bounded and common ones stay."""
 
-    def __init__(self, encode: Callable[[str], bytes], prefix: str, most: int = 250_000):
+    def __init__(self, encode: Callable[[str], bytes], prefix: str = "", most: int = 250_000):
         super().__init__()
         self._encode, self._prefix, self._most, self._old = encode, prefix, most, {}
 
@@ -51,9 +54,9 @@ class PieceEncoder:
     cut out first, as the tokenizer does, so white space beside them is not shared with words.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], special: dict[str, int]):
+    def __init__(self, encode: Callable[[str], bytes], special: dict[str, int], most: int = 250_000):
         self._first = PieceCache(encode, "", 50_000)
-        self._spaced = PieceCache(encode, " ")
+        self._spaced = PieceCache(encode, " ", most)
         self._special = {name: id.to_bytes(4, "little") for name, id in special.items()}
         self._marks = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 

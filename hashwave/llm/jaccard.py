@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +36,31 @@ STARS = 2
 LEAF = 256
 #: The list of frequent shingles: at most so many, each in so many texts of one batch.
 FREQUENT = 1 << 16
-OFTEN = 8
-_COUNTED = 1 << 21
+OFTEN = 5
+_COUNTED = 1 << 20
+_PART_BYTES = 1 << 21
 #: Bits of the two filters that tell a scan which rows matter; a full filter lets rows through.
 KEY_BITS, DOC_BITS = 26, 24
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``_PART_BYTES`` of text, so that little is worked on at once."""
+    ends = np.cumsum(pa.compute.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + _PART_BYTES, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _scan(docs: DataFrame, each, schema: str, width: int) -> DataFrame:
     """Runs over all texts; ``each`` makes record batches from (ids, sorted shingles of each text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        rows = ((batch.column(0).to_pylist(), shingler(batch.column(1))) for batch in batches)
-        yield from each(rows)
+        parts = (part for batch in batches for part in _parts(batch))
+        yield from each((part.column(0).to_pylist(), shingler(part.column(1))) for part in parts)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashwave.llm.bpe import PRE_TOKEN
-from hashwave.llm.chunks import PieceEncoder
+from hashwave.llm.chunks import PRE_TOKEN, PieceEncoder
 from hashwave.sources.deltas import DeltaTable
 
 KEYS = ["source", "lang", "tokenizer"]

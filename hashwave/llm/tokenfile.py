@@ -16,12 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hashwave.llm.chunks import PieceEncoder
+from hashwave.llm.chunks import PRE_TOKEN, PieceCache, PieceEncoder
 from hashwave.session import shared_dir
 
 CHUNK_BITS = 8
@@ -96,10 +97,9 @@ def library_encoder(path: str) -> PieceEncoder:
     tokenizer = Tokenizer.from_file(path)
     special = {t.content: id for id, t in tokenizer.get_added_tokens_decoder().items()}
 
-    def encode(piece: str) -> bytes:
-        return np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    return PieceEncoder(encode, special)
+    words = PieceCache(lambda word: np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+    split = regex.compile(PRE_TOKEN).findall
+    return PieceEncoder(lambda piece: b"".join(map(words.__getitem__, split(piece))), special, most=400_000)
 
 
 def write_token_file(

@@ -62,29 +62,17 @@ def point_rows(uses: DataFrame, bucket: str) -> DataFrame:
     )
 
 
-def hashtag_points(uses: DataFrame, bucket: str, points_per_row: int = 10_000) -> DataFrame:
+def hashtag_points(uses: DataFrame, bucket: str, parts: int = 8) -> DataFrame:
     """All (ts, lat, lng) of a hashtag in a time bucket, as arrays in time order.
 
-    A group of more than ``points_per_row`` points is spread over several rows, numbered by
-    ``part``, so no row and no task holds a hot hashtag whole. Nothing is left out.
-    :func:`point_rows` has the same points without any shuffle.
+    Every group is dealt over at most ``parts`` rows, numbered by ``part``, by its posts' ids. Choose
+    ``parts`` so that the largest group over ``parts`` fits a row; it does not depend on the data.
+    :func:`point_rows` has the same points without any shuffle or bound.
     """
-    rows = point_rows(uses, bucket)
-    key = ["hashtag", "timebucket"]
-    large = (
-        rows.groupBy(*key)
-        .agg(F.count("*").alias("uses"))
-        .where(F.col("uses") > points_per_row)
-        .select(*key, F.ceil(F.col("uses") / points_per_row).alias("parts"))
-    )
-    digest = F.substring(F.md5(F.concat_ws(":", "id", "pos").cast("binary")), 1, 8)
-    spread = F.pmod(F.conv(digest, 16, 10).cast("bigint"), F.col("parts"))
+    part = F.pmod(F.col("id") + F.col("pos"), F.lit(parts)).cast("long")
     return (
-        splittable_join(rows, large, key, "left")
-        .withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(spread))
-        # Otherwise the groups would be built where the join left them, all parts in one task.
-        .repartition(*key, "part")
-        .groupBy(*key, "part")
+        point_rows(uses, bucket)
+        .groupBy("hashtag", "timebucket", part.alias("part"))
         .agg(
             F.count("*").alias("uses"),
             F.sort_array(F.collect_list(F.struct("ts", "lat", "lng"))).alias("points"),

@@ -50,7 +50,7 @@ def for_handles(posts: DataFrame, handles: list[str] | None) -> DataFrame:
 
 
 def timeline(
-    posts: DataFrame, page_size: int = 200, pages: int = 3, parts: int | None = None
+    posts: DataFrame, page_size: int = 200, pages: int = 3, parts: int = 64
 ) -> DataFrame:
     """Each user's newest posts, numbered and paged."""
     newest = top_per_key_wide(

@@ -91,11 +91,11 @@ _CTES = {
                     then split_part(url, '_normal', 1) || '_400x400' || split_part(url, '_normal', 2)
                     else url end as avatar_url
         from (
-            select 'user' || c_custkey as screen_name, c_mktsegment as description,
+            select 'user' || (c_custkey + 1) as screen_name, c_mktsegment as description,
                    floor(c_acctbal)::bigint as followers_count, c_nationkey::bigint as friends_count,
                    'http://img.example.com/' || c_custkey
                    || case when c_custkey % 10 = 0 then '.png' else '_normal.png' end as url
-            from customer where c_custkey % 7 <> 3
+            from customer
         )
     """,
     "ranked": """
@@ -257,7 +257,7 @@ def _legend_without_slices(ranges: str) -> dict[str, str]:
 _KEYWORDS = "(" + ", ".join(f"'{word.lower()}'" for word in q.KEYWORDS) + ")"
 
 
-def _points(bucket: int, per_row: int) -> str:
+def _points(bucket: int, parts: int) -> str:
     return _with(
         """
         select hashtag, timebucket, part, count(*) as uses,
@@ -266,13 +266,8 @@ def _points(bucket: int, per_row: int) -> str:
         from parted group by hashtag, timebucket, part
         """,
         "uses",
-        bucketed=f"select *, {_bucket_end(bucket)} as timebucket from uses",
-        counted="select *, count(*) over (partition by hashtag, timebucket) as n from bucketed",
         parted=f"""
-            select *, case when n <= {per_row} then 0 else
-                   ('0x' || substr(md5(id || ':' || pos), 1, 8))::bigint
-                   % ceil(n / {per_row})::bigint end as part
-            from counted
+            select *, {_bucket_end(bucket)} as timebucket, (id + pos)::bigint % {parts} as part from uses
         """,
     )
 
@@ -365,7 +360,7 @@ def oracle_sql() -> dict[str, str]:
                from profiles""",
             "profiles",
         ),
-        "hashtag_points": _points(3600, 10_000),
+        "hashtag_points": _points(3600, 8),
         "hashtag_points_split": _points(86400, 25),
         "hashtag_geo_latest": _with("select * from geo", "geo"),
         "ordered_scan": _with("select * from geo order by hashtag, timebucket", "geo"),
@@ -447,6 +442,7 @@ def oracle_sql() -> dict[str, str]:
         "running_influencers": _with("select * from totals", "totals"),
         "accumulate_counts": _with("select * from totals", "totals"),
         "count_batches": _with("select * from totals", "totals"),
+        "stream_compact_continue": _with("select * from totals", "totals"),
         "distinct_retweeters": _with(
             """select lower(hashtag) as hashtag, user_handle, count(distinct reshared_by) as people
                from reshares group by lower(hashtag), user_handle""",

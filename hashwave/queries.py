@@ -154,7 +154,7 @@ def hashtag_points(spark, sf_dir):
 
 @query
 def hashtag_points_split(spark, sf_dir):
-    groups = geo.hashtag_points(_geo_uses(spark, sf_dir), "1 day", points_per_row=25)
+    groups = geo.hashtag_points(_geo_uses(spark, sf_dir), "1 day", parts=25)
     return _points_json(groups)
 
 
@@ -426,8 +426,21 @@ def stream_accumulate(spark, sf_dir):
     path = shared_dir(spark, "stream-accumulate")
     posts = stream_event_posts(spark, sf_dir)
     sinks.accumulate_counts(posts, f"{path}/table", f"{path}/checkpoint", every=None).awaitTermination()
-    tables.compact_counts(spark, f"{path}/table", f"{path}/compact")
-    return tables.read_counts(spark, f"{path}/compact")
+    tables.compact_counts(spark, f"{path}/table")
+    return tables.read_counts(spark, f"{path}/table")
+
+
+@query
+def stream_compact_continue(spark, sf_dir):
+    """The first half is streamed, the table compacted, and a stream with a new checkpoint adds the rest."""
+    path = shared_dir(spark, "stream-continue")
+    posts = stream_event_posts(spark, sf_dir)
+    early = F.col("created_at") < F.lit(FIRST_HALF_ENDS)
+    for run, part in (("first", early), ("second", ~early)):
+        checkpoint = f"{path}/checkpoint-{run}"
+        sinks.accumulate_counts(posts.where(part), f"{path}/table", checkpoint, every=None).awaitTermination()
+        tables.compact_counts(spark, f"{path}/table")
+    return tables.read_counts(spark, f"{path}/table")
 
 
 @query
@@ -453,14 +466,14 @@ def stream_live_messages(spark, sf_dir):
 @query
 def backfill_geo(spark, sf_dir):
     path = shared_dir(spark, "geo-dump")
-    dumps.dump_geo(geo.hashtag_points(_geo_uses(spark, sf_dir), "1 day", 1000), path)
+    dumps.dump_geo(geo.hashtag_points(_geo_uses(spark, sf_dir), "1 day", parts=8), path)
     return dumps.backfill_geo(spark, path).withColumn("ts", _seconds("ts"))
 
 
 @query
 def backfill_geo_latest(spark, sf_dir):
     path = shared_dir(spark, "geo-dump")
-    dumps.dump_geo(geo.hashtag_points(_geo_uses(spark, sf_dir), "1 day", 1000), path)
+    dumps.dump_geo(geo.hashtag_points(_geo_uses(spark, sf_dir), "1 day", parts=8), path)
     return geo.latest_dumped_points(dumps.backfill_geo(spark, path))
 
 

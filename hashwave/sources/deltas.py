@@ -46,7 +46,8 @@ class DeltaTable:
         live = self._live()
         if len(live) > 1:
             covered = sorted({name for row in live for name in ([row.batch] if row.batch else row.covers)})
-            self._write(self._add_up(self._rows([row.attempt for row in live])), None, covered)
+            totals = self._add_up(self._rows([row.attempt for row in live])).repartitionByRange(*self.keys)
+            self._write(totals.sortWithinPartitions(*self.keys), None, covered)
 
     def _write(self, rows: DataFrame, batch: str | None, covers: list[str]) -> None:
         attempt = uuid.uuid4().hex

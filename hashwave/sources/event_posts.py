@@ -93,10 +93,10 @@ def stream_event_posts(
 
 
 def event_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of most users; some are left out so that joins meet missing ones."""
+    """A profile of every customer; the first user has none, so that joins meet a missing one."""
     customers = spark.read.schema(CUSTOMER_SCHEMA).parquet(f"{sf_dir}/customer.parquet")
-    return customers.where("c_custkey % 7 != 3").selectExpr(
-        "'user' || c_custkey AS screen_name",
+    return customers.selectExpr(
+        "'user' || (c_custkey + 1) AS screen_name",
         """'http://img.example.com/' || c_custkey
            || CASE WHEN c_custkey % 10 = 0 THEN '.png' ELSE '_normal.png' END AS profile_image_url""",
         "c_mktsegment AS description",

@@ -10,6 +10,9 @@ from hashwave.functions.text import normalise_tag
 from hashwave.functions.timing import day_of
 from hashwave.operators.lookups import put_geo
 from hashwave.schemas import GEO_TREND, INFLUENCER
+from hashwave.sources.deltas import DeltaTable
+
+COUNTS = "hashtag string, user_handle string, count bigint"
 
 
 def write_geo_table(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -36,31 +39,34 @@ def put_geo_table(rows: DataFrame, path: str) -> None:
     spark = rows.sparkSession
     try:
         stored = read_geo_table(spark, path)
-    except AnalysisException:  # nothing stored so far
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         stored = spark.createDataFrame([], GEO_TREND)
     write_geo_table(put_geo(stored, rows), path)
 
 
-def write_count_batch(counts: DataFrame, batch_id: int, path: str) -> None:
-    """Store the counts of one batch under its number.
+def _counts(spark: SparkSession, path: str) -> DeltaTable:
+    return DeltaTable(spark, path, COUNTS, ["hashtag", "user_handle"], ["count"])
+
+
+def write_count_batch(counts: DataFrame, batch: str | int, path: str) -> bool:
+    """Commit the counts of one batch under its name; False if that batch is there already.
 
-    A batch that is run again replaces its own folder, so it never counts twice.
+    Batches are committed by a marker written last, so readers see them whole or not at all.
     """
     rows = counts.withColumn("hashtag", normalise_tag(F.col("hashtag")))
-    rows = rows.select(*INFLUENCER.fieldNames())
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    return _counts(counts.sparkSession, path).commit(rows.select(*INFLUENCER.fieldNames()), str(batch))
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Totals over all stored batches; a filter on the hashtag reaches the files."""
-    rows = spark.read.schema(INFLUENCER).parquet(path)
-    return rows.groupBy("hashtag", "user_handle").agg(F.sum("count").alias("count"))
+    """Totals over all committed batches; a filter on the hashtag reaches the files."""
+    return _counts(spark, path).read()
 
 
-def compact_counts(spark: SparkSession, path: str, target: str) -> None:
-    """Totals of all finished batches as the first batch of a new table, for readers to move to.
+def compact_counts(spark: SparkSession, path: str) -> None:
+    """Fold the committed batches into one, in hashtag order, a hot hashtag over several files.
 
-    They are stored in hashtag order, a hot hashtag over several files.
+    Streams may go on writing to the same table, before, meanwhile and afterwards.
     """
-    totals = read_counts(spark, path).repartitionByRange("hashtag", "user_handle")
-    write_count_batch(totals.sortWithinPartitions("hashtag", "user_handle"), 0, target)
+    _counts(spark, path).compact()

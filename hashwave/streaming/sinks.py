@@ -1,5 +1,6 @@
-"""Sinks. Files are written exactly once: by the checkpoint, or by batch folders that replace
-themselves when a batch is run again."""
+"""Sinks. Files are written exactly once: by the checkpoint, or under a name that a batch keeps
+when it is run again. The name holds the id of the query, which Spark keeps in the checkpoint: a stream with
+a new checkpoint counts its batches from 0 again, but never under the names of another."""
 
 from __future__ import annotations
 
@@ -43,13 +44,21 @@ def write_batches(
     return _triggered(writer.option("checkpointLocation", checkpoint), every).start(path)
 
 
+def batch_name(batch: DataFrame, batch_id: int) -> str:
+    """Names a batch of the running stream for good."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not query:
+        raise ValueError("only a running stream has batches to name")
+    return f"{query}-{batch_id}"
+
+
 def write_totals(
     totals: DataFrame, path: str, checkpoint: str, every: str | None = POLL_INTERVAL
 ) -> StreamingQuery:
-    """Store the totals that changed in each batch under the batch's number."""
+    """Store the totals that changed in each batch under the batch's name."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_name(batch, batch_id)}")
 
     writer = totals.writeStream.outputMode("update").foreachBatch(store)
     return _triggered(writer.option("checkpointLocation", checkpoint), every).start()
@@ -61,11 +70,11 @@ def accumulate_counts(
     """Store each batch's own counts, to be added up on reading. Keeps no state at all.
 
     This is the form for totals that outgrow the cluster's state: late posts count, a batch that
-    is run again replaces itself, and old batches can be compacted.
+    is run again counts once, and the table can be compacted and continued by any stream.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        write_count_batch(running_influencers(reshare_uses(batch)), batch_id, path)
+        write_count_batch(running_influencers(reshare_uses(batch)), batch_name(batch, batch_id), path)
 
     writer = tweets.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return _triggered(writer, every).start()

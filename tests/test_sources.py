@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import entities, message, rows
 from hashwave.operators import geo, influence, lookups, users
-from hashwave.sources import dumps, tables
+from hashwave.sources import deltas, dumps, tables
 from hashwave.sources.tweets import decode_tweets, read_profiles, read_tweets
 
 START = 1428350400
@@ -102,15 +102,39 @@ def test_geo_table_keeps_the_first_row_of_a_key(spark, tmp_path):
 
 
 def test_count_batches_are_idempotent(spark, tmp_path):
-    path, target = str(tmp_path / "counts"), str(tmp_path / "compact")
+    path = str(tmp_path / "counts")
     counts = lambda *r: spark.createDataFrame(list(r), "hashtag string, user_handle string, count bigint")
     tables.write_count_batch(counts(("a", "x", 1), ("a", "y", 2)), 0, path)
     for _ in range(2):
         tables.write_count_batch(counts(("A", "x", 10)), 1, path)
     totals = [("a", "x", 11), ("a", "y", 2)]
     assert rows(tables.read_counts(spark, path)) == totals
-    tables.compact_counts(spark, path, target)
-    assert rows(tables.read_counts(spark, target)) == totals
+    tables.compact_counts(spark, path)
+    assert rows(tables.read_counts(spark, path)) == totals
+    for _ in range(2):
+        tables.write_count_batch(counts(("a", "x", 100)), "late", path)
+        assert rows(tables.read_counts(spark, path)) == [("a", "x", 111), ("a", "y", 2)]
+    assert not tables.write_count_batch(counts(("a", "x", 10)), 1, path)
+
+
+def test_a_batch_that_lands_during_a_compaction_counts_once(spark, tmp_path):
+    table = deltas.DeltaTable(spark, str(tmp_path / "t"), "k string, n bigint", ["k"], ["n"])
+    change = lambda n: spark.createDataFrame([("a", n)], "k string, n bigint")
+    table.commit(change(1), "one")
+    table.commit(change(2), "two")
+    live = table._live()
+    write = table._write
+
+    def late(*args):
+        table._write = write
+        table.commit(change(4), "three")
+        write(*args)
+
+    table._write = late
+    table.compact()
+    assert len(live) == 2 and rows(table.read()) == [("a", 7)]
+    table.compact()
+    assert len(table._live()) == 1 and rows(table.read()) == [("a", 7)]
 
 
 def test_hashtag_filter_reaches_the_stored_counts(spark, tmp_path):

@@ -311,7 +311,8 @@ def similar_texts(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFra
     alike = texts.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
     classes = written(alike.agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), "classes")
     rows = splittable_join(texts.select("doc_id", "n", "s1", "s2"), classes.drop("point"), ["n", "s1", "s2"], "left")
-    rows = written(rows.select("doc_id", "n", "rep"), "rows")
+    rows = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    rows = written(rows, "rows")
 
     frequent = _frequent(summaries)
     first = _prefixes(docs, percent, width, frequent, None).groupBy("key").agg(F.min("s1").alias("x"), F.max("s1").alias("y"))

@@ -185,4 +185,7 @@ def keep_good(df: DataFrame, features: DataFrame, text: str = "text", least: flo
     model = fit(features)
     # The text is copied aside, and the row held in a struct, so no column of the input is touched.
     held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(text).alias("_q_text"))
-    return with_features(held, "_q_text").where(kept(model, least)).select("_row.*")
+    # The verdict is a generated row: a filter on it stays above the features, while one on the verdict's
+    # expression would be pushed down and repeat all of them for each time that it uses them.
+    judged = with_features(held, "_q_text").select("_row", F.explode(F.array(kept(model, least))).alias("_kept"))
+    return judged.where("_kept").select("_row.*")

@@ -120,7 +120,7 @@ def brute_components(texts, percent=80):
     return [len(s) for s in sets], [root(i) for i in range(len(texts))]
 
 
-def near_copies(n=240, seed=5):
+def near_copies(n=240, seed=5, least=3):
     """Chains of edited texts, shared passages, and texts at the border of the similarity."""
     rng = np.random.default_rng(seed)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 4))
@@ -131,7 +131,7 @@ def near_copies(n=240, seed=5):
             for _ in range(int(rng.integers(0, 6))):
                 words[int(rng.integers(len(words)))] = word()
         else:
-            words = [word() for _ in range(int(rng.integers(3, 90)))]
+            words = [word() for _ in range(int(rng.integers(least, 90)))]
             words += passage if i % 2 else []
         texts.append(" ".join(words))
     return texts
@@ -226,7 +226,7 @@ def test_main_text_of_a_page(spark):
 def test_pipeline_stages_agree_with_their_operators(spark):
     import corpus_pipeline
 
-    texts = near_copies(60) + [" ".join(f"clean{chr(97 + j % 26)} word{chr(97 + (j * i) % 26)}" for j in range(40)) + "." for i in range(20)]
+    texts = [f"{t}." for t in near_copies(60, least=60)]
     docs = table(spark, texts, lang=["en"], source=["a", "b"]).withColumn("n_chars", F.length("text").cast("long"))
     kept = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:

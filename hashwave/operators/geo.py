@@ -80,17 +80,21 @@ def hashtag_points(uses: DataFrame, bucket: str, parts: int = 8) -> DataFrame:
     )
 
 
-def newest_point(instant: str) -> list[Column]:
-    """Aggregates giving the point of a group's last row by (instant, id).
+def moment(instant: str) -> Column:
+    """(instant, id) packed into one number.
 
-    Both are packed into one number, since aggregates over plain numbers are hashed, while those
-    over structs make Spark sort all rows first. Rows of equal number belong to one post.
+    Aggregates over plain numbers are hashed, while those over structs make Spark sort all rows
+    first. Rows of equal number belong to one post.
     """
-    moment = F.expr(
+    return F.expr(
         f"CAST(unix_micros({instant}) AS decimal(18, 0)) * 10000000000000000000BD "
         "+ CAST(id AS decimal(19, 0))"
     )
-    return [F.max_by(name, moment).alias(name) for name in ("lat", "lng")]
+
+
+def newest_point(instant: str) -> list[Column]:
+    """Aggregates giving the point of a group's last row by (instant, id)."""
+    return [F.max_by(name, moment(instant)).alias(name) for name in ("lat", "lng")]
 
 
 def latest_points(rows: DataFrame, last: list[Column]) -> DataFrame:
@@ -104,6 +108,12 @@ def hashtag_geo_latest(uses: DataFrame, bucket: str) -> DataFrame:
     return latest_points(point_rows(uses, bucket), newest_point("ts"))
 
 
+def hashtag_geo_newest(uses: DataFrame, bucket: str) -> DataFrame:
+    """The same with the point's ``moment``, so that results of separate batches can be folded."""
+    last = [F.max(moment("ts")).alias("moment"), *newest_point("ts")]
+    return latest_points(point_rows(uses, bucket), last)
+
+
 def latest_dumped_points(points: DataFrame) -> DataFrame:
     """The same from points without an id: the last by time, then the largest."""
     last = F.max(F.struct("ts", "lat", "lng"))
@@ -154,16 +164,19 @@ def trend_legend(ranges: DataFrame) -> DataFrame:
     return steps.select("hashtag", F.inline(legend))
 
 
-def trend_map(sliced: DataFrame, live: DataFrame) -> DataFrame:
-    """Recorded points in their slice colours together with live points in the live colour."""
-    recorded = sliced.select("hashtag", "timebucket", "lat", "lng", "slice", "colour", "label")
-    newer = live.select(
+def live_markers(live: DataFrame) -> DataFrame:
+    """Live points in the live colour; works on tables and on streams."""
+    return live.select(
         "hashtag",
-        F.lit(None).cast("bigint").alias("timebucket"),
         "lat",
         "lng",
         F.lit(LIVE_SLICE).alias("slice"),
         F.lit(LIVE_COLOUR).alias("colour"),
         F.lit(LIVE_LABEL).alias("label"),
     )
-    return recorded.unionByName(newer)
+
+
+def trend_map(sliced: DataFrame, markers: DataFrame) -> DataFrame:
+    """Recorded points in their slice colours together with live markers, which have no time bucket."""
+    recorded = sliced.select("hashtag", "timebucket", "lat", "lng", "slice", "colour", "label")
+    return recorded.unionByName(markers, allowMissingColumns=True)

@@ -72,6 +72,8 @@ def top_influencers(totals: DataFrame, k: int = 3) -> DataFrame:
 def with_profiles(top: DataFrame, profiles: DataFrame) -> DataFrame:
     """Attach the large profile image; an author without a profile keeps a NULL one.
 
+    Of several profiles whose handles differ in case alone, one image stays.
+
     No broadcast hint: Spark broadcasts the profiles while they are below its size threshold, and
     otherwise joins by shuffle.
     """
@@ -79,5 +81,6 @@ def with_profiles(top: DataFrame, profiles: DataFrame) -> DataFrame:
         normalise_handle(F.col("screen_name")).alias("_handle"),
         avatar_url(F.col("profile_image_url")).alias("avatar_url"),
     )
+    images = images.groupBy("_handle").agg(F.min("avatar_url").alias("avatar_url"))
     joined = top.join(images, normalise_handle(top["user_handle"]) == images["_handle"], "left")
     return joined.drop("_handle")

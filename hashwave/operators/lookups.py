@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashwave.functions.text import normalise_tag
@@ -47,14 +47,15 @@ def keyword_status(trend: DataFrame, keywords: list[str] | DataFrame) -> DataFra
     )
 
 
-def put_geo(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """The rows of a batch to insert: one per (hashtag, timebucket), and none already stored."""
+def put_geo(stored: DataFrame, batch: DataFrame, order: Column | None = None) -> DataFrame:
+    """The rows of a batch to insert: one per (hashtag, timebucket), and none already stored.
+
+    Of several rows with one key the last by ``order`` stays, a number by which they differ; without
+    one it is the last by a hash of the point, so that reruns agree.
+    """
     key = ["hashtag", "timebucket"]
-    once = (
-        batch.groupBy(*key)
-        .agg(F.min(F.struct("lat", "lng")).alias("point"))
-        .select(*key, "point.lat", "point.lng")
-    )
+    order = F.xxhash64("lat", "lng") if order is None else order
+    once = batch.groupBy(*key).agg(*(F.max_by(name, order).alias(name) for name in ("lat", "lng")))
     return once.join(stored.select(*key), key, "left_anti")
 
 

@@ -160,12 +160,16 @@ def user_analytics(tl: DataFrame, n: int = 15) -> DataFrame:
 
 
 def with_user_profiles(metrics: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Attach followers, following, description and large image; missing profiles give NULLs."""
-    facts = profiles.select(
-        normalise_handle(F.col("screen_name")).alias("user_handle"),
+    """Attach followers, following, description and large image; missing profiles give NULLs.
+
+    Of several profiles whose handles differ in case alone, one stays.
+    """
+    handle = normalise_handle(F.col("screen_name")).alias("user_handle")
+    facts = F.struct(
         "followers_count",
         F.col("friends_count").alias("following_count"),
         "description",
         avatar_url(F.col("profile_image_url")).alias("avatar_url"),
     )
-    return metrics.join(facts, "user_handle", "left")
+    once = profiles.groupBy(handle).agg(F.min(facts).alias("facts")).select("user_handle", "facts.*")
+    return metrics.join(once, "user_handle", "left")

@@ -321,7 +321,6 @@ _TREND_INFLUENCERS = """
     from top t left join profiles p on p.user_handle = t.user_handle
 """
 _HALF = f"timestamp '{q.FIRST_HALF_ENDS}'"
-_DELAY_MS = 3_600_000
 _WEST, _SOUTH, _EAST, _NORTH = q.BOX
 
 
@@ -483,16 +482,12 @@ def oracle_sql() -> dict[str, str]:
             + ", ".join(f"('{h.lower().removeprefix('@')}')" for h in q.HANDLES)
             + ") as h(user_handle)"
         ),
-        "stream_geo": _with(
-            f"""select * from geo where timebucket * 1000 <=
-                (select epoch_ms(max(created_at)) from uses) - {_DELAY_MS}""",
-            "geo",
-        ),
+        "stream_geo": _with("select * from geo", "geo"),
+        "stream_put_once": _with("select * from geo", "geo"),
         "stream_influencers": _with(
             f"""
             select hashtag, user_handle, timebucket, count(*) as count
             from (select *, {_bucket_end(900)} as timebucket from reshares)
-            where timebucket * 1000 <= (select epoch_ms(max(created_at)) from reshares) - {_DELAY_MS}
             group by all
             """,
             "reshares",
@@ -531,4 +526,14 @@ def oracle_sql() -> dict[str, str]:
     for metric, name in names.items():
         sql[f"user_{metric}"] = _user_list(metric, name, 15)
         sql[f"user_{metric}_top3"] = _user_list(metric, name, 3)
+    # Other ways to the same rows.
+    same = {
+        "read_tweets_json": "tweets_flat",
+        "decode_tweets": "tweets_flat",
+        "stream_tweets_json": "tweets_flat",
+        "read_profiles": "profiles",
+        "stream_put_geo": "put_geo",
+        "stream_trend_map": "trend_map",
+    }
+    sql |= {name: sql[other] for name, other in same.items()}
     return sql

@@ -40,8 +40,18 @@ def hashtag_legend(geo: DataFrame, keywords: Keywords = None) -> DataFrame:
     return ops.trend_legend(_points_and_ranges(geo, keywords)[1])
 
 
-def live_trend(geo: DataFrame, live: DataFrame, keywords: Keywords = None) -> DataFrame:
-    """Recorded points and live points on one map."""
+def live_markers(live: DataFrame, keywords: Keywords = None) -> DataFrame:
+    """The live side of the map. On a stream, store the markers and read them for :func:`trend_map`."""
     if keywords is not None:
         live = lookup_hashtag(live, keywords)
-    return ops.trend_map(hashtag_trend(geo, keywords), live)
+    return ops.live_markers(live)
+
+
+def trend_map(geo: DataFrame, markers: DataFrame, keywords: Keywords = None) -> DataFrame:
+    """Recorded points and stored live markers on one map."""
+    return ops.trend_map(hashtag_trend(geo, keywords), markers)
+
+
+def live_trend(geo: DataFrame, live: DataFrame, keywords: Keywords = None) -> DataFrame:
+    """Recorded points and a table of live points on one map."""
+    return trend_map(geo, live_markers(live, keywords), keywords)

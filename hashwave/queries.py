@@ -17,7 +17,7 @@ from hashwave.operators import filters, geo, influence, lookups, users
 from hashwave.plans import influencers as influencer_plans
 from hashwave.plans import trends, users as user_plans
 from hashwave.session import prepare, shared_dir, use_rocksdb_state
-from hashwave.sources import dumps, tables
+from hashwave.sources import dumps, tables, tweets
 from hashwave.sources.event_posts import (
     event_posts,
     event_profiles,
@@ -81,10 +81,8 @@ def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources, filters and projections
 
 
-@query
-def tweets_flat(spark, sf_dir):
+def _flat(posts: DataFrame) -> DataFrame:
     lat, lng = (F.col("coordinates.coordinates")[i] for i in (1, 0))
-    posts = filters.posts_only(event_posts(spark, sf_dir))
     return posts.select(
         "id",
         _seconds("created_at"),
@@ -101,6 +99,38 @@ def tweets_flat(spark, sf_dir):
     )
 
 
+@query
+def tweets_flat(spark, sf_dir):
+    return _flat(filters.posts_only(event_posts(spark, sf_dir)))
+
+
+def _message_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with all posts as JSON messages, and a control message for every event of a user divisible by 3."""
+    path = shared_dir(spark, "messages")
+    deleted = read_events(spark, sf_dir).where("user_id % 3 = 0")
+    control = deleted.select(F.to_json(F.struct(F.struct("event_id").alias("delete"))).alias("value"))
+    tweets.to_messages(event_posts(spark, sf_dir)).unionByName(control).write.text(path)
+    return path
+
+
+@query
+def read_tweets_json(spark, sf_dir):
+    return _flat(tweets.read_tweets(spark, _message_files(spark, sf_dir)))
+
+
+@query
+def decode_tweets(spark, sf_dir):
+    return _flat(tweets.decode_tweets(spark.read.text(_message_files(spark, sf_dir))))
+
+
+@query
+def stream_tweets_json(spark, sf_dir):
+    path = shared_dir(spark, "stream-tweets")
+    posts = _flat(tweets.stream_tweets(spark, _message_files(spark, sf_dir)))
+    sinks.write_batches(posts, f"{path}/table", f"{path}/checkpoint", every=None).awaitTermination()
+    return spark.read.schema(posts.schema).parquet(f"{path}/table")
+
+
 @query
 def text_hashtags(spark, sf_dir):
     return _geo_uses(spark, sf_dir).select("id", "pos", "hashtag", "lat", "lng")
@@ -124,9 +154,7 @@ def point_rows(spark, sf_dir):
     return rows.withColumn("ts", _seconds("ts"))
 
 
-@query
-def profiles(spark, sf_dir):
-    rows = event_profiles(spark, sf_dir)
+def _flat_profiles(rows: DataFrame) -> DataFrame:
     return rows.select(
         normalise_handle(F.concat(F.lit("@"), F.upper("screen_name"))).alias("user_handle"),
         avatar_url(F.col("profile_image_url")).alias("avatar_url"),
@@ -136,6 +164,18 @@ def profiles(spark, sf_dir):
     )
 
 
+@query
+def profiles(spark, sf_dir):
+    return _flat_profiles(event_profiles(spark, sf_dir))
+
+
+@query
+def read_profiles(spark, sf_dir):
+    path = shared_dir(spark, "profiles")
+    event_profiles(spark, sf_dir).write.parquet(path)
+    return _flat_profiles(tweets.read_profiles(spark, path))
+
+
 # Geography of hashtags
 
 
@@ -396,20 +436,52 @@ def user_page_handles(spark, sf_dir):
 
 @query
 def stream_geo(spark, sf_dir):
-    use_rocksdb_state(spark)
     path = shared_dir(spark, "stream-geo")
-    rows = jobs.stream_geo(stream_event_posts(spark, sf_dir), GEO_BUCKET, DELAY)
-    sinks.write_batches(rows, f"{path}/table", f"{path}/checkpoint", every=None).awaitTermination()
-    return tables.read_geo_table(spark, f"{path}/table")
+    posts = stream_event_posts(spark, sf_dir)
+    sinks.accumulate_geo(posts, f"{path}/table", f"{path}/checkpoint", GEO_BUCKET, None).awaitTermination()
+    return tables.read_newest(spark, f"{path}/table")
 
 
 @query
 def stream_influencers(spark, sf_dir):
-    use_rocksdb_state(spark)
     path = shared_dir(spark, "stream-influencers")
-    rows = jobs.stream_influencers(stream_event_posts(spark, sf_dir), COUNT_BUCKET, DELAY)
-    sinks.write_batches(rows, f"{path}/table", f"{path}/checkpoint", every=None).awaitTermination()
-    return spark.read.parquet(f"{path}/table").drop("date")
+    posts = stream_event_posts(spark, sf_dir)
+    sinks.accumulate_intervals(posts, f"{path}/table", f"{path}/checkpoint", COUNT_BUCKET, None).awaitTermination()
+    return tables.read_interval_counts(spark, f"{path}/table")
+
+
+@query
+def stream_put_geo(spark, sf_dir):
+    """The first half of the posts is put as a backfill, then all of them as a stream into the same table."""
+    path = shared_dir(spark, "stream-put")
+    early = _geo_uses(spark, sf_dir).where(F.col("created_at") < F.lit(FIRST_HALF_ENDS))
+    tables.put_geo_table(geo.hashtag_geo_latest(early, "1 day"), f"{path}/table")
+    posts = stream_event_posts(spark, sf_dir)
+    sinks.put_points(posts, f"{path}/table", f"{path}/checkpoint", "1 day", None).awaitTermination()
+    return tables.read_geo_table(spark, f"{path}/table")
+
+
+@query
+def stream_put_once(spark, sf_dir):
+    """The geo trend delivered twice as a stream: each key passes once."""
+    use_rocksdb_state(spark)
+    path = shared_dir(spark, "put-once")
+    trend = _geo_trend(spark, sf_dir).withColumn("at", F.timestamp_seconds("timebucket"))
+    for _ in range(2):
+        trend.write.mode("append").parquet(f"{path}/in")
+    stream = jobs.put_once(spark.readStream.schema(trend.schema).parquet(f"{path}/in"), "at", DELAY)
+    sinks.write_batches(stream, f"{path}/table", f"{path}/checkpoint", every=None).awaitTermination()
+    return tables.read_geo_table(spark, f"{path}/table")
+
+
+@query
+def stream_trend_map(spark, sf_dir):
+    """The map with its live side from a stream."""
+    path = shared_dir(spark, "stream-map")
+    markers = trends.live_markers(jobs.stream_live(stream_event_posts(spark, sf_dir)), KEYWORDS)
+    sinks.write_batches(markers, f"{path}/table", f"{path}/checkpoint", every=None).awaitTermination()
+    stored = spark.read.schema(markers.schema).parquet(f"{path}/table")
+    return trends.trend_map(_geo_trend(spark, sf_dir), stored, KEYWORDS)
 
 
 @query

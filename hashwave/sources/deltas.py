@@ -83,3 +83,14 @@ class DeltaTable:
 
     def _add_up(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy(*self.keys).agg(*(F.sum(v).alias(v) for v in self.values))
+
+
+class NewestTable(DeltaTable):
+    """The same for values that replace one another: of each key, those of the greatest ``moment`` stay.
+
+    ``moment`` is one of the values, a number, so that the aggregate is hashed. Rows with the
+    same key and moment must be equal; batches may then come in any order.
+    """
+
+    def _add_up(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(*(F.max_by(v, "moment").alias(v) for v in self.values))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from hashwave.functions.text import normalise_tag
 from hashwave.functions.timing import day_of
 from hashwave.operators.lookups import put_geo
 from hashwave.schemas import GEO_TREND, INFLUENCER
-from hashwave.sources.deltas import DeltaTable
+from hashwave.sources.deltas import DeltaTable, NewestTable
 
 COUNTS = "hashtag string, user_handle string, count bigint"
+INTERVAL_COUNTS = f"{COUNTS}, timebucket bigint"
+NEWEST = "hashtag string, timebucket bigint, moment decimal(38, 0), lat double, lng double"
 
 
 def write_geo_table(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -35,15 +40,67 @@ def read_geo_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def put_geo_table(rows: DataFrame, path: str) -> None:
-    """Insert rows whose key is not stored yet; replaying a batch changes nothing."""
+    """Insert rows whose key is not stored yet; replaying a batch changes nothing.
+
+    Backfills and streams share this rule. Of the stored rows only the days of the batch are read; the
+    days are names of partitions, which the driver lists in any case.
+    """
     spark = rows.sparkSession
+    rows = rows.select(*GEO_TREND.fieldNames()).persist()
     try:
-        stored = read_geo_table(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = spark.createDataFrame([], GEO_TREND)
-    write_geo_table(put_geo(stored, rows), path)
+        days = rows.select(day_of(F.col("timebucket")).alias("date")).distinct().collect()
+        try:
+            stored = stored_days(spark, path, [row.date for row in days])
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = spark.createDataFrame([], GEO_TREND)
+        write_geo_table(put_geo(stored, rows), path)
+    finally:
+        rows.unpersist()
+
+
+def stored_days(spark: SparkSession, path: str, days: list[date]) -> DataFrame:
+    """The stored trend rows of some days; other days' files are not opened."""
+    stored = spark.read.schema(StructType([*GEO_TREND, StructField("date", DateType())])).parquet(path)
+    return stored.where(F.col("date").isin(days)).select(*GEO_TREND.fieldNames())
+
+
+def _newest(spark: SparkSession, path: str) -> NewestTable:
+    return NewestTable(spark, path, NEWEST, ["hashtag", "timebucket"], ["moment", "lat", "lng"])
+
+
+def write_newest_batch(points: DataFrame, batch: str, path: str) -> bool:
+    """Commit the newest point of each hashtag and interval that one batch of posts holds."""
+    return _newest(points.sparkSession, path).commit(points, batch)
+
+
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """The geo trend over all committed batches, whatever the order they came in."""
+    return _newest(spark, path).read().select(*GEO_TREND.fieldNames())
+
+
+def compact_newest(spark: SparkSession, path: str) -> None:
+    """Fold the committed batches into one in the order of hashtag and time, so that lookups skip row groups."""
+    _newest(spark, path).compact()
+
+
+def _interval_counts(spark: SparkSession, path: str) -> DeltaTable:
+    return DeltaTable(spark, path, INTERVAL_COUNTS, ["hashtag", "user_handle", "timebucket"], ["count"])
+
+
+def write_interval_counts(counts: DataFrame, batch: str, path: str) -> bool:
+    """Commit the counts by interval of one batch of posts."""
+    return _interval_counts(counts.sparkSession, path).commit(counts, batch)
+
+
+def read_interval_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of each hashtag and author in each interval, over all committed batches."""
+    return _interval_counts(spark, path).read()
+
+
+def compact_interval_counts(spark: SparkSession, path: str) -> None:
+    _interval_counts(spark, path).compact()
 
 
 def _counts(spark: SparkSession, path: str) -> DeltaTable:

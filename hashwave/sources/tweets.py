@@ -21,6 +21,12 @@ def _typed(raw: DataFrame) -> DataFrame:
     return posts_only(raw).withColumn("created_at", parse_created_at(F.col("created_at")))
 
 
+def to_messages(tweets: DataFrame) -> DataFrame:
+    """Posts as JSON messages in one column ``value``, as :func:`read_tweets` reads them."""
+    created = F.date_format("created_at", f"EEE {CREATED_AT_FORMAT}")
+    return tweets.withColumn("created_at", created).select(F.to_json(F.struct(*TWEET.fieldNames())).alias("value"))
+
+
 def read_tweets(spark: SparkSession, path: str | list[str], format: str = "json") -> DataFrame:
     """Posts from JSON messages, whose control messages are dropped, or from a typed table.
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from hashwave.functions.timing import day_of
-from hashwave.operators.influence import reshare_uses, running_influencers
+from hashwave.operators.geo import geo_uses, hashtag_geo_latest, hashtag_geo_newest
+from hashwave.operators.influence import reshare_uses, retweet_counts, running_influencers
 from hashwave.schemas import INFLUENCER
-from hashwave.sources.tables import write_count_batch
+from hashwave.sources.tables import put_geo_table, write_count_batch, write_interval_counts, write_newest_batch
 
 # Fixed value: how often an idle job looks for new input.
 POLL_INTERVAL = "5 minutes"
@@ -27,19 +28,19 @@ def write_batches(
     path: str,
     checkpoint: str,
     every: str | None = POLL_INTERVAL,
-    files_per_day: int = 4,
+    files_per_day: int | None = None,
 ) -> StreamingQuery:
     """Append rows to Parquet, exactly once; rows with a time bucket by day.
 
-    Each finished interval would leave a file per state partition and day. Rows are dealt out by
-    hashtag instead, so that a batch leaves at most ``files_per_day`` files for a day; raise it
-    where the batches are large.
+    Every task writes the rows it has, so that large days are written by all of them. Where batches
+    are small, ``files_per_day`` deals rows out by hashtag into at most so many files for a batch and day.
     """
     writer = rows.writeStream
     if "timebucket" in rows.columns:
-        share = F.pmod(F.xxhash64("hashtag", "timebucket"), F.lit(files_per_day))
-        by_day = rows.withColumn("date", day_of(F.col("timebucket"))).repartition("date", share)
-        writer = by_day.writeStream.partitionBy("date")
+        rows = rows.withColumn("date", day_of(F.col("timebucket")))
+        if files_per_day is not None:
+            rows = rows.repartition("date", F.pmod(F.xxhash64("hashtag", "timebucket"), F.lit(files_per_day)))
+        writer = rows.writeStream.partitionBy("date")
     writer = writer.format("parquet").outputMode("append")
     return _triggered(writer.option("checkpointLocation", checkpoint), every).start(path)
 
@@ -80,6 +81,47 @@ def accumulate_counts(
     return _triggered(writer, every).start()
 
 
+def accumulate_geo(
+    tweets: DataFrame, path: str, checkpoint: str, bucket: str = "1 second", every: str | None = POLL_INTERVAL
+) -> StreamingQuery:
+    """Store each batch's newest points by interval, to be folded on reading.
+
+    Keeps no state and waits for no watermark: the last interval is there, and so are late posts,
+    as a replay of files in no order of time brings them.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        write_newest_batch(hashtag_geo_newest(geo_uses(batch), bucket), batch_name(batch, batch_id), path)
+
+    writer = tweets.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return _triggered(writer, every).start()
+
+
+def accumulate_intervals(
+    tweets: DataFrame, path: str, checkpoint: str, bucket: str = "15 minutes", every: str | None = POLL_INTERVAL
+) -> StreamingQuery:
+    """Store each batch's counts by interval, to be added up on reading; complete as :func:`accumulate_geo` is."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        write_interval_counts(retweet_counts(reshare_uses(batch), bucket), batch_name(batch, batch_id), path)
+
+    writer = tweets.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return _triggered(writer, every).start()
+
+
+def put_points(
+    tweets: DataFrame, path: str, checkpoint: str, bucket: str = "1 second", every: str | None = POLL_INTERVAL
+) -> StreamingQuery:
+    """Put each batch's points into the served table: keys that a backfill or an earlier batch stored stay as
+    they are, so a batch that is run again adds nothing."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        put_geo_table(hashtag_geo_latest(geo_uses(batch), bucket), path)
+
+    writer = tweets.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return _triggered(writer, every).start()
+
+
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
     """The newest total of each pair; totals only grow, so it is the largest."""
     return (

@@ -145,7 +145,9 @@ def test_ordered_scan_and_range(spark):
 def test_put_keeps_stored_rows(spark):
     stored = trend(spark, ("a", 1, 1.0, 1.0))
     batch = trend(spark, ("a", 1, 9.0, 9.0), ("a", 2, 2.0, 2.0), ("a", 2, 3.0, 0.0))
-    assert rows(lookups.put_geo(stored, batch)) == [("a", 2, 2.0, 2.0)]
+    for order, point in ((-F.col("lat"), (2.0, 2.0)), (F.col("lat"), (3.0, 0.0))):
+        assert rows(lookups.put_geo(stored, batch, order)) == [("a", 2, *point)]
+    assert rows(lookups.put_geo(stored, batch)) in ([("a", 2, 2.0, 2.0)], [("a", 2, 3.0, 0.0)])
 
 
 def test_result_json_keeps_nulls(spark):

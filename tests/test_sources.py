@@ -1,10 +1,13 @@
 import json
 import re
+from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from conftest import entities, message, rows
 from hashwave.operators import geo, influence, lookups, users
+from hashwave.schemas import GEO_TREND
 from hashwave.sources import deltas, dumps, tables
 from hashwave.sources.tweets import decode_tweets, read_profiles, read_tweets
 
@@ -101,6 +104,28 @@ def test_geo_table_keeps_the_first_row_of_a_key(spark, tmp_path):
     assert (tmp_path / "geo" / "date=2015-04-06").is_dir()
 
 
+def test_a_put_reads_the_days_of_its_batch(spark, tmp_path):
+    path = str(tmp_path / "geo")
+    day = lambda n: spark.createDataFrame([("a", START + n * 86400, 1.0, 1.0)], GEO_TREND)
+    for n in range(3):
+        tables.put_geo_table(day(n), path)
+    stored = tables.stored_days(spark, path, [date(2015, 4, 7)])
+    assert rows(stored, "timebucket") == [(START + 86400,)]
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "2015-04-07" in plan
+    put = lookups.put_geo(stored, day(1))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in put
+
+
+def test_newest_points_fold_in_any_order(spark, tmp_path):
+    path = str(tmp_path / "newest")
+    batch = lambda m, lat: spark.createDataFrame([("a", START, Decimal(m), lat, lat)], tables.NEWEST)
+    for name, m, lat in (("1", 5, 1.0), ("2", 9, 2.0), ("2", 99, 9.0), ("3", 7, 3.0)):
+        tables.write_newest_batch(batch(m, lat), name, path)
+        tables.compact_newest(spark, path)
+    assert rows(tables.read_newest(spark, path)) == [("a", START, 2.0, 2.0)]
+
+
 def test_count_batches_are_idempotent(spark, tmp_path):
     path = str(tmp_path / "counts")
     counts = lambda *r: spark.createDataFrame(list(r), "hashtag string, user_handle string, count bigint")

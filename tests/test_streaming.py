@@ -2,7 +2,8 @@ import pytest
 
 from conftest import at, author, entities, message, place, reshare_of, rows
 from hashwave.operators import geo, influence
-from hashwave.sources.tables import read_counts
+from hashwave.plans import trends
+from hashwave.sources.tables import put_geo_table, read_counts, read_geo_table, read_interval_counts, read_newest
 from hashwave.sources.tweets import read_tweets, stream_tweets
 from hashwave.streaming import jobs, sinks
 
@@ -48,6 +49,42 @@ def test_finished_intervals_equal_the_batch_result(spark, write_messages, folder
     assert rows(spark.read.parquet(folders[0]).drop("date")) == rows(finished)
 
 
+def test_accumulated_intervals_lose_nothing_out_of_time_order(spark, write_messages, folders):
+    path = write_messages(posts_of(range(40, 59), 40))
+    write_messages(posts_of(range(0, 20)), path)
+    stream = stream_tweets(spark, path, max_files=1)
+    sinks.accumulate_geo(stream, f"{folders[0]}/geo", f"{folders[1]}/geo", "5 minutes", None).awaitTermination()
+    sinks.accumulate_intervals(stream, f"{folders[0]}/n", f"{folders[1]}/n", "15 minutes", None).awaitTermination()
+    posts = read_tweets(spark, path)
+    assert rows(read_newest(spark, f"{folders[0]}/geo")) == rows(geo.hashtag_geo_latest(geo.geo_uses(posts), "5 minutes"))
+    names = ["hashtag", "user_handle", "timebucket", "count"]
+    counts = influence.retweet_counts(influence.reshare_uses(posts), "15 minutes")
+    assert rows(read_interval_counts(spark, f"{folders[0]}/n"), *names) == rows(counts, *names)
+
+
+def test_a_stream_puts_no_key_twice(spark, write_messages, folders):
+    path = write_messages(posts_of(range(0, 9)))
+    put_geo_table(geo.hashtag_geo_latest(geo.geo_uses(read_tweets(spark, path)), "1 minute"), folders[0])
+    before = rows(read_geo_table(spark, folders[0]))
+    write_messages(posts_of([5, 30], 100), path)
+    sinks.put_points(stream_tweets(spark, path), *folders, "1 minute", None).awaitTermination()
+    after = rows(read_geo_table(spark, folders[0]))
+    assert set(before) < set(after) and len({r[:2] for r in after}) == len(after)
+
+
+def test_live_markers_of_a_stream(spark, write_messages, folders):
+    path = write_messages(posts_of(range(0, 8)))
+    words = spark.createDataFrame([("E1",)], "keyword string")
+    posts = read_tweets(spark, path)
+    for n, wanted in enumerate((["E1"], words)):
+        markers = trends.live_markers(jobs.stream_live(stream_tweets(spark, path)), wanted)
+        run(markers, [f"{f}/{n}" for f in folders])
+        table = geo.hashtag_geo_latest(geo.geo_uses(posts), "1 minute")
+        shown = trends.trend_map(table, spark.read.parquet(f"{folders[0]}/{n}"), wanted)
+        expected = trends.live_trend(table, jobs.stream_live(posts), wanted)
+        assert rows(shown) == rows(expected) and shown.count() == 4
+
+
 def test_influencer_intervals_equal_the_batch_result(spark, write_messages, folders):
     path = write_messages(posts_of(range(0, 59)))
     run(jobs.stream_influencers(stream_tweets(spark, path)), folders)

@@ -16,12 +16,17 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from hashwave.llm.chunks import PRE_TOKEN, PieceCache, PieceEncoder
 
+#: Texts, or ids, are worked on in parts of about so many bytes.
+_PART_BYTES = 1 << 21
+
+
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabulary files."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -140,6 +145,21 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _parts(batch: pa.RecordBatch, column: str, bytes_each: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``_PART_BYTES`` of one column, so that little is worked on at once."""
+    if not batch.num_rows:
+        yield batch
+    values = batch.column(column)
+    length = pa.compute.list_value_length(values) if pa.types.is_list(values.type) else pa.compute.binary_length(values)
+    ends = np.cumsum(length.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) * bytes_each)
+    low = 0
+    while low < batch.num_rows:
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + _PART_BYTES, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     names = batch.schema.names
     columns = [c for n, c in zip(names, batch.columns) if n != name]
@@ -159,7 +179,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text = encoder(path).encode_text
-        for batch in batches:
+        for batch in (part for batch in batches for part in _parts(batch, text, 1)):
             encoded = [encode_text(t or "") for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *(len(e) // 4 for e in encoded)], dtype=np.int64)
             ids = pa.array(np.frombuffer(b"".join(encoded), "<i4"))
@@ -176,7 +196,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of = vocabulary(path).decode
-        for batch in batches:
+        for batch in (part for batch in batches for part in _parts(batch, ids, 4)):
             rows = batch.column(ids)
             values, ends = rows.values.to_numpy(), rows.offsets.to_numpy()
             texts = [text_of(values[a:b].tolist()) for a, b in zip(ends, ends[1:])]

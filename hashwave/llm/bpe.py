@@ -17,11 +17,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hashwave.llm.chunks import PRE_TOKEN, PieceCache, PieceEncoder
+from hashwave.llm.chunks import PieceEncoder
 
 #: Texts, or ids, are worked on in parts of about so many bytes.
 _PART_BYTES = 1 << 21
@@ -79,12 +78,7 @@ class BpeEncoder:
             self._suffixes.add_word(token.decode("latin-1"), (number, len(token)))
         self._suffixes.make_automaton()
         self._pairs: dict[int, bool] = {}
-        self._words = PieceCache(self._by_prefixes)
-        self._pre_token = regex.compile(PRE_TOKEN).findall
-        self.encode_text = PieceEncoder(self._encode_piece, vocabulary.special)
-
-    def _encode_piece(self, piece: str) -> bytes:
-        return b"".join(map(self._words.__getitem__, self._pre_token(piece)))
+        self.encode_text = PieceEncoder(self._by_prefixes, vocabulary.special)
 
     def _by_prefixes(self, text: str) -> bytes:
         """The ids of one pre-token, from the last token of each of its prefixes."""

@@ -11,10 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import regex
+
 # White space as Python sees it holds all the white space of the pattern, so a cut made here is
 # one that the tokenizer makes too.
 _NEEDS_CARE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 
 #: Fixed by the tokenizers' format: how a text falls into pre-tokens before the merges.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -28,6 +31,14 @@ def pieces(text: str) -> list[str]:
     return _CUT.split(text) if _NEEDS_CARE.search(text) else text.split(" ")
 
 
+def lines(text: str) -> list[str]:
+    """The parts of a text between those line breaks that are tokens of their own."""
+    if "\n" not in text:
+        return [text]
+    parts = text.split("\n")
+    return parts if all(part and part.strip() == part for part in parts) else _BREAK.split(text)
+
+
 class PieceCache(dict):
     """Encoded pieces by text, in two generations, so that memory is bounded and common ones stay."""
 
@@ -50,13 +61,15 @@ class PieceCache(dict):
 class PieceEncoder:
     """Encodes whole texts piece by piece into little-endian unsigned 32-bit ids.
 
-    ``special`` maps the strings that stand for one id wherever they occur to that id. They are
+    ``encode`` gives the ids of one pre-token. ``special`` maps the strings that stand for one id wherever they occur to that id. They are
     cut out first, as the tokenizer does, so white space beside them is not shared with words.
     """
 
     def __init__(self, encode: Callable[[str], bytes], special: dict[str, int], most: int = 250_000):
-        self._first = PieceCache(encode, "", 50_000)
-        self._spaced = PieceCache(encode, " ", most)
+        self._words = PieceCache(encode)
+        self._pre_tokens = regex.compile(PRE_TOKEN).findall
+        self._first = PieceCache(self._encode_piece, "", 50_000)
+        self._spaced = PieceCache(self._encode_piece, " ", most)
         self._special = {name: id.to_bytes(4, "little") for name, id in special.items()}
         self._marks = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
@@ -69,9 +82,16 @@ class PieceEncoder:
             end = mark.end()
         return b"".join([*out, self._plain(text[end:])])
 
+    def _encode_piece(self, piece: str) -> bytes:
+        letters = piece.removeprefix(" ")
+        if letters.isascii() and letters.isalpha():
+            return self._words[piece]
+        return b"".join(map(self._words.__getitem__, self._pre_tokens(piece)))
+
     def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
+        return self._first["\n"].join(map(self._line, lines(text))) if text else b""
+
+    def _line(self, text: str) -> bytes:
         first, *spaced = pieces(text)
         head = self._first[first] if first else b""
         return head + b"".join(map(self._spaced.__getitem__, spaced))

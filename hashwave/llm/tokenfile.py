@@ -16,13 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hashwave.llm.chunks import PRE_TOKEN, PieceCache, PieceEncoder
+from hashwave.llm.bpe import byte_alphabet
+from hashwave.llm.chunks import PieceEncoder
 from hashwave.session import shared_dir
 
 CHUNK_BITS = 8
@@ -91,15 +91,22 @@ class DirectCodes:
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> PieceEncoder:
-    """Encodes with the tokenizers library, each distinct piece of text once while it is kept."""
+    """Encodes with the tokenizers library, each distinct piece of text once while it is kept.
+
+    Pieces are pre-tokens already, so the library's model encodes them without its other steps.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     special = {t.content: id for id, t in tokenizer.get_added_tokens_decoder().items()}
 
-    words = PieceCache(lambda word: np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
-    split = regex.compile(PRE_TOKEN).findall
-    return PieceEncoder(lambda piece: b"".join(map(words.__getitem__, split(piece))), special, most=400_000)
+    alphabet = {byte: char for char, byte in byte_alphabet().items()}
+    model = tokenizer.model
+
+    def encode_word(word: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(word.encode().decode("latin-1").translate(alphabet))])
+
+    return PieceEncoder(encode_word, special, most=400_000)
 
 
 def write_token_file(

@@ -3,8 +3,9 @@
 A page's text nodes are grouped by their path of tags from the root. Article text sits under few
 paths with long, punctuated nodes; menus and notices under paths with short ones. The mean length and
 the mean punctuation of each path, taken over the nodes in page order, are smoothed and
-multiplied; paths above a threshold are content. The element that holds the content is the article, and
-its blocks are the text, without the parts that are marked as something else.
+multiplied; paths above a threshold are content, and so are blocks of prose on other paths. The smallest
+element that holds all content is the article, and its blocks are the text, with the headline above it and
+without the parts that are marked as something else.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、]")
+_WORDED = re.compile(r"\w")
+#: Characters from which a punctuated block is content on any path.
+_PROSE = 80
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea iframe svg title select".split())
@@ -32,6 +36,10 @@ _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins k
 _ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
+#: Blocks that are parts of an article and not the article.
+_NO_CONTAINER = frozenset(
+    "p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table caption colgroup thead tbody tfoot tr td th figure figcaption header hgroup address details summary".split()
+)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NOT_ARTICLE = frozenset("nav footer aside form button menu dialog".split())
 _NOT_ARTICLE_NAMES = frozenset(
@@ -132,32 +140,62 @@ def _content_paths(nodes: list[_Node], width: float) -> set[tuple[str, ...]]:
     return {tags for tags, number in numbers.items() if means[number] >= threshold}
 
 
-def main_text(html: str | None, width: float = 1.0, share: float = 0.7) -> str:
+def _prose(nodes: list[_Node]) -> set[int]:
+    """Blocks that read as prose whatever their path: long enough, punctuated, and most of it no link."""
+    texts: dict[int, list[str]] = defaultdict(list)
+    for node in nodes:
+        if "a" not in node.tags:
+            texts[node.block].append(node.text)
+    linked = defaultdict(int)
+    for node in nodes:
+        if "a" in node.tags:
+            linked[node.block] += len(node.text)
+    found = ((block, "".join(part)) for block, part in texts.items())
+    return {b for b, text in found if len(text) >= max(_PROSE, linked[b]) and _PUNCTUATION.search(text)}
+
+
+def _article(content: list[_Node]) -> tuple[tuple[str, int], ...]:
+    """The path of the smallest container that holds all content, or of the article or main element around it."""
+    shared = content[0].path
+    for node in content:
+        same = next((i for i, (x, y) in enumerate(zip(shared, node.path)) if x != y), min(len(shared), len(node.path)))
+        shared = shared[:same]
+    outer = next((i for i, (tag, _) in enumerate(shared) if tag in ("article", "main")), len(shared))
+    shared = shared[: outer + 1]
+    while shared and (shared[-1][0] in _INLINE or shared[-1][0] in _NO_CONTAINER):
+        shared = shared[:-1]
+    return shared
+
+
+def main_text(html: str | None, width: float = 1.0) -> str:
     """The article's blocks joined by line ends; empty for null, empty and textless pages.
 
-    The article is the deepest element with at least ``share`` of the content's characters. White space
-    within a block, line breaks included, becomes one space; character references are decoded.
+    The article is the smallest container with all of the page's content, and all of it is text. If that is the
+    whole page, blocks of nothing but links are left out. A headline above the article comes with what
+    stands between the two. White space within a block, line breaks included, becomes one space; character
+    references are decoded.
     """
     nodes = _nodes(html or "")
     plain = [node for node in nodes if not node.other]
     if not plain:
         return ""
-    paths = _content_paths(plain, width)
-    content = [node for node in plain if node.tags in paths]
-    held = defaultdict(int)
-    for node in content:
-        for element in node.path:
-            held[element] += len(node.text)
-    total = sum(len(node.text) for node in content)
-    # Blocks and not inline elements or paragraphs can be the article.
-    parts = [e for e, n in held.items() if n >= share * total and e[0] not in _INLINE and e[0] not in ("p", "li", "ul", "ol")]
-    article = max(parts, key=lambda e: e[1], default=None)
-    precise = article is not None and article[0] not in ("html", "body")
+    paths, prose = _content_paths(plain, width), _prose(plain)
+    article = _article([node for node in plain if node.tags in paths or node.block in prose])
+    within = [node.path[: len(article)] == article for node in plain]
+    first = begin = within.index(True)
+    if not any(inside and "h1" in node.tags for inside, node in zip(within, plain)):
+        begin = max((i for i in range(first) if "h1" in plain[i].tags), default=first)
+        begin = next(i for i in range(begin + 1) if plain[i].block == plain[begin].block)
+    precise = bool(article) and article[-1][0] not in ("html", "body")
+    # Blocks with words outside links, and those with content.
+    worded = {
+        node.block
+        for node in plain
+        if node.tags in paths or not _HEADINGS.isdisjoint(node.tags) or ("a" not in node.tags and _WORDED.search(node.text))
+    }
     blocks: dict[int, list[str]] = {}
-    for node in plain:
-        if article is not None and article not in node.path:
-            continue
-        if precise or node.tags in paths or "a" not in node.tags or not _HEADINGS.isdisjoint(node.tags):
+    for i, node in enumerate(plain):
+        if (within[i] and precise) or ((within[i] or begin <= i < first) and node.block in worded):
             blocks.setdefault(node.block, []).append(node.text)
     lines = (_SPACE.sub(" ", "".join(texts)).strip() for texts in blocks.values())
     return "\n".join(line for line in lines if line)

@@ -223,6 +223,29 @@ def test_main_text_of_a_page(spark):
     assert html.main_text(long).count("\n") == 4999
 
 
+LONG = "A sentence of the article, with some words, and commas. It goes on for a while, as sentences do. " * 3
+SHORT = "Short, but part of it."
+LINKS = "<div><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></div>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article><header><h1>Title</h1><p>Lede</p></header><div class=body>{f'<p>{LONG}</p>' * 4}</div></article>",
+        f"<div><header><h1>Title</h1><p>Lede</p></header><div class=body>{f'<p>{LONG}</p>' * 4}</div></div>",
+        f"<div><section>{f'<p>{LONG}</p>' * 7}</section><section><h2>More</h2>{f'<p>{LONG}</p>' * 3}<p>{SHORT}</p></section></div>",
+        f"<div><div>{f'<p>{LONG}</p>' * 7}</div><section><blockquote>{LONG[:99]}</blockquote><p>{SHORT}</p></section></div>",
+        *(f"<div><p>{LONG}</p><p>{SHORT}</p><{tag}>{LONG * 20}</{tag}><p>{LONG}</p></div>" for tag in ("blockquote", "pre", "h1")),
+        f"<div><p>{LONG}</p><table><tr><td>{LONG * 20}</td><td>{SHORT}</td></tr></table><p>{LONG}</p></div>",
+        f"<div><div><p>{LONG}</p></div><div><pre>{LONG * 50}</pre></div></div>",
+        f"<p>{LONG}<a href=x>a link</a> and more.</p><p>{LONG}</p>",
+    ],
+)
+def test_main_text_is_the_whole_article(body):
+    words = re.sub("<[^>]*>", " ", body).split()
+    assert html.main_text(f"<html><body>{LINKS}{body}{LINKS}</body></html>").split() == words
+
+
 def test_pipeline_stages_agree_with_their_operators(spark):
     import corpus_pipeline
 

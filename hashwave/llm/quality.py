@@ -3,7 +3,9 @@
 Each rule votes good (1), bad (-1) or abstains (0). A document is taken to have a hidden quality;
 given it, the votes are independent. Expectation-maximisation over the counts of the distinct vote
 patterns gives the share of good documents and, for each rule, how often it votes good on good
-and bad on bad documents when it votes. The posterior probability replaces "all rules must pass".
+and bad on bad documents when it votes. The posterior probability replaces "all rules must pass";
+no rate is taken to be nearer to 0 or 1 than ``BOUND``, so that one rule does not overrule all others
+because the rows are many.
 Everything on the rows is a column expression; the driver sees only the pattern counts, at most
 three to the power of the number of rules.
 """
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from hashwave.llm.common import WORD, text_or_empty
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_lines", "n_ended_lines", "n_letters", "n_upper"]
+EXTRA = ["n_lines", "n_ended_lines", "n_letters", "n_upper", "n_written"]
+#: The least and, taken from 1, the greatest estimated rate.
+BOUND = 0.05
 _SCRATCH = ["_q_words", "_q_hashes", "_q_windows", "_q_lines"]
 
 
@@ -74,6 +78,8 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
                 ).cast("long"),
                 "n_letters": _kept_chars(body, r"[^\p{L}]+"),
                 "n_upper": _kept_chars(body, r"[^\p{Lu}]+"),
+                # With the marks that many scripts write vowels with, and figures.
+                "n_written": _kept_chars(body, r"[^\p{L}\p{M}\p{N}]+"),
             }
         )
         .drop(*_SCRATCH)
@@ -90,7 +96,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
     c = F.col
     return {
         "symbols": (10 * c("n_symbols") > c("n_words"), 50 * c("n_symbols") <= c("n_words")),
-        "letters": (100 * c("n_letters") < 90 * c("word_chars"), 100 * c("n_letters") >= 94 * c("word_chars")),
+        "letters": (100 * c("n_written") < 90 * c("word_chars"), 100 * c("n_written") >= 94 * c("word_chars")),
         "capitals": (10 * c("n_upper") > 3 * c("n_letters"), 10 * c("n_upper") <= c("n_letters")),
         "lines": (10 * c("n_dup_lines") > 3 * c("n_lines"), c("n_dup_lines") == 0),
         "windows": (10 * c("n_repeat_words") > 3 * c("n_words"), 10 * c("n_repeat_words") <= c("n_words")),
@@ -141,7 +147,7 @@ def fit(features: DataFrame, rounds: int = 50) -> QualityModel:
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> QualityModel:
-    """Expectation-maximisation over counted vote patterns."""
+    """Expectation-maximisation over counted vote patterns; every share and rate is held within ``BOUND``."""
     rows = sorted(patterns.items())
     n_rules = len(rules())
     good = [1 / (1 + 2 * sum(v < 0 for v in pattern)) for pattern, _ in rows]
@@ -153,16 +159,20 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> QualityM
         for j in range(n_rules):
             cast = [(g, n, p[j]) for g, (p, n) in zip(good, rows) if p[j]]
             on_good.append(
-                (1 + sum(g * n for g, n, v in cast if v > 0)) / (2 + sum(g * n for g, n, _ in cast))
+                _bounded((1 + sum(g * n for g, n, v in cast if v > 0)) / (2 + sum(g * n for g, n, _ in cast)))
             )
             on_bad.append(
-                (1 + sum((1 - g) * n for g, n, v in cast if v < 0)) / (2 + sum((1 - g) * n for g, n, _ in cast))
+                _bounded((1 + sum((1 - g) * n for g, n, v in cast if v < 0)) / (2 + sum((1 - g) * n for g, n, _ in cast)))
             )
-        model = QualityModel((all_good + 1) / (all_rows + 2), tuple(on_good), tuple(on_bad))
+        model = QualityModel(_bounded((all_good + 1) / (all_rows + 2)), tuple(on_good), tuple(on_bad))
         good = [_posterior(model, pattern) for pattern, _ in rows]
     return model
 
 
+def _bounded(rate: float) -> float:
+    return min(1 - BOUND, max(BOUND, rate))
+
+
 def _posterior(model: QualityModel, pattern: tuple[int, ...]) -> float:
     odds = math.log(model.good) - math.log(1 - model.good)
     for v, g, b in zip(pattern, model.on_good, model.on_bad):

@@ -98,6 +98,30 @@ def test_quality_model_is_estimated_from_votes_and_keeps_clean_rows(spark):
     assert model.good == 0.5 and set(model.on_good) == {0.5}
 
 
+#: Votes of the 10,000 documents of sf0.1 by pattern, those of 2 and more documents.
+VOTES = {
+    (1, 1, 1, 1, 1, 1, 1): 7708, (-1, -1, 1, 1, 1, 0, 1): 330, (1, 1, 1, 0, 1, 1, 1): 290, (-1, -1, 1, 1, 1, 1, 1): 290, (1, 0, 1, 1, 1, 1, 1): 92,
+    (1, 1, 1, 0, 0, 1, 1): 58, (1, -1, 1, 1, 1, 1, 1): 28, (1, 1, 1, -1, 0, 1, 1): 19, (-1, -1, 1, 1, 1, 0, -1): 13, (-1, -1, 1, 1, 0, 1, 1): 11,
+    (-1, -1, 1, 0, 1, 0, 1): 9, (-1, -1, 1, 0, 0, 1, 1): 9, (-1, -1, 1, 0, 1, 1, 1): 7, (-1, -1, 1, 1, 1, 1, -1): 5, (1, 1, 1, -1, 1, 1, 1): 4,
+    (1, 0, 1, 0, 1, 1, 1): 2, (-1, 0, 1, 1, 1, 1, 1): 2, (-1, -1, 1, 0, 0, 0, 1): 2,
+}
+
+
+@pytest.mark.parametrize("times", [0.1, 1, 1000])
+def test_one_objecting_rule_does_not_decide_at_any_size(spark, times):
+    model = quality.estimate({pattern: n * times for pattern, n in VOTES.items()})
+    for rule in range(7):
+        assert quality._posterior(model, tuple(-1 if i == rule else 1 for i in range(7))) >= 0.5
+    assert all(quality._posterior(model, pattern) < 0.5 for pattern in VOTES if pattern[:2] == (-1, -1))
+
+
+def test_marks_and_figures_are_no_objection(spark):
+    hindi = "यह हिन्दी में लिखा हुआ एक साधारण लेख है और इसमें कई शब्द हैं। " * 5
+    phones = "Call us at 5550199 or 5550142 before 1830 in room 12 of house 7. " * 5
+    found = quality.with_features(table(spark, [hindi, phones, "#$% | & <b> " * 20])).orderBy("doc_id")
+    assert [r.vote for r in found.select(quality.votes()[1].alias("vote")).collect()] == [1, 1, -1]
+
+
 def shingles(text):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()

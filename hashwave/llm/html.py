@@ -5,7 +5,8 @@ paths with long, punctuated nodes; menus and notices under paths with short ones
 the mean punctuation of each path, taken over the nodes in page order, are smoothed and
 multiplied; paths above a threshold are content, and so are blocks of prose on other paths. The smallest
 element that holds all content is the article, and its blocks are the text, with the headline above it and
-without the parts that are marked as something else.
+without the parts that are marked as something else. Marks (tags, and words in class, id and role) are hints: those that
+would take more content from the page than they leave are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、]")
 _WORDED = re.compile(r"\w")
 #: Characters from which a punctuated block is content on any path.
 _PROSE = 80
+#: How many times what is left without them elements must hold that only marking words name.
+_PURE = 4
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea iframe svg title select".split())
@@ -47,41 +50,46 @@ _NOT_ARTICLE_NAMES = frozenset(
 )
 
 
+#: A tag with its names, and whether nothing but marking words is among the names.
+_Mark = tuple[str, frozenset[str], bool]
+
+
 @dataclass
 class _Node:
-    """A text node: its element path (tag and serial number of each), text, block, and whether it is marked as no article."""
+    """A text node: its element path (tag and serial number of each), text, block, and the marks of no article around it."""
 
     path: tuple[tuple[str, int], ...]
     tags: tuple[str, ...]
     text: str
     block: int
-    other: bool
+    marks: frozenset[_Mark]
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _mark(tag: str, attributes: str) -> _Mark | None:
     if tag in _NOT_ARTICLE:
-        return True
+        return tag, frozenset(), True
     if tag in ("html", "body") or "=" not in attributes:
-        return False
+        return None
     names = " ".join("".join(found) for found in _NAMES.findall(attributes)).lower()
-    return not _NOT_ARTICLE_NAMES.isdisjoint(re.split(r"[\s_-]+", names))
+    words = frozenset(re.split(r"[\s_-]+", names.strip()))
+    return None if _NOT_ARTICLE_NAMES.isdisjoint(words) else (tag, words, words <= _NOT_ARTICLE_NAMES)
 
 
 def _nodes(html: str) -> list[_Node]:
     """The text nodes in page order. Open and unmatched tags are closed as browsers do, roughly."""
-    nodes, path, other, block, at, serial = [], [], [], 0, 0, 0
+    nodes, path, marks, block, at, serial = [], [], [], 0, 0, 0
 
     def add(text: str) -> None:
         if text and not text.isspace():
             tags = tuple([tag for tag, _ in path])
-            nodes.append(_Node(tuple(path), tags, unescape(text), block, any(other)))
+            nodes.append(_Node(tuple(path), tags, unescape(text), block, frozenset(filter(None, marks))))
         elif text and nodes and nodes[-1].block == block:
             nodes[-1].text += " "
 
     def close(tags: set[str], upto: set[str] = frozenset()) -> None:
         for depth in range(len(path) - 1, -1, -1):
             if path[depth][0] in tags:
-                del path[depth:], other[depth:]
+                del path[depth:], marks[depth:]
                 return
             if path[depth][0] in upto:
                 return
@@ -114,7 +122,7 @@ def _nodes(html: str) -> list[_Node]:
             if not found[3].endswith("/"):
                 serial += 1
                 path.append((tag, serial))
-                other.append(serial if _marked(tag, found[3]) else 0)
+                marks.append(_mark(tag, found[3]))
     add(html[at:])
     return nodes
 
@@ -140,6 +148,34 @@ def _content_paths(nodes: list[_Node], width: float) -> set[tuple[str, ...]]:
     return {tags for tags, number in numbers.items() if means[number] >= threshold}
 
 
+def _unmarked(nodes: list[_Node], width: float) -> list[_Node]:
+    """The nodes outside marked elements; marks that hold most of the page's content are no marks.
+
+    Elements with like names stand or fall together, by what they hold against the text that is left outside links.
+    Where nothing but marking words names an element, it must hold several times that, and no article or
+    main element may be left beside it: long comments and footers do not make an article.
+    """
+    if not any(node.marks for node in nodes):
+        return nodes
+    paths, prose = _content_paths(nodes, width), _prose(nodes)
+    content = [node for node in nodes if node.marks and (node.tags in paths or node.block in prose)]
+    ignored: set[_Mark] = set()
+    while True:
+        left = [node for node in nodes if node.marks <= ignored]
+        size = sum(len(node.text) for node in left if "a" not in node.tags)
+        held, around = defaultdict(int), defaultdict(set)
+        for node in content:
+            for mark in node.marks - ignored:
+                held[mark] += len(node.text)
+                around[mark].update(node.path)
+        articles = {element for node in left for element in node.path if element[0] in ("article", "main")}
+        weights = {mark: n / (_PURE if mark[2] else 1) for mark, n in held.items() if not (mark[2] and articles - around[mark])}
+        most = max(weights, key=lambda mark: (weights[mark], sorted(mark[1]), mark[0]), default=None)
+        if most is None or weights[most] < size:
+            return left or nodes
+        ignored.add(most)
+
+
 def _prose(nodes: list[_Node]) -> set[int]:
     """Blocks that read as prose whatever their path: long enough, punctuated, and most of it no link."""
     texts: dict[int, list[str]] = defaultdict(list)
@@ -176,9 +212,9 @@ def main_text(html: str | None, width: float = 1.0) -> str:
     references are decoded.
     """
     nodes = _nodes(html or "")
-    plain = [node for node in nodes if not node.other]
-    if not plain:
+    if not nodes:
         return ""
+    plain = _unmarked(nodes, width)
     paths, prose = _content_paths(plain, width), _prose(plain)
     article = _article([node for node in plain if node.tags in paths or node.block in prose])
     within = [node.path[: len(article)] == article for node in plain]

@@ -270,6 +270,30 @@ def test_main_text_is_the_whole_article(body):
     assert html.main_text(f"<html><body>{LINKS}{body}{LINKS}</body></html>").split() == words
 
 
+@pytest.mark.parametrize(
+    "opening",
+    [
+        "<div class='site-content sidebar-right'>", "<div class='layout with-sidebar'>", "<main id='content-menu-wrapper'>", "<article class='post no-comments'>",
+        "<article class='post social-share'>", "<div class='newsletter-issue'>", "<div class=newsletter>", "<form id=aspnetForm>", "<section class='post social-share'>",
+    ],
+)
+def test_marks_on_what_holds_the_content_are_ignored(opening):
+    closing = f"</{opening[1:].split()[0]}>"
+    part = f"{opening}<h1>Title</h1><p>{LONG}</p><p>{SHORT}</p><div class=related>See also this, and that, too.</div><p>{LONG}</p>{closing}"
+    article = f"Title\n{LONG.strip()}\n{SHORT}\n{LONG.strip()}"
+    page = f"<body><nav><a href=/>Home</a></nav><div class=ad>Buy this, now.</div>{part}{{}}<footer>Us, and them.</footer></body>"
+    assert html.main_text(page.format("")) == article
+    assert html.main_text(page.format(part)) == f"{article}\n{article}"
+
+
+def test_marked_pages_have_text_and_comments_are_left_out():
+    assert html.main_text("<nav>Only, this.</nav>") == "Only, this."
+    assert html.main_text("<div class=ad>One.</div><footer>Two.</footer>")
+    assert html.main_text(f"<main><h1>Title</h1><div class=newsletter><p>{LONG}</p></div></main><footer>Us.</footer>") == f"Title\n{LONG.strip()}"
+    page = f"<article><p>{LONG}</p></article><div id=comments>{f'<div class=comment><p>{LONG}</p></div>' * 3}</div>"
+    assert html.main_text(page) == LONG.strip()
+
+
 def test_pipeline_stages_agree_with_their_operators(spark):
     import corpus_pipeline
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hashwave.llm.common import written
@@ -299,6 +299,25 @@ def _placed(cells: DataFrame, links: DataFrame) -> DataFrame:
     return written(placed, "placed")
 
 
+def _key() -> Column:
+    """Tells rows apart by id and text; null without an id."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
+
+
+def _ids_name_texts(docs: DataFrame) -> bool:
+    """Whether no id has several texts."""
+    keys = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(_key()).alias("x"), F.max(_key()).alias("y"))
+    return keys.where("x != y").isEmpty()
+
+
+def _by_key(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """``_key``, ``n`` and ``part``, the component by text alone, once for each key; and a row without key for each without id."""
+    found = _similar(docs.select(_key().alias("doc_id"), "text"), percent, width)
+    found = written(found.toDF("_key", "n", "part"), "keys")
+    known = found.where("_key is not null").groupBy("_key").agg(F.min("n").alias("n"), F.min("part").alias("part"))
+    return written(known.unionByName(found.where("_key is null")), "keys")
+
+
 def similar_texts(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for every row with (doc_id, text).
 
@@ -306,6 +325,24 @@ def similar_texts(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFra
     blank texts have no shingles and link with nothing, nor do rows without an id. Rows that share an id
     are one node with the links of all of them. The component of a text without links is its own id.
     """
+    if _ids_name_texts(docs):
+        return _similar(docs, percent, width)
+    keys = _by_key(docs, percent, width)
+    rows = splittable_join(docs.select("doc_id", _key().alias("_key")).where("_key is not null"), keys, ["_key"])
+    rows = written(rows.select("doc_id", "n", "part"), "rows")
+    # Parts that share an id are one.
+    first = rows.groupBy("doc_id").agg(F.min("part").alias("first"))
+    whole = connected_components(splittable_join(rows, first, ["doc_id"]).select("part", "first")).toDF("part", "whole")
+    rows = splittable_join(rows, whole, ["part"], "left").withColumn("whole", F.coalesce("whole", "part"))
+    rows = written(rows, "rows")
+    named = splittable_join(rows, rows.groupBy("whole").agg(F.min("doc_id").alias("component_id")), ["whole"])
+    named = named.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    none = F.lit(None).cast("long")
+    return named.unionByName(keys.where("_key is null").select(none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("component_id")))
+
+
+def _similar(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """As ``similar_texts``, where an id has one text."""
     summaries = written(_summaries(docs, width), "summaries")
     texts = summaries.where("often is null").select("doc_id", "n", "s1", "s2", "point")
     alike = texts.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
@@ -359,16 +396,27 @@ def similar_texts(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFra
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the smallest id stays.
+    """The rows of ``docs`` without near copies: of each component of texts the smallest id stays.
 
-    Of rows that share an id one stays. Rows without an id, and texts without shingles, all stay.
+    Only a text's copies and near copies take its place: texts that share an id and no more all stay. Of rows
+    with the same id and text one stays, and of near copies with the same id the one with the smallest hash.
+    Rows without an id, and texts without shingles, all stay.
     """
-    found = written(similar_texts(docs, percent, width), "components")
-    known = found.where("doc_id is not null").groupBy("doc_id")
-    known = known.agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies"))
-    dropped = known.where("doc_id != component_id or copies > 1").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = written(known.where("doc_id = component_id and copies > 1").select("doc_id"), "repeated")
+    if _ids_name_texts(docs):
+        key, found = F.col("doc_id"), written(_similar(docs, percent, width), "components").toDF("_key", "n", "part")
+        known = found.where("_key is not null and n > 0").groupBy("_key")
+        known = known.agg(F.min("part").alias("part"), F.count("*").alias("copies")).withColumn("stays", F.col("_key") == F.col("part"))
+    else:
+        key, found = _key(), _by_key(docs, percent, width).where("_key is not null and n > 0").drop("n")
+        rows = docs.select("doc_id", _key().alias("_key")).where("_key is not null")
+        rows = rows.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+        rows = written(rows.join(found, "_key"), "keys")
+        best = rows.groupBy("part").agg(F.min(F.struct("doc_id", "_key")).getField("_key").alias("best"))
+        known = splittable_join(rows, best, ["part"]).withColumn("stays", F.col("_key") == F.col("best"))
+    known = written(known.select("_key", "copies", "stays"), "known")
+    held = docs.select(key.alias("_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    kept = held.join(known.where("not stays or copies > 1").select("_key"), "_key", "left_anti").select("_row.*")
+    repeated = known.where("stays and copies > 1").select("_key")
     if repeated.isEmpty():
         return kept
-    return kept.unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return kept.unionByName(held.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*"))

@@ -181,6 +181,19 @@ def test_jaccard_on_empty_tables_null_ids_and_repeats(spark):
     assert sorted(str(r.doc_id) for r in jaccard.one_of_each(docs).collect()) == ["2", "5", "None"]
 
 
+def test_jaccard_keeps_different_texts_of_one_id(spark):
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve thirteen", "x y z u v w"
+    rows = [(3, a), (5, a), (5, b), (5, ""), (5, None), (7, c), (7, c), (9, c), (None, b), (11, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = lambda rows: sorted((str(r.doc_id), str(r.text)) for r in rows)
+    expected = sorted([("3", a), ("5", b), ("5", ""), ("5", "None"), ("7", c), ("None", b)])
+    assert text(jaccard.one_of_each(docs).collect()) == expected
+    found = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similar_texts(docs).collect())
+    assert found == sorted([("3", 3, "3"), ("5", 3, "3"), ("5", 2, "3"), ("5", 0, "3"), ("5", 0, "3"), ("7", 2, "7"), ("7", 2, "7"), ("9", 2, "7"), ("None", 2, "None"), ("11", 2, "3")])
+    empty = spark.createDataFrame([(1, ""), (1, None), (1, " "), (2, "")], "doc_id long, text string")
+    assert jaccard.one_of_each(empty).count() == 4
+
+
 def test_mix_reaches_targets_and_repeats_rows(spark):
     texts = [" ".join(["w"] * (1 + i % 7)) for i in range(900)] + [None, ""]
     docs = table(spark, texts, source=["b", "a", None], rate=["clash"], size=["clash"])

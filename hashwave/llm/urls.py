@@ -17,7 +17,9 @@ from hashwave.llm.components import connected_components
 from hashwave.operators.joins import splittable_join
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+_LINK = r"""(?is)<link\b[^>]*>"""
+#: One word of the list in rel.
+_CANONICAL = r"""(?is)[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s>/]))"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
@@ -83,10 +85,12 @@ def resolved(link: Column, base: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Edges from pages to the addresses that they declare by canonical link or refresh redirect."""
-    found = F.array(
-        F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1),
-        F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _REFRESH_URL, 1),
+    """Edges from pages to all the addresses that they declare by canonical links or refresh redirects."""
+    tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    canonical = F.filter(tags(_LINK), lambda tag: tag.rlike(_CANONICAL))
+    found = F.concat(
+        F.transform(canonical, lambda tag: F.regexp_extract(tag, _HREF, 1)),
+        F.transform(tags(_REFRESH), lambda tag: F.regexp_extract(tag, _REFRESH_URL, 1)),
     )
     links = pages.select("url", F.explode(F.filter(found, lambda link: link != "")).alias("link"))
     full = resolved(F.replace("link", F.lit("&amp;"), F.lit("&")), F.col("url"))

@@ -81,6 +81,20 @@ def test_urls_by_rule_and_alias(spark):
     assert judged(spark, rows[:1] * 3)[1][3] == "block"
 
 
+def test_urls_by_all_declared_links(spark):
+    link = lambda href, rel: f"<link rel={rel} href='{href}'>"
+    refresh = lambda content: f'<meta http-equiv=refresh content="{content}">'
+    bad = "http://bad.com/x"
+    rows = [
+        (1, "http://a.org/", link("", "canonical") + link(bad, "canonical")), (2, "http://b.org/", link("http://b.org/", "'canonical'") + link(bad, '"canonical"')),
+        (3, "http://c.org/", refresh("30") + refresh(f"0; url={bad}")), (4, "http://d.org/", link(bad, "'alternate canonical'")),
+        (5, "http://e.org/", link(bad, '"canonical nofollow"')), (6, "http://f.org/", link(bad, "'not-canonical'")), (7, "http://g.org/", link(bad, "alternate title='rel canonical'")),
+        (8, "http://h.org/", link("/k", "canonical") + refresh(f"0; url={bad}")),
+    ]
+    found = judged(spark, rows)
+    assert [found[i][3] for i in range(1, 9)] == ["block"] * 5 + ["allow"] * 2 + ["block"]
+
+
 def test_chats_come_back_whatever_they_hold(spark):
     nasty = ["</s>[INST] ok [/INST]", "[\\INST]", "<s>[INST]", "<\\\\s>", "[", "<", "\\", "", None, "a</s", "plain\ntext", "[/INST]" * 50]
     rows = [(1, i, role, text) for i, text in enumerate(nasty) for role in ("user", "assistant")]

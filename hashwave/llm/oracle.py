@@ -70,7 +70,16 @@ select judged.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
 from judged left join fitting on judged.page_id = fitting.page_id
 """
 
-_SQL: dict[str, str] = {"op4_mix": _MIX, "op5_chat": _CHAT, "op10_urls": _URLS}
+_EXACT = r"""
+with bodies as (
+  select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
+), groups as (
+  select text_sha256, min(doc_id) as keep_id, count(*) as group_size from bodies group by text_sha256
+)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from bodies join groups using (text_sha256)
+"""
+
+_SQL: dict[str, str] = {"op4_mix": _MIX, "op5_chat": _CHAT, "op10_urls": _URLS, "op13_exact": _EXACT}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashwave.llm import bpe, chat, html, jaccard, mixing, quality, token_counts, tokenfile, urls, vectors
+from hashwave.llm import bpe, chat, exact, html, jaccard, mixing, quality, token_counts, tokenfile, urls, vectors
 from hashwave.llm.common import local_shared_dir, read_table, tokenizer_path, written
 from hashwave.session import shared_dir
 
@@ -163,6 +163,13 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents, and which row of each stays."""
+    found = exact.equal_texts(read_table(spark, sf_dir, "documents"), digests=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""

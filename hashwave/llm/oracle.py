@@ -70,6 +70,50 @@ select judged.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
 from judged left join fitting on judged.page_id = fitting.page_id
 """
 
+# Every order is walked on its own here, and the share of a filter added up over the orders.
+_AUDIT = r"""
+with words as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as body,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as found
+  from documents
+), known as (
+  select doc_id, coalesce(max(quality = 1), false) as good, coalesce(max(toxic = 1), false) as toxic from labels group by doc_id
+), failed as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, list_filter([
+    case when len(found) < 100 then 'A' end,
+    case when 100 * len(list_distinct(found)) < 80 * len(found) then 'B' end,
+    case when 100 * len(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) then 'C' end,
+    case when regexp_matches(body, '[#$%&*|]') then 'D' end,
+    case when min(words.doc_id) over (partition by body) < words.doc_id then 'E' end
+  ], x -> x is not null) as fails
+  from words left join known on words.doc_id = known.doc_id
+), counted as (
+  select part, good, toxic, fails, count(*) as n from failed group by all
+), letters(x) as (
+  values ('A'), ('B'), ('C'), ('D'), ('E')
+), orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps as (
+  select filter_order, step::int as step, substr(filter_order, step, 1) as letter,
+    string_split(substr(filter_order, 1, step - 1), '') as earlier
+  from orders, generate_series(1, 5) as s(step)
+), judged as (
+  select *, list_contains(fails, letter) as failing, list_has_any(fails, earlier) as gone from counted, steps
+), summed as (
+  select part, filter_order, step, letter,
+    coalesce(sum(n) filter (where not failing and not gone), 0)::bigint as kept,
+    coalesce(sum(n) filter (where failing and not gone), 0)::bigint as removed,
+    coalesce(sum(n) filter (where failing and gone), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where fails = [letter]), 0)::bigint as unique_fails,
+    coalesce(sum(n) filter (where failing and not gone and good), 0)::bigint as good_lost,
+    coalesce(sum(n) filter (where failing and not gone and toxic), 0)::bigint as toxic_lost
+  from judged group by all
+)
+select * exclude (letter), (sum(removed) over (partition by part, letter))::bigint as shapley from summed
+"""
+
 _EXACT = r"""
 with bodies as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
@@ -79,7 +123,7 @@ with bodies as (
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from bodies join groups using (text_sha256)
 """
 
-_SQL: dict[str, str] = {"op4_mix": _MIX, "op5_chat": _CHAT, "op10_urls": _URLS, "op13_exact": _EXACT}
+_SQL: dict[str, str] = {"op4_mix": _MIX, "op5_chat": _CHAT, "op10_urls": _URLS, "op11_audit": _AUDIT, "op13_exact": _EXACT}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashwave.llm import bpe, chat, exact, html, jaccard, mixing, quality, token_counts, tokenfile, urls, vectors
+from hashwave.llm import audit, bpe, chat, exact, html, jaccard, mixing, quality, token_counts, tokenfile, urls, vectors
 from hashwave.llm.common import local_shared_dir, read_table, tokenizer_path, written
 from hashwave.session import shared_dir
 
@@ -163,6 +163,12 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents, by language, in every order."""
+    return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of all documents, and which row of each stays."""

@@ -85,7 +85,7 @@ with words as (
     case when 100 * len(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) then 'C' end,
     case when regexp_matches(body, '[#$%&*|]') then 'D' end,
     case when min(words.doc_id) over (partition by body) < words.doc_id then 'E' end
-  ], x -> x is not null) as fails
+  ], lambda x: x is not null) as fails
   from words left join known on words.doc_id = known.doc_id
 ), counted as (
   select part, good, toxic, fails, count(*) as n from failed group by all

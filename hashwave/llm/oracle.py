@@ -114,6 +114,59 @@ with words as (
 select * exclude (letter), (sum(removed) over (partition by part, letter))::bigint as shapley from summed
 """
 
+# The checksum by its table of 256 remainders, made from its polynomial; a path is a list of siblings marked by their side.
+_MERKLE = r"""
+with recursive remainders as (
+  select list_transform(range(256), lambda i: list_reduce([i] || range(8),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), read as (
+  select doc_id, lang, n_chars,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') as head,
+    coalesce(strlen(text) || ':' || text, '-') as tail,
+    xor(list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc
+  from documents, remainders
+), leaves as (
+  select doc_id, lang, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+    case when crc % 7 = 0 then sha256(head || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || tail) end as changed
+  from read
+), placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as at from leaves
+), nodes as (
+  select lang, 0 as lvl, at, leaf as digest, count(*) over (partition by lang) as n from placed
+  union all
+  select lang, lvl + 1, at // 2, sha256(string_agg(digest, '' order by at)), any_value((n + 1) // 2)
+  from nodes where n > 1 group by lang, lvl, at // 2
+), subroots as (
+  select lang, digest as subroot, row_number() over (order by lang nulls first) - 1 as at, count(*) over () as n from nodes where n = 1
+), tops as (
+  select 0 as lvl, at, subroot as digest, n from subroots
+  union all
+  select lvl + 1, at // 2, sha256(string_agg(digest, '' order by at)), any_value((n + 1) // 2)
+  from tops where n > 1 group by lvl, at // 2
+), beside as (
+  select p.lang, p.at as leaf_at, 0 as phase, own.lvl, own.at, other.at as other_at, other.digest
+  from placed p join nodes own on p.lang is not distinct from own.lang and own.n > 1 and own.at = p.at >> own.lvl
+  left join nodes other on other.lang is not distinct from own.lang and other.lvl = own.lvl and other.at = xor(own.at, 1)
+  union all
+  select p.lang, p.at, 1, own.lvl, own.at, other.at, other.digest
+  from placed p join subroots s on p.lang is not distinct from s.lang
+  join tops own on own.n > 1 and own.at = s.at >> own.lvl
+  left join tops other on other.lvl = own.lvl and other.at = xor(own.at, 1)
+), paths as (
+  select lang, leaf_at, coalesce(string_agg(digest, '' order by phase, lvl), '') as siblings,
+    list(case when digest is null then '-' when other_at < at then 'L' || digest else 'R' || digest end order by phase, lvl) as steps
+  from beside group by lang, leaf_at
+)
+select doc_id, leaf, subroot, (select digest from tops where n = 1) as root, sha256(coalesce(siblings, '')) as proof_sha256,
+  list_reduce([coalesce(changed, leaf)] || coalesce(steps, []), lambda d, s: sha256(
+    case s[1] when 'L' then s[2:] || d when 'R' then d || s[2:] else d end)) as folded_root,
+  folded_root = root as verified
+from placed join subroots on placed.lang is not distinct from subroots.lang
+left join paths on placed.lang is not distinct from paths.lang and placed.at = paths.leaf_at
+"""
+
 _EXACT = r"""
 with bodies as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
@@ -123,7 +176,7 @@ with bodies as (
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from bodies join groups using (text_sha256)
 """
 
-_SQL: dict[str, str] = {"op4_mix": _MIX, "op5_chat": _CHAT, "op10_urls": _URLS, "op11_audit": _AUDIT, "op13_exact": _EXACT}
+_SQL: dict[str, str] = {"op4_mix": _MIX, "op5_chat": _CHAT, "op10_urls": _URLS, "op11_audit": _AUDIT, "op12_merkle": _MERKLE, "op13_exact": _EXACT}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashwave.llm import audit, bpe, chat, exact, html, jaccard, mixing, quality, token_counts, tokenfile, urls, vectors
+from hashwave.llm import audit, bpe, chat, exact, html, jaccard, merkle, mixing, quality, token_counts, tokenfile, urls, vectors
 from hashwave.llm.common import local_shared_dir, read_table, tokenizer_path, written
 from hashwave.session import shared_dir
 
@@ -169,6 +169,16 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and every document proved against it after some were tampered with."""
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    longer = F.col("n_chars").cast("decimal(19,0)") + 1
+    leaves = merkle.document_leaves(docs, tampered, n_chars=longer)
+    return merkle.manifest(leaves).proofs("changed").drop("lang")
+
+
 @query
 def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of all documents, and which row of each stays."""

@@ -132,39 +132,39 @@ with recursive remainders as (
     case when crc % 7 = 0 then sha256(head || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || tail) end as changed
   from read
 ), placed as (
-  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as at from leaves
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos from leaves
 ), nodes as (
-  select lang, 0 as lvl, at, leaf as digest, count(*) over (partition by lang) as n from placed
+  select lang, 0 as lvl, pos, leaf as digest, count(*) over (partition by lang) as n from placed
   union all
-  select lang, lvl + 1, at // 2, sha256(string_agg(digest, '' order by at)), any_value((n + 1) // 2)
-  from nodes where n > 1 group by lang, lvl, at // 2
+  select lang, lvl + 1, pos // 2, sha256(string_agg(digest, '' order by pos)), any_value((n + 1) // 2)
+  from nodes where n > 1 group by lang, lvl, pos // 2
 ), subroots as (
-  select lang, digest as subroot, row_number() over (order by lang nulls first) - 1 as at, count(*) over () as n from nodes where n = 1
+  select lang, digest as subroot, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1
 ), tops as (
-  select 0 as lvl, at, subroot as digest, n from subroots
+  select 0 as lvl, pos, subroot as digest, n from subroots
   union all
-  select lvl + 1, at // 2, sha256(string_agg(digest, '' order by at)), any_value((n + 1) // 2)
-  from tops where n > 1 group by lvl, at // 2
+  select lvl + 1, pos // 2, sha256(string_agg(digest, '' order by pos)), any_value((n + 1) // 2)
+  from tops where n > 1 group by lvl, pos // 2
 ), beside as (
-  select p.lang, p.at as leaf_at, 0 as phase, own.lvl, own.at, other.at as other_at, other.digest
-  from placed p join nodes own on p.lang is not distinct from own.lang and own.n > 1 and own.at = p.at >> own.lvl
-  left join nodes other on other.lang is not distinct from own.lang and other.lvl = own.lvl and other.at = xor(own.at, 1)
+  select p.lang, p.pos as leaf_pos, 0 as phase, own.lvl, own.pos, other.pos as other_pos, other.digest
+  from placed p join nodes own on p.lang is not distinct from own.lang and own.n > 1 and own.pos = p.pos >> own.lvl
+  left join nodes other on other.lang is not distinct from own.lang and other.lvl = own.lvl and other.pos = xor(own.pos, 1)
   union all
-  select p.lang, p.at, 1, own.lvl, own.at, other.at, other.digest
+  select p.lang, p.pos, 1, own.lvl, own.pos, other.pos, other.digest
   from placed p join subroots s on p.lang is not distinct from s.lang
-  join tops own on own.n > 1 and own.at = s.at >> own.lvl
-  left join tops other on other.lvl = own.lvl and other.at = xor(own.at, 1)
+  join tops own on own.n > 1 and own.pos = s.pos >> own.lvl
+  left join tops other on other.lvl = own.lvl and other.pos = xor(own.pos, 1)
 ), paths as (
-  select lang, leaf_at, coalesce(string_agg(digest, '' order by phase, lvl), '') as siblings,
-    list(case when digest is null then '-' when other_at < at then 'L' || digest else 'R' || digest end order by phase, lvl) as steps
-  from beside group by lang, leaf_at
+  select lang, leaf_pos, coalesce(string_agg(digest, '' order by phase, lvl), '') as siblings,
+    list(case when digest is null then '-' when other_pos < pos then 'L' || digest else 'R' || digest end order by phase, lvl) as steps
+  from beside group by lang, leaf_pos
 )
 select doc_id, leaf, subroot, (select digest from tops where n = 1) as root, sha256(coalesce(siblings, '')) as proof_sha256,
   list_reduce([coalesce(changed, leaf)] || coalesce(steps, []), lambda d, s: sha256(
     case s[1] when 'L' then s[2:] || d when 'R' then d || s[2:] else d end)) as folded_root,
   folded_root = root as verified
 from placed join subroots on placed.lang is not distinct from subroots.lang
-left join paths on placed.lang is not distinct from paths.lang and placed.at = paths.leaf_at
+left join paths on placed.lang is not distinct from paths.lang and placed.pos = paths.leaf_pos
 """
 
 _EXACT = r"""

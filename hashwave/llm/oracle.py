@@ -159,11 +159,12 @@ with recursive remainders as (
     list(case when digest is null then '-' when other_pos < pos then 'L' || digest else 'R' || digest end order by phase, lvl) as steps
   from beside group by lang, leaf_pos
 )
-select doc_id, leaf, subroot, (select digest from tops where n = 1) as root, sha256(coalesce(siblings, '')) as proof_sha256,
+select doc_id, leaf, subroot, whole.digest as root, sha256(coalesce(siblings, '')) as proof_sha256,
   list_reduce([coalesce(changed, leaf)] || coalesce(steps, []), lambda d, s: sha256(
     case s[1] when 'L' then s[2:] || d when 'R' then d || s[2:] else d end)) as folded_root,
   folded_root = root as verified
 from placed join subroots on placed.lang is not distinct from subroots.lang
+join tops whole on whole.n = 1
 left join paths on placed.lang is not distinct from paths.lang and placed.pos = paths.leaf_pos
 """
 

@@ -209,7 +209,8 @@ class Manifest:
         ``leaf``, ``subroot``, ``root``, ``proof_sha256``, ``folded_root``, ``verified``.
         """
         forest = self.languages
-        start = forest.stored[0].sparkSession.range(1).select(F.lit(0).cast("long").alias("tree"), F.array().cast(_PATH).alias("path"))
+        start = forest.stored[0].sparkSession.range(1).select(F.col("id").alias("tree"), F.array().cast(_PATH).alias("path"))
+        start = written(start, "paths")
         above = written(self.top.paths(start).select(F.col("at").alias("tree"), "path"), "paths")
         subtree = forest.subtrees(0)
 
@@ -262,7 +263,7 @@ def manifest(leaves: DataFrame, arity: int = 2) -> Manifest:
     subroots = written(subroots, "subroots")
     depth = _depth(F.lit(trees.count()), arity).alias("depth")
     tops = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("at"), F.col("subroot").alias("digest"), depth)
-    top = Forest(tops, arity)
+    top = Forest(written(tops, "nodes"), arity)
     root = top.tops().first()
     return Manifest(languages, top, subroots, root.digest if root else None)
 

@@ -47,16 +47,17 @@ def keyword_status(trend: DataFrame, keywords: list[str] | DataFrame) -> DataFra
     )
 
 
-def put_geo(stored: DataFrame, batch: DataFrame, order: Column | None = None) -> DataFrame:
-    """The rows of a batch to insert: one per (hashtag, timebucket), and none already stored.
+def one_per_key(batch: DataFrame, order: Column | None = None) -> DataFrame:
+    """One row per (hashtag, timebucket): the last by ``order``, a number by which rows of one key differ, or without
+    one the last by a hash of the point, so that reruns agree."""
+    order = F.xxhash64("lat", "lng") if order is None else order
+    return batch.groupBy("hashtag", "timebucket").agg(*(F.max_by(name, order).alias(name) for name in ("lat", "lng")))
 
-    Of several rows with one key the last by ``order`` stays, a number by which they differ; without
-    one it is the last by a hash of the point, so that reruns agree.
-    """
+
+def put_geo(stored: DataFrame, batch: DataFrame, order: Column | None = None) -> DataFrame:
+    """The rows of a batch to insert: one per (hashtag, timebucket), and none already stored."""
     key = ["hashtag", "timebucket"]
-    order = F.xxhash64("lat", "lng") if order is None else order
-    once = batch.groupBy(*key).agg(*(F.max_by(name, order).alias(name) for name in ("lat", "lng")))
-    return once.join(stored.select(*key), key, "left_anti")
+    return one_per_key(batch, order).join(stored.select(*key), key, "left_anti")
 
 
 def to_result_json(df: DataFrame, *columns: str) -> DataFrame:

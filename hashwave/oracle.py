@@ -533,6 +533,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_tweets_json": "tweets_flat",
         "read_profiles": "profiles",
         "stream_put_geo": "put_geo",
+        "put_geo_two_writers": "put_geo",
+        "put_geo_compacted": "put_geo",
         "stream_trend_map": "trend_map",
     }
     sql |= {name: sql[other] for name, other in same.items()}

@@ -307,7 +307,45 @@ def put_geo(spark, sf_dir):
     path = shared_dir(spark, "put-geo")
     for part in (uses.where(F.col("created_at") < F.lit(FIRST_HALF_ENDS)), uses, uses):
         tables.put_geo_table(geo.hashtag_geo_latest(part, "1 day"), path)
-    return tables.read_geo_table(spark, path)
+    return tables.read_served_geo(spark, path)
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points by day of the first half of the time, and of all of it; days of the first half have other points there."""
+    uses = _geo_uses(spark, sf_dir)
+    early = uses.where(F.col("created_at") < F.lit(FIRST_HALF_ENDS))
+    return geo.hashtag_geo_latest(early, "1 day"), geo.hashtag_geo_latest(uses, "1 day")
+
+
+@query
+def put_geo_two_writers(spark, sf_dir):
+    """Two writers see an empty table and both store all keys of the first half; the first to enter is first."""
+    early, everything = _halves(spark, sf_dir)
+    table = tables.served_geo(spark, shared_dir(spark, "two-writers"))
+    second = table.prepare(lookups.one_per_key(everything), "stream-0")
+    first = table.prepare(lookups.one_per_key(early), "backfill-0")
+    again = table.prepare(lookups.one_per_key(early), "backfill-0")
+    for pending in (first, second, again):
+        pending.publish()
+    return table.read()
+
+
+@query
+def put_geo_compacted(spark, sf_dir):
+    """Puts before, during and after a compaction of the days."""
+    early, everything = _halves(spark, sf_dir)
+    points = [lookups.one_per_key(early.where(F.pmod("timebucket", F.lit(3 * 86400)) == n * 86400)) for n in range(3)]
+    table = tables.served_geo(spark, shared_dir(spark, "compacted"))
+    for rows in (points[0], points[1], points[0]):
+        table.commit(rows)
+    fold = table.prepare_fold()
+    table.commit(points[2])
+    table.commit(lookups.one_per_key(everything))
+    fold.publish()
+    table.commit(lookups.one_per_key(early))
+    table.compact()
+    table.commit(points[1])
+    return table.read()
 
 
 # Influencers
@@ -458,7 +496,7 @@ def stream_put_geo(spark, sf_dir):
     tables.put_geo_table(geo.hashtag_geo_latest(early, "1 day"), f"{path}/table")
     posts = stream_event_posts(spark, sf_dir)
     sinks.put_points(posts, f"{path}/table", f"{path}/checkpoint", "1 day", None).awaitTermination()
-    return tables.read_geo_table(spark, f"{path}/table")
+    return tables.read_served_geo(spark, f"{path}/table")
 
 
 @query
@@ -490,7 +528,7 @@ def stream_running(spark, sf_dir):
     path = shared_dir(spark, "stream-running")
     totals = jobs.stream_running(stream_event_posts(spark, sf_dir))
     sinks.write_totals(totals, f"{path}/table", f"{path}/checkpoint", every=None).awaitTermination()
-    return sinks.read_totals(spark, f"{path}/table")
+    return tables.read_totals(spark, f"{path}/table")
 
 
 @query

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
 
 from hashwave.functions.text import normalise_tag
 from hashwave.functions.timing import day_of
-from hashwave.operators.lookups import put_geo
+from hashwave.operators.lookups import one_per_key
 from hashwave.schemas import GEO_TREND, INFLUENCER
-from hashwave.sources.deltas import DeltaTable, NewestTable
+from hashwave.sources.deltas import AppendTable, DeltaTable, FirstTable, GreatestTable, NewestTable
 
 COUNTS = "hashtag string, user_handle string, count bigint"
 INTERVAL_COUNTS = f"{COUNTS}, timebucket bigint"
+POINTS = "hashtag string, timebucket bigint, lat double, lng double"
 NEWEST = "hashtag string, timebucket bigint, moment decimal(38, 0), lat double, lng double"
 
 
@@ -39,31 +38,31 @@ def read_geo_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GEO_TREND).parquet(path).select(*GEO_TREND.fieldNames())
 
 
-def put_geo_table(rows: DataFrame, path: str) -> None:
-    """Insert rows whose key is not stored yet; replaying a batch changes nothing.
+def served_geo(spark: SparkSession, path: str) -> FirstTable:
+    """The table that points are put into: by day, the first commit of a key stays."""
+    return FirstTable(spark, path, POINTS, ["hashtag", "timebucket"], ["lat", "lng"], day=day_of(F.col("timebucket")))
 
-    Backfills and streams share this rule. Of the stored rows only the days of the batch are read; the
-    days are names of partitions, which the driver lists in any case.
+
+def put_geo_table(rows: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Put rows whose key may be there: stored ones stay as they are. False if a batch of that name was put before.
+
+    Backfills and streams share this rule, and may put at the same time. Nothing stored is read; a row whose
+    key is there already is left out by readers, and dropped when its day is compacted.
+    """
+    return served_geo(rows.sparkSession, path).commit(one_per_key(rows), batch)
+
+
+def read_served_geo(spark: SparkSession, path: str, days: list[date] | None = None) -> DataFrame:
+    """The points put so far, one per hashtag and interval; of some days, only their files are opened."""
+    return served_geo(spark, path).read(None if days is None else [str(day) for day in days])
+
+
+def compact_days(spark: SparkSession, path: str, days: list[date] | None = None) -> bool:
+    """Write each of some days (or of all) as one sorted generation, which readers follow from then on.
+
+    Puts before, meanwhile and afterwards are not lost; False if another compaction was faster.
     """
-    spark = rows.sparkSession
-    rows = rows.select(*GEO_TREND.fieldNames()).persist()
-    try:
-        days = rows.select(day_of(F.col("timebucket")).alias("date")).distinct().collect()
-        try:
-            stored = stored_days(spark, path, [row.date for row in days])
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            stored = spark.createDataFrame([], GEO_TREND)
-        write_geo_table(put_geo(stored, rows), path)
-    finally:
-        rows.unpersist()
-
-
-def stored_days(spark: SparkSession, path: str, days: list[date]) -> DataFrame:
-    """The stored trend rows of some days; other days' files are not opened."""
-    stored = spark.read.schema(StructType([*GEO_TREND, StructField("date", DateType())])).parquet(path)
-    return stored.where(F.col("date").isin(days)).select(*GEO_TREND.fieldNames())
+    return served_geo(spark, path).compact(None if days is None else [str(day) for day in days])
 
 
 def _newest(spark: SparkSession, path: str) -> NewestTable:
@@ -110,7 +109,7 @@ def _counts(spark: SparkSession, path: str) -> DeltaTable:
 def write_count_batch(counts: DataFrame, batch: str | int, path: str) -> bool:
     """Commit the counts of one batch under its name; False if that batch is there already.
 
-    Batches are committed by a marker written last, so readers see them whole or not at all.
+    Batches are entered in a log after they are written, so readers see them whole or not at all.
     """
     rows = counts.withColumn("hashtag", normalise_tag(F.col("hashtag")))
     return _counts(counts.sparkSession, path).commit(rows.select(*INFLUENCER.fieldNames()), str(batch))
@@ -127,3 +126,24 @@ def compact_counts(spark: SparkSession, path: str) -> None:
     Streams may go on writing to the same table, before, meanwhile and afterwards.
     """
     _counts(spark, path).compact()
+
+
+def _totals(spark: SparkSession, path: str) -> GreatestTable:
+    return GreatestTable(spark, path, COUNTS, ["hashtag", "user_handle"], ["count"])
+
+
+def write_totals_batch(totals: DataFrame, batch: str, path: str) -> bool:
+    """Commit the running totals that changed in one batch."""
+    return _totals(totals.sparkSession, path).commit(totals, batch)
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The newest total of each pair; totals only grow, so it is the greatest."""
+    return _totals(spark, path).read()
+
+
+def stored_rows(spark: SparkSession, path: str, schema: str, order: list[str]) -> AppendTable:
+    """A table of rows that all stay, compacted into the given order; with a time bucket it is cut by day."""
+    day = day_of(F.col("timebucket")) if "timebucket bigint" in schema else None
+    names = [name.split()[0] for name in schema.split(", ")]
+    return AppendTable(spark, path, schema, order, [n for n in names if n not in order], day=day)

@@ -11,8 +11,14 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from hashwave.functions.timing import day_of
 from hashwave.operators.geo import geo_uses, hashtag_geo_latest, hashtag_geo_newest
 from hashwave.operators.influence import reshare_uses, retweet_counts, running_influencers
-from hashwave.schemas import INFLUENCER
-from hashwave.sources.tables import put_geo_table, write_count_batch, write_interval_counts, write_newest_batch
+from hashwave.sources.tables import (
+    put_geo_table,
+    stored_rows,
+    write_count_batch,
+    write_interval_counts,
+    write_newest_batch,
+    write_totals_batch,
+)
 
 # Fixed value: how often an idle job looks for new input.
 POLL_INTERVAL = "5 minutes"
@@ -56,10 +62,10 @@ def batch_name(batch: DataFrame, batch_id: int) -> str:
 def write_totals(
     totals: DataFrame, path: str, checkpoint: str, every: str | None = POLL_INTERVAL
 ) -> StreamingQuery:
-    """Store the totals that changed in each batch under the batch's name."""
+    """Store the totals that changed in each batch, folded from time to time (see ``tables.read_totals``)."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_name(batch, batch_id)}")
+        write_totals_batch(batch, batch_name(batch, batch_id), path)
 
     writer = totals.writeStream.outputMode("update").foreachBatch(store)
     return _triggered(writer.option("checkpointLocation", checkpoint), every).start()
@@ -116,20 +122,26 @@ def put_points(
     they are, so a batch that is run again adds nothing."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        put_geo_table(hashtag_geo_latest(geo_uses(batch), bucket), path)
+        put_geo_table(hashtag_geo_latest(geo_uses(batch), bucket), path, batch_name(batch, batch_id))
 
     writer = tweets.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return _triggered(writer, every).start()
 
 
-def read_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The newest total of each pair; totals only grow, so it is the largest."""
-    return (
-        spark.read.schema(INFLUENCER)
-        .parquet(path)
-        .groupBy("hashtag", "user_handle")
-        .agg(F.max("count").alias("count"))
-    )
+def store_rows(
+    rows: DataFrame, path: str, checkpoint: str, order: list[str], every: str | None = POLL_INTERVAL
+) -> StreamingQuery:
+    """Append rows as :func:`write_batches` does, to a table whose small files are merged as it grows.
+
+    It is read by ``tables.stored_rows``, and its days can be compacted while the stream runs.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        stored_rows(batch.sparkSession, path, schema, order).commit(batch, batch_name(batch, batch_id))
+
+    writer = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return _triggered(writer, every).start()
 
 
 def live_messages(points: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import entities, message, rows
 from hashwave.operators import geo, influence, lookups, users
 from hashwave.schemas import GEO_TREND
-from hashwave.sources import deltas, dumps, tables
+from hashwave.sources import dumps, tables
 from hashwave.sources.tweets import decode_tweets, read_profiles, read_tweets
 
 START = 1428350400
@@ -100,21 +100,20 @@ def test_geo_table_keeps_the_first_row_of_a_key(spark, tmp_path):
     row = lambda *r: spark.createDataFrame([r], "hashtag string, timebucket bigint, lat double, lng double")
     for batch in (row("a", START, 1.0, 1.0), row("a", START, 2.0, 2.0), row("b", START, 3.0, 3.0)):
         tables.put_geo_table(batch, path)
-    assert rows(tables.read_geo_table(spark, path)) == [("a", START, 1.0, 1.0), ("b", START, 3.0, 3.0)]
-    assert (tmp_path / "geo" / "date=2015-04-06").is_dir()
+    assert rows(tables.read_served_geo(spark, path)) == [("a", START, 1.0, 1.0), ("b", START, 3.0, 3.0)]
+    assert len(list((tmp_path / "geo" / "data").glob("*/date=2015-04-06"))) == 3
 
 
-def test_a_put_reads_the_days_of_its_batch(spark, tmp_path):
+def test_reading_a_day_opens_its_files_alone(spark, tmp_path):
     path = str(tmp_path / "geo")
     day = lambda n: spark.createDataFrame([("a", START + n * 86400, 1.0, 1.0)], GEO_TREND)
     for n in range(3):
-        tables.put_geo_table(day(n), path)
-    stored = tables.stored_days(spark, path, [date(2015, 4, 7)])
+        tables.put_geo_table(day(n).unionByName(day(0)), path)
+    stored = tables.read_served_geo(spark, path, [date(2015, 4, 7)])
     assert rows(stored, "timebucket") == [(START + 86400,)]
-    plan = stored._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(date" in plan and "2015-04-07" in plan
-    put = lookups.put_geo(stored, day(1))._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in put
+    assert len(stored.inputFiles()) == 1 and "date=2015-04-07" in stored.inputFiles()[0]
+    for plan in (stored, lookups.put_geo(stored, day(1))):
+        assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_newest_points_fold_in_any_order(spark, tmp_path):
@@ -142,26 +141,6 @@ def test_count_batches_are_idempotent(spark, tmp_path):
     assert not tables.write_count_batch(counts(("a", "x", 10)), 1, path)
 
 
-def test_a_batch_that_lands_during_a_compaction_counts_once(spark, tmp_path):
-    table = deltas.DeltaTable(spark, str(tmp_path / "t"), "k string, n bigint", ["k"], ["n"])
-    change = lambda n: spark.createDataFrame([("a", n)], "k string, n bigint")
-    table.commit(change(1), "one")
-    table.commit(change(2), "two")
-    live = table._live()
-    write = table._write
-
-    def late(*args):
-        table._write = write
-        table.commit(change(4), "three")
-        write(*args)
-
-    table._write = late
-    table.compact()
-    assert len(live) == 2 and rows(table.read()) == [("a", 7)]
-    table.compact()
-    assert len(table._live()) == 1 and rows(table.read()) == [("a", 7)]
-
-
 def test_hashtag_filter_reaches_the_stored_counts(spark, tmp_path):
     path = str(tmp_path / "counts")
     counts = spark.createDataFrame([("a", "x", 1)], "hashtag string, user_handle string, count bigint")

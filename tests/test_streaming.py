@@ -3,7 +3,7 @@ import pytest
 from conftest import at, author, entities, message, place, reshare_of, rows
 from hashwave.operators import geo, influence
 from hashwave.plans import trends
-from hashwave.sources.tables import put_geo_table, read_counts, read_geo_table, read_interval_counts, read_newest
+from hashwave.sources.tables import put_geo_table, read_counts, read_interval_counts, read_newest, read_served_geo, read_totals, stored_rows
 from hashwave.sources.tweets import read_tweets, stream_tweets
 from hashwave.streaming import jobs, sinks
 
@@ -65,10 +65,10 @@ def test_accumulated_intervals_lose_nothing_out_of_time_order(spark, write_messa
 def test_a_stream_puts_no_key_twice(spark, write_messages, folders):
     path = write_messages(posts_of(range(0, 9)))
     put_geo_table(geo.hashtag_geo_latest(geo.geo_uses(read_tweets(spark, path)), "1 minute"), folders[0])
-    before = rows(read_geo_table(spark, folders[0]))
+    before = rows(read_served_geo(spark, folders[0]))
     write_messages(posts_of([5, 30], 100), path)
     sinks.put_points(stream_tweets(spark, path), *folders, "1 minute", None).awaitTermination()
-    after = rows(read_geo_table(spark, folders[0]))
+    after = rows(read_served_geo(spark, folders[0]))
     assert set(before) < set(after) and len({r[:2] for r in after}) == len(after)
 
 
@@ -112,7 +112,7 @@ def test_running_totals_equal_the_batch_result_and_survive_a_restart(spark, writ
         totals = jobs.stream_running(stream_tweets(spark, path))
         sinks.write_totals(totals, *folders, every=None).awaitTermination()
         batch = influence.running_influencers(influence.reshare_uses(read_tweets(spark, path)))
-        assert rows(sinks.read_totals(spark, folders[0])) == rows(batch)
+        assert rows(read_totals(spark, folders[0])) == rows(batch)
 
 
 def test_accumulated_batches_count_late_and_early_posts_once(spark, write_messages, folders):
@@ -126,6 +126,21 @@ def test_accumulated_batches_count_late_and_early_posts_once(spark, write_messag
         assert rows(read_counts(spark, folders[0])) == rows(batch)
 
 
+def test_stored_rows_are_merged_and_compacted_by_day(spark, write_messages, folders):
+    path = write_messages(posts_of(range(0, 3)))
+    for n in range(1, 20):
+        write_messages(posts_of([n], 100 * n), path)
+    trend = lambda posts: geo.point_rows(geo.geo_uses(posts), "1 minute")
+    sinks.store_rows(trend(stream_tweets(spark, path, max_files=1)), *folders, ["hashtag", "timebucket"], None).awaitTermination()
+    expected = trend(read_tweets(spark, path))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in expected.schema)
+    table = stored_rows(spark, folders[0], schema, ["hashtag", "timebucket"])
+    assert len(table.log.state().pieces["2015-04-06"]) < 10
+    assert rows(table.read(), *expected.columns) == rows(expected)
+    assert table.compact(["2015-04-06"]) and len(table.read().inputFiles()) == 1
+    assert rows(table.read(["2015-04-06"]), *expected.columns) == rows(expected) and table.read(["2015-04-07"]).count() == 0
+
+
 def test_running_totals_in_complete_mode(spark, write_messages):
     path = write_messages(posts_of(range(0, 20)))
     totals = jobs.stream_running(stream_tweets(spark, path))

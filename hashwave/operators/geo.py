@@ -19,6 +19,7 @@ from hashwave.functions.timing import (
 )
 from hashwave.operators.filters import complete_rows, located, with_place
 from hashwave.operators.joins import splittable_join
+from hashwave.operators.numbering import numbered
 
 
 def geo_uses(tweets: DataFrame) -> DataFrame:
@@ -80,6 +81,20 @@ def hashtag_points(uses: DataFrame, bucket: str, parts: int = 8) -> DataFrame:
     )
 
 
+def point_chunks(uses: DataFrame, bucket: str, most: int = 10_000) -> DataFrame:
+    """The same with at most ``most`` points a row, however many a hashtag has in a time bucket.
+
+    The points of a group are numbered in the order of (time, id, position), and every ``most`` of them
+    are a row: its parts follow one another in time, and only the last of a group is not full.
+    """
+    rows = numbered(point_rows(uses, bucket), ["hashtag", "timebucket"], ["ts", "id", "pos"])
+    points = F.sort_array(F.collect_list(F.struct("number", "ts", "lat", "lng")))
+    return rows.groupBy("hashtag", "timebucket", F.expr(f"number div {int(most)}").alias("part")).agg(
+        F.count("*").alias("uses"),
+        F.transform(points, lambda p: F.struct(p["ts"].alias("ts"), p["lat"].alias("lat"), p["lng"].alias("lng"))).alias("points"),
+    )
+
+
 def moment(instant: str) -> Column:
     """(instant, id) packed into one number.
 

@@ -63,6 +63,23 @@ def approx_distinct_resharers(uses: DataFrame, rsd: float = 0.05) -> DataFrame:
     )
 
 
+#: Sketches of 2^12 registers: three standard errors of an estimate, as a share of it.
+SKETCH_BITS = 12
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def resharer_sketches(uses: DataFrame) -> DataFrame:
+    """The different people of each (lower-cased hashtag, author) as a sketch of bounded size; sketches of batches can be united."""
+    return uses.groupBy(normalise_tag(F.col("hashtag")).alias("hashtag"), "user_handle").agg(
+        F.hll_sketch_agg("reshared_by", F.lit(SKETCH_BITS)).alias("sketch")
+    )
+
+
+def sketched_resharers(sketches: DataFrame) -> DataFrame:
+    """About how many different people each sketch has seen, within ``SKETCH_ERROR``."""
+    return sketches.select("hashtag", "user_handle", F.hll_sketch_estimate("sketch").alias("people"))
+
+
 def top_influencers(totals: DataFrame, k: int = 3) -> DataFrame:
     """The k most reshared authors per hashtag, ties by handle."""
     order = [F.col("count").desc(), F.col("user_handle").asc()]

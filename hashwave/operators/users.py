@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from hashwave.functions.text import (
     normalise_handle,
     optional_item,
 )
+from hashwave.operators.joins import splittable_join
 from hashwave.operators.ranking import top_per_key, top_per_key_wide
 
 # The result fields of the counted metrics and the name each gives its items.
@@ -60,6 +63,33 @@ def timeline(
     return newest.withColumn("page", page.cast("int"))
 
 
+def write_user_posts(posts: DataFrame, path: str) -> None:
+    """Store posts by author, the newest first, so that :func:`next_page` skips what lies before a page and other authors."""
+    order = ["user_handle", F.col("id").desc()]
+    posts.repartitionByRange(*order).sortWithinPartitions(*order).write.option(
+        "parquet.bloom.filter.enabled#user_handle", "true"
+    ).parquet(path)
+
+
+def next_page(posts: DataFrame, last: dict[str, int | None] | DataFrame | None, size: int = 200) -> DataFrame:
+    """The ``size`` posts of each author that follow the last one seen, numbered by ``place`` from the newest.
+
+    ``last`` names authors with the id of the last post that was seen, or null for the first page: as a dict, which
+    becomes a filter that skips row groups, or as a table (``user_handle``, ``last_id``). None stands for the first
+    page of all authors. Posts that arrive meanwhile do not shift the pages. Null ids are on no page.
+    """
+    if isinstance(last, dict):
+        wanted = [
+            (F.col("user_handle") == normalise_handle(F.lit(handle))) & (F.lit(True) if id is None else F.col("id") < id)
+            for handle, id in last.items()
+        ]
+        posts = posts.where(reduce(Column.__or__, wanted, F.lit(False)))
+    elif last is not None:
+        seen = last.groupBy("user_handle").agg(F.min("last_id").alias("_last"))
+        posts = splittable_join(posts, seen, ["user_handle"]).where("_last is null or id < _last").drop("_last")
+    return top_per_key(posts.where("id is not null"), ["user_handle"], [F.col("id").desc()], size, "place")
+
+
 def user_avg_retweets(tl: DataFrame) -> DataFrame:
     """Average reshares per post of a timeline."""
     return tl.groupBy("user_handle").agg(_average(F.count("*"), F.sum("retweet_count")))

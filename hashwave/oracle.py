@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hashwave import queries as q
+from hashwave.sources.event_posts import REPLAY_SLICE, REPLAY_SLICES, REPLAY_START
 
 # Common table expressions, each using only those above it in its chain.
 
@@ -272,6 +273,25 @@ def _points(bucket: int, parts: int) -> str:
     )
 
 
+def _chunks(most: int) -> str:
+    return _with(
+        """
+        select hashtag, timebucket, part, count(*) as uses,
+               to_json(list(struct_pack(ts := floor(epoch(created_at))::bigint, lat := lat, lng := lng)
+                            order by created_at, id, pos))::varchar as points
+        from numbered group by hashtag, timebucket, part
+        """,
+        "uses",
+        numbered=f"""
+            select *, (row_number() over (partition by hashtag, timebucket order by created_at, id, pos) - 1) // {most} as part
+            from (select *, {_bucket_end(86400)} as timebucket from uses)
+        """,
+    )
+
+
+_SLICE = f"least({REPLAY_SLICES - 1}, greatest(0, floor((epoch(created_at) - {REPLAY_START}) / {REPLAY_SLICE})))::integer"
+
+
 def _latest_by_day(source: str, order: str) -> str:
     return f"""
         select lower(hashtag) as hashtag, timebucket, lat, lng
@@ -360,6 +380,8 @@ def oracle_sql() -> dict[str, str]:
             "profiles",
         ),
         "hashtag_points": _points(3600, 8),
+        "point_chunks": _chunks(10_000),
+        "point_chunks_small": _chunks(7),
         "hashtag_points_split": _points(86400, 25),
         "hashtag_geo_latest": _with("select * from geo", "geo"),
         "ordered_scan": _with("select * from geo order by hashtag, timebucket", "geo"),
@@ -492,6 +514,24 @@ def oracle_sql() -> dict[str, str]:
             """,
             "reshares",
         ),
+        "stream_influencers_late": _with(
+            f"""
+            select hashtag, user_handle, timebucket, count(*) as count
+            from (select *, {_bucket_end(900)} as timebucket from reshares where {_SLICE} > 0)
+            group by all
+            """,
+            "reshares",
+        ),
+        "stream_replay_put": _with(
+            _latest_by_day("first_arrivals", "created_at desc, id desc, pos desc"),
+            "uses",
+            first_arrivals=f"""
+                select id, created_at, pos, hashtag, lat, lng
+                from (select *, {_bucket_end(86400)} as day, xor({_SLICE}, 1) as arrived from uses)
+                qualify arrived = min(arrived) over (partition by lower(hashtag), day)
+            """,
+        ),
+        "stream_people": _with("select hashtag, user_handle, true as within from totals", "totals"),
         "stream_running": _with("select * from totals", "totals"),
         "stream_accumulate": _with("select * from totals", "totals"),
         "stream_live": _with("select hashtag, lat, lng, id, pos from live", "live"),
@@ -534,6 +574,11 @@ def oracle_sql() -> dict[str, str]:
         "read_profiles": "profiles",
         "stream_put_geo": "put_geo",
         "put_geo_two_writers": "put_geo",
+        "stream_geo_window": "stream_geo",
+        "stream_influencers_window": "stream_influencers",
+        "stream_replay_counts": "stream_running",
+        "stream_replay_running": "stream_running",
+        "timeline_pages": "timeline",
         "put_geo_compacted": "put_geo",
         "stream_trend_map": "trend_map",
     }

@@ -16,14 +16,17 @@ from hashwave.functions.timing import UNIT_SECONDS, humanize_seconds
 from hashwave.operators import filters, geo, influence, lookups, users
 from hashwave.plans import influencers as influencer_plans
 from hashwave.plans import trends, users as user_plans
-from hashwave.session import prepare, shared_dir, use_rocksdb_state
+from hashwave.session import prepare, shared_dir, stored, use_rocksdb_state
 from hashwave.sources import dumps, tables, tweets
 from hashwave.sources.event_posts import (
+    REPLAY_SLICES,
+    closing_event,
     event_posts,
     event_profiles,
     read_events,
     read_nations,
     stream_event_posts,
+    write_arrivals,
 )
 from hashwave.streaming import jobs, sinks
 
@@ -198,6 +201,16 @@ def hashtag_points_split(spark, sf_dir):
     return _points_json(groups)
 
 
+@query
+def point_chunks(spark, sf_dir):
+    return _points_json(geo.point_chunks(_geo_uses(spark, sf_dir), "1 day"))
+
+
+@query
+def point_chunks_small(spark, sf_dir):
+    return _points_json(geo.point_chunks(_geo_uses(spark, sf_dir), "1 day", most=7))
+
+
 @query
 def hashtag_geo_latest(spark, sf_dir):
     return _geo_trend(spark, sf_dir)
@@ -423,6 +436,19 @@ def timeline(spark, sf_dir):
     return users.timeline(posts, page_size=10).select("user_handle", "id", "rn", "page")
 
 
+@query
+def timeline_pages(spark, sf_dir):
+    """The same page by page, each from where the one before ended."""
+    path = shared_dir(spark, "user-posts")
+    users.write_user_posts(users.user_posts(event_posts(spark, sf_dir)), path)
+    table, last, pages = spark.read.parquet(path), None, []
+    for page in (1, 2, 3):
+        found = stored(users.next_page(table, last, 10).select("user_handle", "id", "place"), "page")
+        last = found.groupBy("user_handle").agg(F.min("id").alias("last_id"))
+        pages.append(found.select("user_handle", "id", (F.col("place") + 10 * (page - 1)).alias("rn"), F.lit(page).alias("page")))
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 @query
 def user_avg_retweets(spark, sf_dir):
     return users.user_avg_retweets(_timeline(spark, sf_dir))
@@ -570,6 +596,100 @@ def stream_live_messages(spark, sf_dir):
     return spark.read.parquet(f"{path}/table")
 
 
+# The same over many batches: events arrive in slices of time, neighbours swapped, with a restart in the middle
+
+ARRIVALS = [n ^ 1 for n in range(REPLAY_SLICES)]
+REPLAY_DELAY = "6 days"
+LATE_ARRIVALS = [*range(1, REPLAY_SLICES), 0]
+
+
+def _replayed(spark: SparkSession, sf_dir: str, start, arrivals: list[int] = ARRIVALS, close: bool = False) -> str:
+    """Run a stream over half of the arrivals, and again, from its checkpoint, over the other half."""
+    path, half = shared_dir(spark, "replay"), len(arrivals) // 2
+    events = read_events(spark, sf_dir)
+    for part in (arrivals[:half], arrivals[half:]):
+        write_arrivals(events, f"{path}/in", part)
+        if close and part == arrivals[half:]:
+            closing_event(events, "30 days").write.mode("append").parquet(f"{path}/in")
+        posts = stream_event_posts(spark, sf_dir, 1, f"{path}/in")
+        start(posts, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/table"
+
+
+@query
+def stream_geo_window(spark, sf_dir):
+    """The geo trend by watermark, all of it, as an event beyond the delay closes the last intervals."""
+
+    def start(posts, path, checkpoint):
+        return sinks.write_batches(jobs.stream_geo(posts, GEO_BUCKET, REPLAY_DELAY), path, checkpoint, every=None)
+
+    return tables.read_geo_table(spark, _replayed(spark, sf_dir, start, close=True))
+
+
+def _windowed_counts(spark: SparkSession, sf_dir: str, delay: str, arrivals: list[int]) -> DataFrame:
+    def start(posts, path, checkpoint):
+        return sinks.write_batches(jobs.stream_influencers(posts, COUNT_BUCKET, delay), path, checkpoint, every=None)
+
+    path = _replayed(spark, sf_dir, start, arrivals, close=True)
+    return spark.read.schema(tables.INTERVAL_COUNTS).parquet(path).select("hashtag", "user_handle", "timebucket", "count")
+
+
+@query
+def stream_influencers_window(spark, sf_dir):
+    return _windowed_counts(spark, sf_dir, REPLAY_DELAY, ARRIVALS)
+
+
+@query
+def stream_influencers_late(spark, sf_dir):
+    """The first slice comes last, when the watermark is far beyond it: its posts are left out."""
+    return _windowed_counts(spark, sf_dir, DELAY, LATE_ARRIVALS)
+
+
+@query
+def stream_replay_counts(spark, sf_dir):
+    """Counts of many batches, late ones and a restart among them."""
+
+    def start(posts, path, checkpoint):
+        return sinks.accumulate_counts(posts, path, checkpoint, every=None)
+
+    return tables.read_counts(spark, _replayed(spark, sf_dir, start, LATE_ARRIVALS))
+
+
+@query
+def stream_replay_running(spark, sf_dir):
+    use_rocksdb_state(spark)
+
+    def start(posts, path, checkpoint):
+        return sinks.write_totals(jobs.stream_running(posts), path, checkpoint, every=None)
+
+    return tables.read_totals(spark, _replayed(spark, sf_dir, start))
+
+
+@query
+def stream_replay_put(spark, sf_dir):
+    """Points put batch by batch: of a key that comes in several, the first to arrive stays."""
+
+    def start(posts, path, checkpoint):
+        return sinks.put_points(posts, path, checkpoint, "1 day", None)
+
+    return tables.read_served_geo(spark, _replayed(spark, sf_dir, start))
+
+
+@query
+def stream_people(spark, sf_dir):
+    """Whether the people counted by sketches, united over many batches, are as many as stated, by key."""
+
+    def start(posts, path, checkpoint):
+        return sinks.accumulate_people(posts, path, checkpoint, every=None)
+
+    found = influence.sketched_resharers(tables.read_people(spark, _replayed(spark, sf_dir, start)))
+    exact = influence.distinct_resharers(_reshares(spark, sf_dir)).withColumnRenamed("people", "exact")
+    close = F.abs(F.col("people") - F.col("exact")) <= influence.SKETCH_ERROR * F.col("exact")
+    return exact.join(found, ["hashtag", "user_handle"], "left").select(
+        "hashtag", "user_handle", F.coalesce(close, F.lit(False)).alias("within")
+    )
+
+
 # Old dumps, written from the posts and read again
 
 

@@ -156,6 +156,9 @@ class CommittedTable:
         elif cut:
             rows = rows.hint("rebalance", *cut)
         writer = rows.write.partitionBy(*cut) if cut else rows.write
+        if deal == "range":
+            # A key that is not there is mostly told from the filter, without reading a row.
+            writer = writer.option(f"parquet.bloom.filter.enabled#{self.keys[0]}", "true")
         writer.parquet(f"{self.path}/data/{attempt}")
         return attempt
 
@@ -211,6 +214,13 @@ class FirstTable(CommittedTable):
         return rows.groupBy(*self.keys).agg(*(F.min_by(v, "_seq").alias(v) for v in self.values))
 
 
+class SketchTable(CommittedTable):
+    """Sketches of sets of values: those of a key are united."""
+
+    def _resolved(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(*(F.hll_union_agg(v).alias(v) for v in self.values))
+
+
 class AppendTable(CommittedTable):
     """Rows that all stay, in the order of ``keys`` once they are folded."""
 

@@ -80,15 +80,44 @@ def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tweets_from_events(read_events(spark, sf_dir), read_nations(spark, sf_dir))
 
 
+# Slices of time in which events are replayed: the first starts here, and each lasts two and a half days.
+REPLAY_START = 1704067200
+REPLAY_SLICE = 216000
+REPLAY_SLICES = 12
+
+
+def write_arrivals(events: DataFrame, path: str, slices: list[int]) -> None:
+    """Add some slices of the events' time to a folder, each as files of its own and in the order given, as they would arrive.
+
+    Events before the first or after the last slice belong to that one. The file source takes files by their age.
+    """
+    since = F.unix_seconds(F.col("ts").cast("timestamp")) - REPLAY_START
+    place = F.greatest(F.lit(0), F.least(F.lit(REPLAY_SLICES - 1), F.floor(since / REPLAY_SLICE)))
+    for n in slices:
+        events.where(place == n).write.mode("append").parquet(path)
+
+
+def closing_event(events: DataFrame, after: str) -> DataFrame:
+    """One event that lies ``after`` (an interval) beyond the last one, with a place, a hashtag and a reshare.
+
+    At the end of the input it moves the watermark past every interval, so that a stream emits them all; its own
+    interval stays open and is never emitted. ``after`` must exceed the delay by more than an interval.
+    """
+    last = events.agg(F.max("ts").alias("ts")).where("ts is not null")
+    return last.selectExpr(
+        "-1L AS event_id", f"ts + INTERVAL {after} AS ts", "1L AS user_id", "'click' AS event_type", "0D AS value", """'{"k": 2}' AS props"""
+    )
+
+
 def stream_event_posts(
-    spark: SparkSession, sf_dir: str, max_files: int | None = None
+    spark: SparkSession, sf_dir: str, max_files: int | None = None, path: str | None = None
 ) -> DataFrame:
-    """The same posts as a stream over the events file or folder."""
+    """The same posts as a stream over the events file or folder, or over events written to ``path``."""
     reader = spark.readStream.schema(EVENT_SCHEMA)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     # Written as a glob because the file source takes one file only in that form.
-    events = reader.parquet(f"{sf_dir}/events.parque[t]")
+    events = reader.parquet(path or f"{sf_dir}/events.parque[t]")
     return tweets_from_events(events, read_nations(spark, sf_dir))
 
 

@@ -11,7 +11,7 @@ from hashwave.functions.text import normalise_tag
 from hashwave.functions.timing import day_of
 from hashwave.operators.lookups import one_per_key
 from hashwave.schemas import GEO_TREND, INFLUENCER
-from hashwave.sources.deltas import AppendTable, DeltaTable, FirstTable, GreatestTable, NewestTable
+from hashwave.sources.deltas import AppendTable, DeltaTable, FirstTable, GreatestTable, NewestTable, SketchTable
 
 COUNTS = "hashtag string, user_handle string, count bigint"
 INTERVAL_COUNTS = f"{COUNTS}, timebucket bigint"
@@ -28,13 +28,15 @@ def write_geo_table(rows: DataFrame, path: str, mode: str = "append") -> None:
         rows.select(*GEO_TREND.fieldNames(), day_of(F.col("timebucket")).alias("date"))
         .repartitionByRange("date", "hashtag", "timebucket")
         .sortWithinPartitions("date", "hashtag", "timebucket")
-        .write.partitionBy("date")
+        .write.option("parquet.bloom.filter.enabled#hashtag", "true")
+        .partitionBy("date")
         .mode(mode)
         .parquet(path)
     )
 
 
 def read_geo_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a plain folder of trend rows, by day or not."""
     return spark.read.schema(GEO_TREND).parquet(path).select(*GEO_TREND.fieldNames())
 
 
@@ -128,6 +130,23 @@ def compact_counts(spark: SparkSession, path: str) -> None:
     _counts(spark, path).compact()
 
 
+SKETCHES = "hashtag string, user_handle string, sketch binary"
+
+
+def _people(spark: SparkSession, path: str) -> SketchTable:
+    return SketchTable(spark, path, SKETCHES, ["hashtag", "user_handle"], ["sketch"])
+
+
+def write_people_batch(sketches: DataFrame, batch: str, path: str) -> bool:
+    """Commit the sketches of the people who reshared in one batch of posts."""
+    return _people(sketches.sparkSession, path).commit(sketches, batch)
+
+
+def read_people(spark: SparkSession, path: str) -> DataFrame:
+    """One sketch per hashtag and author, over all committed batches."""
+    return _people(spark, path).read()
+
+
 def _totals(spark: SparkSession, path: str) -> GreatestTable:
     return GreatestTable(spark, path, COUNTS, ["hashtag", "user_handle"], ["count"])
 

@@ -10,10 +10,11 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from hashwave.functions.timing import day_of
 from hashwave.operators.geo import geo_uses, hashtag_geo_latest, hashtag_geo_newest
-from hashwave.operators.influence import reshare_uses, retweet_counts, running_influencers
+from hashwave.operators.influence import resharer_sketches, reshare_uses, retweet_counts, running_influencers
 from hashwave.sources.tables import (
     put_geo_table,
     stored_rows,
+    write_people_batch,
     write_count_batch,
     write_interval_counts,
     write_newest_batch,
@@ -115,6 +116,21 @@ def accumulate_intervals(
     return _triggered(writer, every).start()
 
 
+def accumulate_people(
+    tweets: DataFrame, path: str, checkpoint: str, every: str | None = POLL_INTERVAL
+) -> StreamingQuery:
+    """Store each batch's sketches of the different people who reshare an author, to be united on reading.
+
+    Keeps no state; a sketch has a bounded size, however many people it has seen.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        write_people_batch(resharer_sketches(reshare_uses(batch)), batch_name(batch, batch_id), path)
+
+    writer = tweets.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return _triggered(writer, every).start()
+
+
 def put_points(
     tweets: DataFrame, path: str, checkpoint: str, bucket: str = "1 second", every: str | None = POLL_INTERVAL
 ) -> StreamingQuery:

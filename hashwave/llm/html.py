@@ -3,10 +3,11 @@
 A page's text nodes are grouped by their path of tags from the root. Article text sits under few
 paths with long, punctuated nodes; menus and notices under paths with short ones. The mean length and
 the mean punctuation of each path, taken over the nodes in page order, are smoothed and
-multiplied; paths above a threshold are content, and so are blocks of prose on other paths. The smallest
-element that holds all content is the article, and its blocks are the text, with the headline above it and
-without the parts that are marked as something else. Marks (tags, and words in class, id and role) are hints: those that
-would take more content from the page than they leave are ignored.
+multiplied; the nodes of paths above a threshold are content, and so are blocks of prose on other paths, as long as those
+in the same part of the page. Where elements are named as articles and hold content, the rest is none. The smallest
+element with all content is the article, and its blocks are the text, with the headline above it and
+without links that stand alone and parts that are marked as something else. Marks (tags, and words in class, id
+and role) are hints: those that would take more content from the page than they leave are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、]")
 _WORDED = re.compile(r"\w")
-#: Characters from which a punctuated block is content on any path.
-_PROSE = 80
-#: How many times what is left without them elements must hold that only marking words name.
+#: How many times what is left without them elements must hold that only marking words name; content outside
+#: articles must hold more than so many times theirs to count; and prose on other paths must have one so many-th of the
+#: characters of the shortest block of content.
 _PURE = 4
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +47,7 @@ _NO_CONTAINER = frozenset(
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NOT_ARTICLE = frozenset("nav footer aside form button menu dialog".split())
 _NOT_ARTICLE_NAMES = frozenset(
-    "ad ads advert advertisement advertisements banner sidebar comment comments reply replies nav navbar navigation menu footer cookie cookies consent notice notices promo promoted share sharing social related newsletter popup modal breadcrumb breadcrumbs sponsor sponsored subscribe respond".split()
+    "ad ads advert advertisement advertisements banner sidebar comment comments reply replies nav navbar navigation menu footer cookie cookies consent notice notices promo promoted share sharing social related newsletter popup modal breadcrumb breadcrumbs sponsor sponsored subscribe respond discussion disqus gdpr".split()
 )
 
 
@@ -127,25 +128,31 @@ def _nodes(html: str) -> list[_Node]:
     return nodes
 
 
-def _content_paths(nodes: list[_Node], width: float) -> set[tuple[str, ...]]:
-    """The tag paths whose smoothed, fused ratios reach the threshold."""
+@dataclass
+class _Paths:
+    """The tag paths whose smoothed, fused ratios are not below the threshold, and those whose own ratios are not either."""
+
+    smoothed: set[tuple[str, ...]]
+    own: set[tuple[str, ...]]
+
+
+def _content_paths(nodes: list[_Node], width: float) -> _Paths:
     numbers: dict[tuple[str, ...], int] = {}
     of = np.array([numbers.setdefault(node.tags, len(numbers)) for node in nodes])
     held = np.bincount(of)
     lengths = np.array([len(node.text) for node in nodes], float)
     points = np.array([len(_PUNCTUATION.findall(node.text)) for node in nodes], float)
-    reach = np.arange(-int(3 * width), int(3 * width) + 1)
-    kernel = np.exp(-(reach**2) / (2 * width * width))
-    smooth = lambda values: np.convolve(values, kernel)[len(reach) // 2 :][: len(nodes)]
+    steps = np.arange(-int(3 * width), int(3 * width) + 1)
+    kernel = np.exp(-(steps**2) / (2 * width * width))
+    smooth = lambda values: np.convolve(values, kernel)[len(steps) // 2 :][: len(nodes)]
     weight = smooth(np.ones(len(nodes)))
-    scores = [
-        smooth((np.bincount(of, values) / held)[of]) / weight for values in (lengths, points + 1)
-    ]
-    fused = scores[0] * scores[1]
+    ratios = [np.bincount(of, values) / held for values in (lengths, points + 1)]
+    fused = np.prod([smooth(ratio[of]) / weight for ratio in ratios], axis=0)
     # A page with one kind of node has no spread: then everything is content.
     threshold = min(fused.std(), fused.max())
     means = np.bincount(of, fused) / held
-    return {tags for tags, number in numbers.items() if means[number] >= threshold}
+    chosen = lambda scores: {tags for tags, number in numbers.items() if scores[number] >= threshold}
+    return _Paths(chosen(means), chosen(ratios[0] * ratios[1]))
 
 
 def _unmarked(nodes: list[_Node], width: float) -> list[_Node]:
@@ -157,8 +164,7 @@ def _unmarked(nodes: list[_Node], width: float) -> list[_Node]:
     """
     if not any(node.marks for node in nodes):
         return nodes
-    paths, prose = _content_paths(nodes, width), _prose(nodes)
-    content = [node for node in nodes if node.marks and (node.tags in paths or node.block in prose)]
+    content = [node for node in _content(nodes, _content_paths(nodes, width)) if node.marks]
     ignored: set[_Mark] = set()
     while True:
         left = [node for node in nodes if node.marks <= ignored]
@@ -176,18 +182,34 @@ def _unmarked(nodes: list[_Node], width: float) -> list[_Node]:
         ignored.add(most)
 
 
-def _prose(nodes: list[_Node]) -> set[int]:
-    """Blocks that read as prose whatever their path: long enough, punctuated, and most of it no link."""
+def _part(node: _Node) -> tuple[str, int] | None:
+    """The part of the page's body that a node is in."""
+    return next((element for element in node.path if element[0] not in ("html", "body")), None)
+
+
+def _content(nodes: list[_Node], paths: _Paths) -> list[_Node]:
+    """The nodes on content paths, and those of prose on other paths: punctuated blocks, most of each no link, in a part of the
+    page with content, and not much shorter than the shortest block of that."""
     texts: dict[int, list[str]] = defaultdict(list)
-    for node in nodes:
-        if "a" not in node.tags:
-            texts[node.block].append(node.text)
     linked = defaultdict(int)
     for node in nodes:
         if "a" in node.tags:
             linked[node.block] += len(node.text)
-    found = ((block, "".join(part)) for block, part in texts.items())
-    return {b for b, text in found if len(text) >= max(_PROSE, linked[b]) and _PUNCTUATION.search(text)}
+        else:
+            texts[node.block].append(node.text)
+    written = {block: "".join(part) for block, part in texts.items()}
+    on_paths = {node.block: _part(node) for node in nodes if node.tags in paths.smoothed}
+    least = min((len(written[b]) for b in on_paths if _PUNCTUATION.search(written.get(b, ""))), default=0)
+    prose = {b for b, text in written.items() if _PURE * len(text) >= least and len(text) >= linked[b] and _PUNCTUATION.search(text)}
+    parts = set(on_paths.values())
+    return [n for n in nodes if n.tags in paths.smoothed or (n.block in prose and _part(n) in parts)]
+
+
+def _in_articles(content: list[_Node]) -> list[_Node]:
+    """The content in elements named as articles, where that is no small share of all."""
+    named = [node for node in content if any(tag in ("article", "main") for tag in node.tags)]
+    size = lambda nodes: sum(len(node.text) for node in nodes)
+    return named if _PURE * size(named) >= size(content) - size(named) and named else content
 
 
 def _article(content: list[_Node]) -> tuple[tuple[str, int], ...]:
@@ -204,10 +226,10 @@ def _article(content: list[_Node]) -> tuple[tuple[str, int], ...]:
 
 
 def main_text(html: str | None, width: float = 1.0) -> str:
-    """The article's blocks joined by line ends; empty for null, empty and textless pages.
+    """The article's blocks joined by line ends; empty for null, empty and textless pages. Pages of any length are read whole.
 
-    The article is the smallest container with all of the page's content, and all of it is text. If that is the
-    whole page, blocks of nothing but links are left out. A headline above the article comes with what
+    The article is the smallest container with all of the page's content, and all of it is text, but for blocks of nothing
+    but links that are neither headings nor as long and punctuated as content. A headline above the article comes with what
     stands between the two. White space within a block, line breaks included, becomes one space; character
     references are decoded.
     """
@@ -215,23 +237,27 @@ def main_text(html: str | None, width: float = 1.0) -> str:
     if not nodes:
         return ""
     plain = _unmarked(nodes, width)
-    paths, prose = _content_paths(plain, width), _prose(plain)
-    article = _article([node for node in plain if node.tags in paths or node.block in prose])
+    paths = _content_paths(plain, width)
+    content = _content(plain, paths)
+    named = _in_articles(content)
+    article = _article(named)
     within = [node.path[: len(article)] == article for node in plain]
+    if len(named) < len(content):
+        within = [inside and any(tag in ("article", "main") for tag in node.tags) for inside, node in zip(within, plain)]
     first = begin = within.index(True)
     if not any(inside and "h1" in node.tags for inside, node in zip(within, plain)):
         begin = max((i for i in range(first) if "h1" in plain[i].tags), default=first)
         begin = next(i for i in range(begin + 1) if plain[i].block == plain[begin].block)
-    precise = bool(article) and article[-1][0] not in ("html", "body")
-    # Blocks with words outside links, and those with content.
+    # Blocks with words outside links, headings, and links that are content by their own ratios.
     worded = {
         node.block
         for node in plain
-        if node.tags in paths or not _HEADINGS.isdisjoint(node.tags) or ("a" not in node.tags and _WORDED.search(node.text))
+        if node.tags in paths.own or not _HEADINGS.isdisjoint(node.tags) or ("a" not in node.tags and _WORDED.search(node.text))
     }
+    links = {node.block for node in plain if "a" in node.tags}
     blocks: dict[int, list[str]] = {}
     for i, node in enumerate(plain):
-        if (within[i] and precise) or ((within[i] or begin <= i < first) and node.block in worded):
+        if (within[i] or begin <= i < first) and (node.block in worded or node.block not in links):
             blocks.setdefault(node.block, []).append(node.text)
     lines = (_SPACE.sub(" ", "".join(texts)).strip() for texts in blocks.values())
     return "\n".join(line for line in lines if line)
@@ -240,6 +266,7 @@ def main_text(html: str | None, width: float = 1.0) -> str:
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Replaces the html of each page by its main text; a column named ``out`` is replaced.
 
+    Null, empty and textless pages give the empty string, an empty table gives no rows, and other columns pass as they are.
     Pages are independent: no shuffle, and repeated pages give equal texts.
     """
     others = [f for f in pages.schema if f.name not in (html, out)]

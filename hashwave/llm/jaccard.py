@@ -3,7 +3,7 @@
 Shingles are hashed into groups, and the counts of a set's shingles by group are its point. What two sets
 share is at most the sum over the groups of the smaller count, and the same holds for boxes around
 points: the tree's leaves are boxes of points, and a pair of leaves, and then a pair of points, is
-looked at only if that sum can reach the threshold. Survivors are verified on the shingles.
+looked at only if that sum allows the threshold. Survivors are verified on the shingles.
 
 Points of so many dimensions all lie far from one another, so boxes alone would let every pair
 of leaves through. The upper level of the tree therefore cuts the sets exactly: sets that are
@@ -209,7 +209,7 @@ def _sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
 
 
 def _enough(shared, sizes, percent: int):
-    """Whether so many shared shingles of sets with so many together reach the similarity."""
+    """Whether so many shared shingles of sets with so many together make the similarity."""
     return 100 * shared >= percent * (sizes - shared)
 
 

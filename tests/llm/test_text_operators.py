@@ -299,6 +299,36 @@ def test_marks_on_what_holds_the_content_are_ignored(opening):
     assert html.main_text(page.format(part)) == f"{article}\n{article}"
 
 
+PROSE = "One more sentence that is no part of the article, as it stands beside it and speaks of something else."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article>{{}}</article><div class=gdpr-bar>{PROSE}</div>",
+        f"<article>{{}}</article><div class=plain-bar>{PROSE}</div>",
+        f"<article>{{}}</article><div class=discussion><p>{LONG}</p><p>{LONG}</p></div>",
+        f"<div class=post>{{}}</div><div class=plain-bar>{PROSE}</div>",
+        f"<article>{{}}{LINKS}</article>",
+        f"<div class=post>{{}}{LINKS}</div>",
+    ],
+)
+def test_what_stands_beside_the_article_is_left_out(page):
+    text = f"<h1>Title</h1><p>{LONG}</p><p>{SHORT}</p><p>{LONG}</p>"
+    expected = f"Title\n{LONG.strip()}\n{SHORT}\n{LONG.strip()}"
+    assert html.main_text(f"<body><div><a href=/>Site</a></div>{page.format(text)}<div><a href=/x>About</a></div></body>") == expected
+
+
+def test_links_between_parts_of_an_article_are_left_out():
+    page = f"<div id=wrap><div><h1>Title</h1><p>{LONG}</p></div>{LINKS}<div><p>{LONG}</p><p>{SHORT}</p></div></div>"
+    assert html.main_text(f"<body>{page}</body>") == f"Title\n{LONG.strip()}\n{LONG.strip()}\n{SHORT}"
+
+
+def test_a_paragraph_of_links_as_long_as_content_stays():
+    page = f"<article><p>{LONG}</p><p><a href=x>{LONG}</a></p><h2><a href=y>More</a></h2><p>{LONG}</p></article>"
+    assert html.main_text(page) == f"{LONG.strip()}\n{LONG.strip()}\nMore\n{LONG.strip()}"
+
+
 def test_marked_pages_have_text_and_comments_are_left_out():
     assert html.main_text("<nav>Only, this.</nav>") == "Only, this."
     assert html.main_text("<div class=ad>One.</div><footer>Two.</footer>")

@@ -116,7 +116,7 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     segments = tokenfile.read_segments(spark, tokenfile.token_file(docs, tokenizer_path()))
     return tokenfile.read_documents(segments).select(
-        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "first_id", "last_id"
     )
 
 

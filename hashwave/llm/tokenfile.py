@@ -11,6 +11,7 @@ serve it. A segment holds whole documents; segments are in ascending document or
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 
 from hashwave.llm.bpe import byte_alphabet
 from hashwave.llm.chunks import PieceEncoder
+from hashwave.llm.common import written
+from hashwave.operators.joins import splittable_join
 from hashwave.session import shared_dir
 
 CHUNK_BITS = 8
@@ -44,6 +47,10 @@ SEGMENT = T.StructType(
 )
 
 
+#: How many bits of a byte are set.
+_ONES = np.array([byte.bit_count() for byte in range(256)], np.int64)
+
+
 class DirectCodes:
     """One segment's codes."""
 
@@ -79,6 +86,30 @@ class DirectCodes:
             at = int(self._ranks[level][block]) + int(bits[: at - block * RANK_BITS].sum())
         return value
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The ids at many places, each by one look and one rank a level: a block's bits before it are counted, no id is decoded
+        but those asked for."""
+        values = np.zeros(len(places), np.uint32)
+        for low in range(0, len(places), 1 << 14):
+            values[low : low + (1 << 14)] = self._some(places[low : low + (1 << 14)].astype(np.int64))
+        return values
+
+    def _some(self, at: np.ndarray) -> np.ndarray:
+        values, rows = np.zeros(len(at), np.uint32), np.arange(len(at))
+        for level, chunk in enumerate(self._chunks):
+            more = self._more[level]
+            values[rows] |= chunk[at].astype(np.uint32) << np.uint32(CHUNK_BITS * level)
+            on = (more[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            rows, at = rows[on], at[on]
+            if not len(at):
+                break
+            block, within = at // RANK_BITS, at % RANK_BITS
+            steps = np.arange(RANK_BITS // 8)
+            words = more[np.minimum(block[:, None] * (RANK_BITS // 8) + steps, len(more) - 1)]
+            before = np.clip(within[:, None] - 8 * steps, 0, 8)
+            at = self._ranks[level][block].astype(np.int64) + _ONES[words & ((1 << before) - 1)].sum(axis=1)
+        return values
+
     def all(self) -> np.ndarray:
         """Every id in order."""
         values = np.zeros(len(self._chunks[0]) if self._chunks else 0, np.uint32)
@@ -89,14 +120,35 @@ class DirectCodes:
         return values
 
 
+class LetterEncoder(PieceEncoder):
+    """Takes pieces of letters alone for the pre-tokens they are, without the pattern."""
+
+    def _encode_piece(self, piece: str) -> bytes:
+        letters = piece.removeprefix(" ")
+        # Beyond these scripts, tables of letters may differ.
+        if letters.isalpha() and max(letters) < "\u0500":
+            return self._words[piece]
+        return super()._encode_piece(piece)
+
+
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> PieceEncoder:
     """Encodes with the tokenizers library, each distinct piece of text once while it is kept.
 
-    Pieces are pre-tokens already, so the library's model encodes them without its other steps.
+    Pieces are pre-tokens already, so the library's model encodes them without its other steps. A file that asks for
+    others than the byte-level ones is refused.
     """
     from tokenizers import Tokenizer
 
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = spec.get("pre_tokenizer") or {}
+    if (
+        spec.get("normalizer")
+        or (steps.get("type"), steps.get("add_prefix_space"), steps.get("use_regex", True)) != ("ByteLevel", False, True)
+        or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens") or [])
+    ):
+        raise ValueError(f"{path} does not cut text in the byte-level way, without a space in front")
     tokenizer = Tokenizer.from_file(path)
     special = {t.content: id for id, t in tokenizer.get_added_tokens_decoder().items()}
 
@@ -106,7 +158,7 @@ def library_encoder(path: str) -> PieceEncoder:
     def encode_word(word: str) -> bytes:
         return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(word.encode().decode("latin-1").translate(alphabet))])
 
-    return PieceEncoder(encode_word, special, most=400_000)
+    return LetterEncoder(encode_word, special, most=400_000)
 
 
 def write_token_file(
@@ -153,7 +205,8 @@ def write_token_file(
 def read_segments(spark, path: str) -> DataFrame:
     """The segments of a token file with ``start``, the ids of the file before each.
 
-    The parts' totals are one number per file part, added up in a window over the parts.
+    The parts' totals are one number for each part that :func:`write_token_file` was told to make, so they fit the
+    driver and are sent to all tasks, whatever the size of the file.
     """
     segments = spark.read.schema(SEGMENT).parquet(path)
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
@@ -163,54 +216,53 @@ def read_segments(spark, path: str) -> DataFrame:
         starts.append((part, start))
         start += before[part]
     starts = spark.createDataFrame(starts, "part int, part_start long")
-    return segments.join(starts, "part").withColumn("start", F.col("part_start") + F.col("first")).drop("part_start")
+    return segments.join(F.broadcast(starts), "part").withColumn("start", F.col("part_start") + F.col("first")).drop("part_start")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
-    """Each document's place and its ids as little-endian unsigned 32-bit binary."""
-    schema = "doc_id long, start long, n_tokens long, ids binary"
-    names = ["doc_id", "start", "n_tokens", "ids"]
+    """Each document's place and its ids as little-endian unsigned 32-bit binary, and by one look at each of their places alone
+    the ``first_id`` and ``last_id``."""
+    schema = "doc_id long, start long, n_tokens long, ids binary, first_id long, last_id long"
+    names = ["doc_id", "start", "n_tokens", "ids", "first_id", "last_id"]
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data = DirectCodes(row["chunks"], row["more"], row["ranks"]).all().astype("<u4").tobytes()
+                codes = DirectCodes(row["chunks"], row["more"], row["ranks"])
+                data = codes.all().astype("<u4").tobytes()
                 ends = np.cumsum([0, *row["lengths"]])
+                looked_up = [codes.at(at).tolist() for at in (ends[:-1], ends[1:] - 1)]
                 ids = [data[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
-                columns = [row["doc_ids"], (row["start"] + ends[:-1]).tolist(), row["lengths"], ids]
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                columns = [row["doc_ids"], (row["start"] + ends[:-1]).tolist(), row["lengths"], ids, *looked_up]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return segments.select("start", "doc_ids", "lengths", "chunks", "more", "ranks").mapInArrow(unpack, schema)
 
 
 def tokens_at(segments: DataFrame, places: DataFrame, span: int = 1 << 20) -> DataFrame:
-    """The id at each wanted place (column ``place``) of the file, by random access.
+    """The id at each wanted place (column ``place``) of the file, by random access: ``place`` and ``id``, a row for each row.
 
-    Segments and places meet by the ``span`` of places that they touch. A segment then looks up
-    each of its places on its own; null places and places past the end give no row.
+    Places meet the segments' bounds, without their codes, by the ``span`` of places that they touch. Each segment is then
+    sent once to where its places are, different ones only, so that a task holds one segment and no more places than
+    it has ids, however often they are asked for. Null places and places past the end give no row.
     """
-    covered = segments.select(
-        "start",
-        "n_ids",
-        "chunks",
-        "more",
-        "ranks",
-        F.explode(
-            F.sequence(F.floor(F.col("start") / span), F.floor((F.col("start") + F.col("n_ids") - 1) / span))
-        ).alias("_span"),
-    )
-    wanted = places.select("place", F.floor(F.col("place") / span).alias("_span"))
+    covered = F.sequence(F.floor(F.col("start") / span), F.floor((F.col("start") + F.col("n_ids") - 1) / span))
+    bounds = segments.where("n_ids > 0").select("part", "segment", "start", "n_ids", F.explode(covered).alias("_span"))
+    wanted = places.select("place").distinct().withColumn("_span", F.floor(F.col("place") / span))
     inside = (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n_ids"))
-    found = wanted.join(covered, "_span").where(inside)
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            ids = [DirectCodes(r["chunks"], r["more"], r["ranks"])[r["place"] - r["start"]] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(ids, pa.int64())], ["place", "id"])
-
-    return found.select("place", "start", "chunks", "more", "ranks").mapInArrow(look, "place long, id long")
+    found = wanted.join(bounds, "_span").where(inside)
+    found = written(found.select("part", "segment", "place", (F.col("place") - F.col("start")).alias("at")), "places")
+
+    def look(places: pa.Table, segment: pa.Table) -> pa.Table:
+        codes = DirectCodes(*(segment[name][0].as_py() for name in ("chunks", "more", "ranks"))) if len(segment) else None
+        ids = codes.at(places["at"].to_numpy()) if len(places) else np.zeros(0, np.uint32)
+        return pa.table({"place": places["place"], "id": pa.array(ids.astype(np.int64))})
+
+    codes = segments.select("part", "segment", "chunks", "more", "ranks")
+    needed = codes.join(found.select("part", "segment").distinct(), ["part", "segment"], "left_semi")
+    read = found.groupBy("part", "segment").cogroup(needed.groupBy("part", "segment")).applyInArrow(look, "place long, id long")
+    return splittable_join(places.select("place"), read, ["place"])
 
 
 def token_file(docs: DataFrame, path: str, end_id: int = 0, **options) -> str:

@@ -49,6 +49,7 @@ def test_token_file_gives_places_checksums_and_single_ids(spark, library):
     assert [r.doc_id for r in found] == [None, 0, 1, 2, 3, 3, *range(4, len(ODD))]
     everything = []
     for row in found:
+        assert row.last_id == 0 and row.first_id == np.frombuffer(row.ids, "<u4")[0]
         ids = np.frombuffer(row.ids, "<u4").tolist()
         assert row.start == len(everything) and row.n_tokens == len(ids) and ids[-1] == 0
         everything += ids
@@ -59,12 +60,28 @@ def test_token_file_gives_places_checksums_and_single_ids(spark, library):
     places = spark.createDataFrame([(p,) for p in [0, 1, 699, 700, len(everything) - 1, len(everything), None]], "place long")
     single = {r.place: r.id for r in tokenfile.tokens_at(segments, places, span=512).collect()}
     assert single == {p: everything[p] for p in (0, 1, 699, 700, len(everything) - 1)}
+    many = spark.range(0, 60 * len(everything), 1, 7).select((F.col("id") % len(everything)).alias("place"))
+    read = tokenfile.tokens_at(segments, many).groupBy("place").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y"))
+    assert {r.place: (r.n, r.x, r.y) for r in read.collect()} == {p: (60, id, id) for p, id in enumerate(everything)}
+
+
+def test_token_files_of_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(tokenizer_path()).read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            tokenfile.library_encoder.__wrapped__(str(path))
 
 
 def test_direct_codes_of_many_levels():
     ids = np.array([0, 255, 256, 65535, 65536, 2**32 - 1, 7] * 300, np.uint32)
     codes = tokenfile.DirectCodes(*tokenfile.DirectCodes.pack(ids))
     assert (codes.all() == ids).all() and [codes[i] for i in range(len(ids))] == ids.tolist()
+    places = np.random.default_rng(1).integers(0, len(ids), 40_000)
+    assert (codes.at(places) == ids[places]).all() and len(codes.at(places[:0])) == 0
     assert len(tokenfile.DirectCodes(*tokenfile.DirectCodes.pack(ids[:0])).all()) == 0
 
 

@@ -1,13 +1,15 @@
 """Token counts as rollups kept by signed changes.
 
 Totals by source, language and tokenizer version change by what a batch inserts, deletes or revises;
-they are never counted again from the texts. Each batch is added up before it is committed, and
-a batch committed twice counts once.
+they are never counted again from the texts. Each batch is added up, stored in a folder of its own and then entered in
+the rollup's log; a batch that is entered already is not entered again, so a batch delivered twice counts once.
+Folders are folded into one when there are many, and the log forgets them, but not which batches they were.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashwave.llm.chunks import PRE_TOKEN, PieceEncoder
-from hashwave.sources.deltas import DeltaTable
+from hashwave.sources.commits import CommitLog, Piece, batch_id
 
 KEYS = ["source", "lang", "tokenizer"]
 VALUES = ["n_docs", "n_tokens"]
@@ -38,7 +40,8 @@ def rank_encoder(path: str) -> PieceEncoder:
 def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text: str = "text") -> DataFrame:
     """Replaces the text by one column ``n_<version>`` per tokenizer version: tokens of the whole text.
 
-    ``tokenizers`` maps versions to rank files. Null and empty texts have no tokens. No shuffle.
+    ``tokenizers`` maps versions to rank files. Null and empty texts have no tokens; texts of any length are counted whole;
+    an empty table gives no rows; a column of one of the new names is replaced. No shuffle.
     """
     versions = list(tokenizers)
     others = [f for f in docs.schema if f.name != text and f.name not in {f"n_{v}" for v in versions}]
@@ -85,20 +88,55 @@ class TokenRollup:
     """Totals by source, language and tokenizer version below a folder of the shared store.
 
     Null sources and languages are keys like others. Deleting what was never inserted gives
-    negative totals rather than an error, as batches may arrive in any order.
+    negative totals rather than an error, as batches may arrive in any order. Several writers may commit at once.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self._table = DeltaTable(spark, path, SCHEMA, KEYS, VALUES)
+    def __init__(self, spark: SparkSession, path: str, fold_every: int = 32):
+        self._spark, self._path, self._fold_every = spark, path.rstrip("/"), fold_every
+        self._log = CommitLog(spark, f"{self._path}/log")
 
     def commit(self, changes: DataFrame, batch: str) -> bool:
-        """Add a batch; False if it was committed before. A hot source is one row per input task."""
-        added = changes.groupBy(*KEYS).agg(*(F.sum(v).alias(v) for v in VALUES))
-        return self._table.commit(added, batch)
-
-    def compact(self) -> None:
-        self._table.compact()
+        """Add a batch; False if it was committed before. A hot source is one row per input task.
+
+        Names that end in a hyphen and a number are the batches of a stream, and kept as ranges of numbers.
+        """
+        batch = batch_id(batch)
+        if self._log.state().holds(batch):
+            return False
+        state = self._log.append_batch(self._stored(self._added_up(changes)), batch, ["totals"])
+        if state is not None and state.entries >= self._fold_every:
+            self.compact()
+        return state is not None
+
+    def compact(self) -> bool:
+        """Fold the batches committed so far into one folder; False if another fold was faster."""
+        before = self._log.state()
+        attempts = self._attempts(before)
+        if not attempts:
+            return True
+        folded = self._stored(self._added_up(self._rows(attempts)))
+        return self._log.append_fold(before, {"totals": [Piece(folded, before.last)]})
 
     def totals(self) -> DataFrame:
         """Rows with something in them."""
-        return self._table.read().where("n_docs != 0 or n_tokens != 0")
+        rows = self._added_up(self._rows(self._attempts(self._log.state())))
+        return rows.where("n_docs != 0 or n_tokens != 0")
+
+    @staticmethod
+    def _attempts(state) -> list[str]:
+        return [piece.attempt for piece in state.pieces.get("totals", [])]
+
+    @staticmethod
+    def _added_up(changes: DataFrame) -> DataFrame:
+        return changes.groupBy(*KEYS).agg(*(F.sum(v).alias(v) for v in VALUES))
+
+    def _stored(self, rows: DataFrame) -> str:
+        """A new folder with the rows. No reader looks into it before it is in the log."""
+        attempt = uuid.uuid4().hex
+        rows.write.parquet(f"{self._path}/data/{attempt}")
+        return attempt
+
+    def _rows(self, attempts: list[str]) -> DataFrame:
+        if not attempts:
+            return self._spark.createDataFrame([], SCHEMA)
+        return self._spark.read.schema(SCHEMA).parquet(*(f"{self._path}/data/{a}" for a in attempts))

@@ -259,6 +259,43 @@ def test_token_rollup_counts_each_batch_once(spark, tmp_path):
     assert total() == {}
 
 
+def test_token_totals_equal_the_library(spark, tmp_path):
+    """Whole documents, counted by the library one by one, through inserts, deletes, revisions and repeated batches."""
+    import base64
+
+    import tiktoken
+
+    files = {v: tokenizer_path(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "lang", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None, None, None), (-2, None, "en", "  odd \n\t text's  ")], docs.schema))
+    rows = docs.collect()
+    library = {}
+    for version, path in files.items():
+        ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in open(path, "rb"))}
+        encoding = tiktoken.Encoding("whole", pat_str=token_counts.PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+        library[version] = {r.doc_id: len(encoding.encode_ordinary(r.text or "")) for r in rows}
+    counts = token_counts.count_tokens(docs, files)
+    old, new = files
+    gone, again = (F.pmod("doc_id", F.lit(3)) == n for n in (0, 1))
+    rollup = token_counts.TokenRollup(spark, str(tmp_path / "totals"), fold_every=2)
+    batches = [
+        token_counts.inserts(counts, old, f"n_{old}"),
+        token_counts.deletes(counts.where(gone), old, f"n_{old}"),
+        token_counts.revisions(counts.where(again), (old, f"n_{old}"), (new, f"n_{new}")),
+    ]
+    for n, changes in enumerate(batches):
+        assert rollup.commit(changes, f"run-{n}") and not rollup.commit(changes, f"run-{n}")
+    expected = collections.defaultdict(lambda: [0, 0])
+    for r in rows:
+        if r.doc_id % 3:
+            version = new if r.doc_id % 3 == 1 else old
+            expected[r.source, r.lang, version][0] += 1
+            expected[r.source, r.lang, version][1] += library[version][r.doc_id]
+    found = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()}
+    assert found == dict(expected)
+    assert token_counts.TokenRollup(spark, str(tmp_path / "none")).totals().count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class="ad">Buy this, now. It is cheap, and good.</div>
 <article><h1>The &amp; title</h1><p>First paragraph, with <b>bold</b> and <a href=x>a link</a>. It goes

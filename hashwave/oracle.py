@@ -187,7 +187,7 @@ def _label(seconds: str, unit: str | None = None) -> str:
                 else floor({seconds})::bigint || ' sec' end)"""
 
 
-# One row per slice, labels carried forward by a window.
+# One row per slice, labels carried forward by a window. Bounds, colours and labels are fixed values.
 _SLICES = """
     select * from (values
         (1, 0.0::double, 0.2::double, '#43C6DB'), (2, 0.2::double, 0.4::double, '#FF69B4'),

@@ -108,7 +108,7 @@ class CommitLog:
         fold = self._entry(at) if at is not None else None
         if fold is None:
             return State()
-        # The fold's own state, then the batches that it had not seen; it comes again when its number is reached.
+        # The fold's own state, then the batches that it had not seen; it comes again at its own number.
         state = State(done=deepcopy(fold["done"]))
         state.apply(fold["upto"], fold)
         return state

@@ -118,7 +118,7 @@ def write_count_batch(counts: DataFrame, batch: str | int, path: str) -> bool:
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Totals over all committed batches; a filter on the hashtag reaches the files."""
+    """Totals over all committed batches; a filter on the hashtag is applied to the files."""
     return _counts(spark, path).read()
 
 

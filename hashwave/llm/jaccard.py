@@ -5,10 +5,16 @@ share is at most the sum over the groups of the smaller count, and the same hold
 points: the tree's leaves are boxes of points, and a pair of leaves, and then a pair of points, is
 looked at only if that sum allows the threshold. Survivors are verified on the shingles.
 
+A point has about as many groups as its set has shingles, since with many shingles to a group any two sets
+seem to share most of theirs. Points of different sizes meet at the smaller number of groups, to which
+the larger one is folded.
+
 Points of so many dimensions all lie far from one another, so boxes alone would let every pair
 of leaves through. The upper level of the tree therefore cuts the sets exactly: sets that are
 similar enough share one of their first shingles in any order common to all, so each of these is a cell.
 Rare shingles come first, which keeps passages that very many texts share from making large cells.
+A cell of few sets is a leaf. The sets of a larger one are sorted by place (size first, then the groups that hold
+more than their share, sets already connected side by side) and cut into leaves.
 Sets that do share much are first joined with the best connected set of their cells; what
 that connects is not compared again, so a group of near copies costs no pairs.
 """
@@ -27,13 +33,18 @@ from hashwave.llm.common import written
 from hashwave.llm.components import connected_components
 from hashwave.llm.shingles import Shingler
 from hashwave.operators.joins import splittable_join
+from hashwave.operators.numbering import numbered
 
+#: Groups of the smallest points, and of boxes.
 GROUPS = 64
-_MOST = 65535
+#: The greatest count that a point tells, and the value that stands for any count from there on.
+_MOST, _ANY = 15, 100
 #: Rounds in which each set is tried with one other set, before all pairs still apart are looked at.
 STARS = 2
-#: Rows of a leaf, on average.
-LEAF = 256
+#: Sets of a leaf, at most.
+LEAF = 128
+#: Pairs and counts looked at together.
+_PAIRS, _COUNTS = 1 << 18, 1 << 22
 #: The list of frequent shingles: at most so many, each in so many texts of one batch.
 FREQUENT = 1 << 16
 OFTEN = 5
@@ -76,16 +87,63 @@ def _signature(shingles: np.ndarray) -> tuple[int, int]:
     return shingles.sum(dtype=np.uint64), (odd ^ (odd >> np.uint64(32))).sum(dtype=np.uint64)
 
 
-def _point(shingles: np.ndarray) -> bytes:
-    """Group counts in two bytes each; the greatest stands for itself and all above."""
-    counts = np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return np.minimum(counts, _MOST).astype("<u2").tobytes()
+def _group_counts(shingles: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
-def _counts(points: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """Points as rows, never below the true counts."""
-    rows = np.frombuffer(b"".join(points), "<u2").reshape(-1, GROUPS).astype(np.int32)
-    return np.where(rows == _MOST, sizes[:, None].astype(np.int32), rows)
+def _point(shingles: np.ndarray) -> bytes:
+    """Group counts in four bits each; the greatest stands for itself and all above."""
+    groups = max(GROUPS, 1 << (len(shingles) - 1).bit_length())
+    counts = np.minimum(_group_counts(shingles, groups), _MOST).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def _place(shingles: np.ndarray) -> int:
+    """Where a set comes among others: by size in steps, then by the groups that hold more than their share."""
+    over = _group_counts(shingles, GROUPS)[:32] * GROUPS > len(shingles)
+    return int(8 * np.log2(max(1, len(shingles)))) << 32 | int(np.packbits(over).view(">u4")[0])
+
+
+class _Points:
+    """The points of some sets, with their sizes."""
+
+    def __init__(self, points: pa.Array, sizes: np.ndarray):
+        lengths = pa.compute.binary_length(points).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = np.frombuffer(b"".join(points.to_pylist()), np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        self.sizes, self.groups = sizes, 2 * lengths
+        self._row, self._tables = np.empty(len(lengths), np.int64), {}
+        for groups in np.unique(self.groups).tolist():
+            of = np.flatnonzero(self.groups == groups)
+            packed = data[starts[of][:, None] + np.arange(groups // 2)]
+            counts = np.empty((len(of), groups), np.uint8)
+            counts[:, ::2], counts[:, 1::2] = packed & 15, packed >> 4
+            counts[counts == _MOST] = _ANY
+            self._row[of], self._tables[groups] = np.arange(len(of)), counts
+
+    def counts(self, of: np.ndarray, groups: int) -> np.ndarray:
+        """The counts of some sets, folded to fewer groups where they have more."""
+        found = np.empty((len(of), groups), np.uint8)
+        for own in np.unique(self.groups[of]).tolist():
+            at = np.flatnonzero(self.groups[of] == own)
+            rows = self._tables[own][self._row[of[at]]]
+            while rows.shape[1] > groups:
+                half = rows.shape[1] // 2
+                rows = np.minimum(rows[:, :half], 127) + np.minimum(rows[:, half:], 127)
+            found[at] = rows
+        return found
+
+    def allow(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the points of the sets a and b, pair by pair, allow the similarity."""
+        kept = np.zeros(len(a), bool)
+        groups = np.minimum(self.groups[a], self.groups[b])
+        for common in np.unique(groups).tolist():
+            of = np.flatnonzero(groups == common)
+            for at in np.array_split(of, -(-len(of) * common // _COUNTS)):
+                least = np.minimum(self.counts(a[at], common), self.counts(b[at], common))
+                shared = least.sum(axis=1, dtype=np.int64)
+                kept[at] = _enough(shared, self.sizes[a[at]] + self.sizes[b[at]], percent) | (least.max(axis=1) >= _ANY)
+        return kept
 
 
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
@@ -98,17 +156,18 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             many = counts >= OFTEN
             n = int(many.sum())
-            none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            none = [pa.nulls(n, t) for t in (*[pa.int64()] * 5, pa.binary())]
             return pa.RecordBatch.from_arrays([*none, _signed(values[many]), pa.array(counts[many], pa.int64())], names)
 
-        names = ["doc_id", "n", "s1", "s2", "point", "often", "texts"]
+        names = ["doc_id", "n", "s1", "s2", "place", "point", "often", "texts"]
         for ids, sets in rows:
-            sizes, ones, twos, points = [], [], [], []
+            sizes, ones, twos, places, points = [], [], [], [], []
             for shingles in sets:
                 one, two = _signature(shingles)
                 sizes.append(len(shingles))
                 ones.append(one)
                 twos.append(two)
+                places.append(_place(shingles))
                 points.append(_point(shingles))
                 held.append(shingles)
                 size += len(shingles)
@@ -118,13 +177,13 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _signed(np.array(ones, np.uint64)), _signed(np.array(twos, np.uint64)),
-                 pa.array(points, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
+                 pa.array(places, pa.int64()), pa.array(points, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
                 names,
             )
         if size:
             yield often()
 
-    return _scan(docs, each, "doc_id long, n long, s1 long, s2 long, point binary, often long, texts long", width)
+    return _scan(docs, each, "doc_id long, n long, s1 long, s2 long, place long, point binary, often long, texts long", width)
 
 
 def _frequent(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -192,20 +251,18 @@ def _marked(table: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
-    """The shingles of the wanted texts, and perhaps of a few more."""
+    """The shingles of the wanted texts, and perhaps of a few more. Of other texts none are made."""
 
-    def each(rows):
-        for ids, sets in rows:
-            kept = [
-                (doc_id, shingles.tobytes())
-                for doc_id, shingles in zip(ids, sets)
-                if doc_id is not None and _marked(wanted, np.array([doc_id & (1 << DOC_BITS) - 1], np.uint64))[0]
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], ["doc_id", "shingles"]
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in batches:
+            batch = batch.filter(pa.compute.is_valid(batch.column(0)))
+            low = batch.column(0).to_numpy() & ((1 << DOC_BITS) - 1)
+            for part in _parts(batch.filter(pa.array(_marked(wanted, low.astype(np.uint64))))):
+                sets = pa.array([shingles.tobytes() for shingles in shingler(part.column(1))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "shingles"])
 
-    return _scan(docs, each, "doc_id long, shingles binary", width)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
 def _enough(shared, sizes, percent: int):
@@ -221,9 +278,10 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            a, b = (_counts(batch.column(p).to_pylist(), n) for p, n in (("point_a", n_a), ("point_b", n_b)))
-            kept = pa.array(_enough(np.minimum(a, b).sum(axis=1), n_a + n_b, percent))
+            points = pa.concat_arrays([batch.column("point_a"), batch.column("point_b")])
+            sizes = np.concatenate([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()])
+            rows = np.arange(batch.num_rows)
+            kept = pa.array(_Points(points, sizes).allow(rows, rows + batch.num_rows, percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
     return both.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(run, "a long, b long")
@@ -250,46 +308,110 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
     return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
-def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different components that meet in a cell and whose points allow the similarity.
+def _sizes_near(n, m, percent: int):
+    return (100 * n >= percent * m) & (100 * m >= percent * n)
 
-    ``members`` has (key, component, rep, n, point) for cells with several components. Leaves hold sets of
-    one component and cell, dealt so that they hold about ``LEAF``.
-    """
-    counts = members.groupBy("key", "component").agg(F.count("*").alias("n_members"))
-    dealt = splittable_join(members, counts, ["key", "component"])
-    leaf = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n_members") / LEAF)).alias("leaf")
-    leaves = dealt.groupBy("key", "component", leaf).agg(F.collect_list(F.struct("rep", "n", "point")).alias("sets"))
-    leaves = written(leaves, "leaves")
-    one = leaves.select("key", F.col("component").alias("c1"), F.col("sets").alias("one"))
-    two = leaves.select("key", F.col("component").alias("c2"), F.col("sets").alias("two"))
-    met = one.join(two, "key").where("c1 < c2").select("one", "two")
-
-    def opened(sets: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, sizes and points of all sets in some leaves, and where each leaf begins."""
-        rep, n, point = sets.flatten().flatten()
-        sizes, ends = n.to_numpy(), sets.offsets.to_numpy()
-        return rep.to_numpy(), sizes, _counts(point.to_pylist(), sizes), ends - ends[0]
+
+def _near(sets: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of rows whose sets lie in different components and whose points allow the similarity."""
+    rep, component, n = (sets.column(c).to_numpy() for c in ("rep", "component", "n"))
+    points = _Points(sets.column("point").combine_chunks(), n)
+    for a, b in pairs:
+        met = np.flatnonzero((component[a] != component[b]) & _sizes_near(n[a], n[b], percent))
+        a, b = a[met], b[met]
+        kept = points.allow(a, b, percent)
+        a, b = rep[a[kept]], rep[b[kept]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _later(cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with the rows behind it in its cell, about ``_PAIRS`` at a time; the rows are sorted by cell."""
+    behind = np.searchsorted(cells, cells, "right") - np.arange(len(cells)) - 1
+    ends, low = np.cumsum(behind), 0
+    while low < len(cells):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + _PAIRS, "right")))
+        a = np.repeat(np.arange(low, high), behind[low:high])
+        first = ends[low:high] - behind[low:high] - done
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(first, behind[low:high])
+        low = high
+
+
+def _pairs_within(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of one leaf, for leaves of at most ``LEAF`` sets, each in a run of sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            (a, n, p, i), (b, m, q, j) = opened(batch.column("one")), opened(batch.column("two"))
-            single = (np.diff(i) == 1) & (np.diff(j) == 1)
-            left, right = i[:-1][single], j[:-1][single]
-            kept = _enough(np.minimum(p[left], q[right]).sum(axis=1), n[left] + m[right], percent)
-            found_a, found_b = [a[left[kept]]], [b[right[kept]]]
-            for leaf in np.flatnonzero(~single):
-                one, two = slice(i[leaf], i[leaf + 1]), slice(j[leaf], j[leaf + 1])
-                shared = np.minimum(p[one].max(axis=0), q[two].max(axis=0)).sum()
-                if not _enough(shared, n[one].min() + m[two].min(), percent):
-                    continue
-                for row in range(one.start, one.stop):
-                    near = _enough(np.minimum(p[row], q[two]).sum(axis=1), n[row] + m[two], percent)
-                    found_b.append(b[two][near])
-                    found_a.append(np.full(int(near.sum()), a[row], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f), pa.int64()) for f in (found_a, found_b)], ["a", "b"])
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held else table
+            keys = table.column("key").to_numpy()
+            if len(keys):
+                last = int(np.searchsorted(keys, keys[-1], "left"))
+                yield from _near(table.slice(0, last), _later(keys[:last]), percent)
+                held = table.slice(last).combine_chunks()
+        if held:
+            yield from _near(held, _later(held.column("key").to_numpy()), percent)
+
+    rows = members.select("key", "rep", "component", "n", "point").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _in_leaves(members: DataFrame) -> DataFrame:
+    """The sets of large cells in leaves by place, each leaf with its box: ``top`` counts, sizes and components."""
+    first = members.groupBy("key", "component").agg(F.min("place").alias("first"))
+    by_place = numbered(splittable_join(members, first, ["key", "component"]), ["key"], ["first", "component", "rep"])
+    sets = F.collect_list(F.struct("rep", "component", "n", "point")).alias("sets")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("n", "component") for f in (F.min, F.max)]
+    leaves = by_place.groupBy("key", F.floor(F.col("number") / LEAF).alias("leaf")).agg(sets, *ends)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tops = []
+            for sets in batch.column("sets"):
+                n, point = (sets.values.field(c) for c in ("n", "point"))
+                counts = _Points(point, n.to_numpy()).counts(np.arange(len(n)), GROUPS).max(axis=0).astype(np.int64)
+                tops.append(np.where(counts >= _ANY, n.to_numpy().max(), counts))
+            yield batch.append_column("top", pa.array(tops, pa.list_(pa.int64())))
+
+    held = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in leaves.schema)
+    return leaves.mapInArrow(run, f"{held}, top array<bigint>")
+
+
+def _pairs_across(leaves: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of two leaves of one cell whose boxes allow the similarity."""
+    one, two = (leaves.select("key", *(F.col(c).alias(f"{c}_{s}") for c in leaves.columns if c != "key")) for s in "12")
+    met = one.join(two, "key").where("leaf_1 < leaf_2")
+    alike = "min_component_1 = max_component_1 and min_component_2 = max_component_2 and min_component_1 = min_component_2"
+    met = met.where(f"not ({alike})")
+    met = met.where(f"100 * max_n_1 >= {percent} * min_n_2 and 100 * max_n_2 >= {percent} * min_n_1")
+    shared = "aggregate(zip_with(top_1, top_2, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
+    met = met.where(f"100 * {shared} >= {percent} * (min_n_1 + min_n_2 - {shared})").select("sets_1", "sets_2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column("sets_1"), batch.column("sets_2")):
+                sets = pa.concat_tables([pa.Table.from_struct_array(x.values) for x in (one, two)])
+                left, right = len(one), len(two)
+                pairs = np.repeat(np.arange(left), right), left + np.tile(np.arange(right), left)
+                yield from _near(sets, iter([pairs]), percent)
+
+    return met.mapInArrow(run, "a long, b long")
+
 
-    return met.mapInArrow(run, "a long, b long").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets in different components that meet in a cell and whose points allow the similarity.
+
+    ``members`` has (key, size, component, rep, n, place, point) for cells of ``size`` sets in several components.
+    """
+    pairs = _pairs_within(members.where(F.col("size") <= LEAF), percent)
+    large = members.where(F.col("size") > LEAF)
+    if not large.isEmpty():
+        leaves = written(_in_leaves(large), "leaves")
+        inside = leaves.select("key", "leaf", F.inline("sets"))
+        inside = inside.withColumn("key", F.xxhash64("key", "leaf")).drop("leaf")
+        pairs = pairs.unionByName(_pairs_within(inside, percent)).unionByName(_pairs_across(leaves, percent))
+    return pairs.distinct()
 
 
 def _placed(cells: DataFrame, links: DataFrame) -> DataFrame:
@@ -344,10 +466,9 @@ def similar_texts(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFra
 def _similar(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """As ``similar_texts``, where an id has one text."""
     summaries = written(_summaries(docs, width), "summaries")
-    texts = summaries.where("often is null").select("doc_id", "n", "s1", "s2", "point")
-    alike = texts.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
-    classes = written(alike.agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), "classes")
-    rows = splittable_join(texts.select("doc_id", "n", "s1", "s2"), classes.drop("point"), ["n", "s1", "s2"], "left")
+    texts = summaries.where("often is null")
+    classes = texts.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    rows = splittable_join(texts.select("doc_id", "n", "s1", "s2"), classes, ["n", "s1", "s2"], "left")
     rows = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     rows = written(rows, "rows")
 
@@ -360,12 +481,13 @@ def _similar(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
     # The more of a set's first shingles others have too, the more of them can link with it: each set is
     # tried with the best of its cells, and those still apart with the best of another component.
-    points = classes.select("rep", "n", "point")
     sizes = cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     several = splittable_join(cells, sizes, ["key"])
-    scores = several.groupBy("rep").agg(F.sum("size").alias("score")).join(points.select("rep", "n"), "rep")
-    scores = scores.select("rep", (F.col("score") / F.col("n")).alias("score"))
-    cells = written(several.select("key", "rep").join(scores, "rep"), "cells")
+    scores = several.groupBy("rep").agg(F.sum("size").alias("score"))
+    points = texts.select(F.col("doc_id").alias("rep"), "n", "place", "point").join(scores, "rep")
+    points = points.groupBy("rep", "n", "place", (F.col("score") / F.col("n")).alias("score")).agg(F.first("point").alias("point"))
+    points = written(points, "points")
+    cells = written(splittable_join(several.select("key", "rep"), points.select("rep", "score"), ["rep"]), "cells")
     links = cells.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     for _ in range(STARS):
         placed = _placed(cells, links)
@@ -384,8 +506,8 @@ def _similar(docs: DataFrame, percent: int, width: int) -> DataFrame:
         F.bit_xor(F.xxhash64("rep")).alias("h1"),
         F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"),
     )
-    mixed = mixed.where("x != y").groupBy("x", "y", "size", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-    members = splittable_join(placed, mixed, ["key"]).drop("score").join(points, "rep")
+    mixed = mixed.where("x != y").groupBy("x", "y", "size", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
+    members = written(splittable_join(placed, mixed, ["key"]).drop("score").join(points.drop("score"), "rep"), "members")
     rest = _verified(_leaf_pairs(members, percent), docs, percent, width)
 
     parts = connected_components(links.unionByName(rest)).withColumnRenamed("node", "rep")

@@ -197,3 +197,26 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             yield _with_column(batch, out, pa.array(texts, pa.string()))
 
     return df.mapInArrow(run, _schema_with(df, out, T.StringType()))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "ids", back: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` of its ids, by one Python worker a task instead of two. The text is dropped.
+
+    Columns named ``out`` and ``back`` are replaced; nulls and special tokens are treated as in the two steps.
+    """
+    kept = df.drop(out, back)
+    fields = [f for f in kept.schema if f.name != text]
+    ids_type, back_type = T.ArrayType(T.IntegerType()), T.StringType()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_text, text_of = encoder(path).encode_text, vocabulary(path).decode
+        for batch in (part for batch in batches for part in _parts(batch, text, 1)):
+            ids = [np.frombuffer(encode_text(t or ""), "<i4") for t in batch.column(text).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+            texts = pa.array([text_of(i.tolist()) for i in ids], pa.string())
+            columns = [batch.column(f.name) for f in fields]
+            yield pa.RecordBatch.from_arrays([*columns, lists, texts], [*(f.name for f in fields), out, back])
+
+    schema = T.StructType([*fields, T.StructField(out, ids_type), T.StructField(back, back_type)])
+    return kept.mapInArrow(run, schema)

@@ -39,6 +39,10 @@ def test_encoding_equals_the_library_and_decodes(spark, library):
     assert [r.ids for r in found] == library(ODD + ODD)
     assert [r.decoded for r in found] == [t or "" for t in ODD + ODD]
     assert bpe.encode(docs.limit(0), tokenizer_path()).count() == 0
+    both = bpe.round_trip(docs, tokenizer_path())
+    assert both.columns == ["doc_id", "ids", "decoded"] and bpe.round_trip(docs.limit(0), tokenizer_path()).count() == 0
+    again = both.orderBy("doc_id").collect()
+    assert [(r.doc_id, r.ids, r.decoded) for r in again] == [(r.doc_id, r.ids, r.decoded) for r in found]
 
 
 def test_token_file_gives_places_checksums_and_single_ids(spark, library):

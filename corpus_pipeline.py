@@ -37,7 +37,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document of the mix, with digests of the ids and of the text decoded from them."""
     path = tokenizer_path()
     texts = docs.select("doc_id", "lang", "source", "text")
-    return bpe.decode(bpe.encode(texts, path).drop("text"), path).select(
+    return bpe.round_trip(texts, path).select(
         "doc_id",
         "lang",
         "source",

@@ -54,8 +54,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("BPE encoding", encoded),
 ]
 
-#: The estimated rule weights, the verified join and the token ids are beyond SQL; the tests compare
-#: every stage with a brute-force version.
+#: The estimated rule weights, the verified join and the token ids are beyond SQL. The tests compare the
+#: Jaccard stage with brute force and the decoded texts with the documents; the operators have tests of their own.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,13 @@
 
 Words are added up per source, each source gets a target, and target over size is the rate at
 which its documents are repeated: floor(rate) times for certain, and once more with the fraction as
-probability, drawn from a hash of the document so that every run takes the same ones.
+probability, drawn from hashes so that every run takes the same ones.
+
+Independent draws would leave a source of few or unequal documents far off its target. So the draws of a source are
+one systematic sample: its documents are numbered by size and then by hash, and document k is taken once more where
+k * fraction + offset passes a whole number, with an offset in [0, 1) that a hash of seed and source gives. Over the
+seeds each document is taken with just the fraction as probability. As many are taken of the small ones as of the
+large ones, so the words taken miss the target by at most those of the largest document.
 """
 
 from __future__ import annotations
@@ -10,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hashwave.llm.common import WORD, text_or_empty
+from hashwave.llm.common import WORD, text_or_empty, written
+from hashwave.operators.numbering import numbered
 
 SEED = "mix-1"
 WEIGHTS = (3, 1, 2)
@@ -62,33 +69,55 @@ def draw(doc_id: str = "doc_id", text: str | None = None, seed: str = SEED) -> C
     name = F.col(doc_id).cast("string")
     if text:
         name = F.coalesce(name, F.md5(text_or_empty(text)))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(name, F.lit("null"))))
+    return _fraction(F.coalesce(name, F.lit("null")), seed)
+
+
+def _fraction(name: Column, seed: str) -> Column:
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def copies(rate: Column, chance: Column) -> Column:
-    """How often a document is taken."""
-    return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+def sized(df: DataFrame, *columns: str, text: str = "text", seed: str = SEED) -> DataFrame:
+    """``columns``, ``source``, ``size``, ``chance`` and ``key`` of every row, stored; equal rows have equal keys."""
+    rows = df.select(*columns, "source", size(text).alias("size"), draw(text=text, seed=seed).alias("chance"), _key(df).alias("key"))
+    return written(rows, "sizes")
+
+
+def _key(df: DataFrame) -> Column:
+    """Tells rows apart by all columns that can be hashed."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()))
+
+
+def times(rows: DataFrame, seed: str = SEED, **shares) -> DataFrame:
+    """``key``, ``source``, ``source_size``, ``target`` and ``times`` for each different row of ``sized`` rows.
+
+    Equal rows are one document of their words together and are taken alike. Documents are numbered over ranges of
+    source and size, so a hot source covers several tasks.
+    """
+    rates = source_targets(rows.select("source", "size"), **shares).withColumnRenamed("source", "_of")
+    alike = rows.groupBy("key", "source").agg(F.sum("size").alias("size"), F.min("chance").alias("chance"))
+    placed = numbered(alike, ["source"], ["size", "chance", "key"])
+    rated = placed.join(rates, F.col("source").eqNullSafe(F.col("_of")))
+    fraction = F.col("rate") - F.floor("rate")
+    offset = _fraction(F.concat(F.lit("offset:"), F.coalesce("source", F.lit("null"))), seed)
+    passed = lambda k: F.floor(k * fraction + offset)
+    once_more = F.least(passed(F.col("number") + 1) - passed(F.col("number")), F.lit(1))
+    taken = (F.floor("rate") + once_more).cast("long").alias("times")
+    return rated.select("key", "source", "source_size", "target", taken)
 
 
 def mix(df: DataFrame, text: str = "text", seed: str = SEED, **shares) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``df``.
 
-    Needs ``doc_id`` and ``source``. Null sources form one source. Repeated rows are drawn alike. The
-    join by source is broadcast by Spark while the sources are few, and else split where it is
-    skewed, as both sides are shuffled for it.
+    Needs ``doc_id`` and ``source``. Null sources form one source; null and empty texts have no words and are drawn
+    like others; rows without an id are drawn by their text. Repeated rows are one document and are taken alike, and
+    rows that differ in a map column alone count as repeated. Other columns may have any names. An empty table
+    has an empty mix. The words taken of a source miss its target by at most its largest document, whatever its
+    length. The texts are shuffled once, for the join by key, which Spark splits where it is skewed.
     """
-    rates = source_targets(df.select("source", size(text).alias("size")), **shares)
-    held = df.select(
-        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"),
-        F.col("source").alias("_source"),
-        draw(text=text, seed=seed).alias("_chance"),
-    )
-    rated = held.join(rates, held["_source"].eqNullSafe(rates["source"]))
-    times = copies(F.col("rate"), F.col("_chance"))
-    return (
-        rated.withColumn("_times", times)
-        .where("_times > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select("_row.*")
-    )
+    taken = times(sized(df, text=text, seed=seed), seed, **shares).where("times > 0")
+    taken = taken.select(F.col("key").alias("_of"), F.col("source").alias("_from"), "times")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    held = df.select(row, _key(df).alias("_key"), F.col("source").alias("_source"))
+    joined = held.join(taken, (held["_key"] == taken["_of"]) & held["_source"].eqNullSafe(taken["_from"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("_row.*")

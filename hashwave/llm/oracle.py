@@ -25,11 +25,15 @@ with sized as (
 ), targets as (
   select source, source_size, case when top * weight < full_size then top * weight else full_size::double end as target from common
 ), rated as (
-  select *, case when source_size > 0 then target / source_size else 0e0 end as rate from targets
+  select *, case when source_size > 0 then target / source_size else 0e0 end as rate,
+    ('0x' || substr(md5('{SEED}:offset:' || coalesce(source, 'null')), 1, 13))::bigint / 4503599627370496e0 as place
+  from targets
+), numbered as (
+  select *, row_number() over (partition by source order by size, chance) - 1 as number from sized
 )
-select doc_id, size, source_size, target,
-  (size * (floor(rate) + case when chance < rate - floor(rate) then 1 else 0 end))::bigint as taken
-from sized join rated on sized.source is not distinct from rated.source
+select doc_id, size, source_size, target, (size * (floor(rate)
+  + floor((number + 1) * (rate - floor(rate)) + place) - floor(number * (rate - floor(rate)) + place)))::bigint as taken
+from numbered join rated on numbered.source is not distinct from rated.source
 """
 
 # Escaping does not change a text without control strings, so the twin escapes all.

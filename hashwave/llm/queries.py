@@ -77,13 +77,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document."""
-    docs = read_table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", mixing.size().alias("size"), mixing.draw(text="text").alias("chance"))
-    sized = written(sized, "sizes")
-    rates = mixing.source_targets(sized)
-    rated = sized.join(rates.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of")))
-    taken = F.col("size") * mixing.copies(F.col("rate"), F.col("chance"))
-    return rated.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = mixing.sized(docs, "doc_id")
+    taken = mixing.times(rows).withColumnsRenamed({"key": "_of", "source": "_from"})
+    rated = rows.join(taken, (rows["key"] == taken["_of"]) & rows["source"].eqNullSafe(taken["_from"]))
+    return rated.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 #: A conversation whose texts hold the template's own control strings.

@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hashwave.llm.common import written
+from hashwave.llm.common import rows_per_batch, written
 from hashwave.llm.components import connected_components
 from hashwave.llm.shingles import Shingler
 from hashwave.operators.joins import splittable_join
@@ -50,6 +50,8 @@ FREQUENT = 1 << 16
 OFTEN = 5
 _COUNTED = 1 << 20
 _PART_BYTES = 1 << 21
+#: Rows that go to Python at once. A pair of sets may be large, and a batch is held on both sides.
+BATCH = 512
 #: Bits of the two filters that tell a scan which rows matter; a full filter lets rows through.
 KEY_BITS, DOC_BITS = 26, 24
 
@@ -109,13 +111,11 @@ class _Points:
 
     def __init__(self, points: pa.Array, sizes: np.ndarray):
         lengths = pa.compute.binary_length(points).to_numpy(zero_copy_only=False).astype(np.int64)
-        data = np.frombuffer(b"".join(points.to_pylist()), np.uint8)
-        starts = np.cumsum(lengths) - lengths
         self.sizes, self.groups = sizes, 2 * lengths
         self._row, self._tables = np.empty(len(lengths), np.int64), {}
         for groups in np.unique(self.groups).tolist():
             of = np.flatnonzero(self.groups == groups)
-            packed = data[starts[of][:, None] + np.arange(groups // 2)]
+            packed = np.frombuffer(b"".join(points.take(pa.array(of)).to_pylist()), np.uint8).reshape(len(of), groups // 2)
             counts = np.empty((len(of), groups), np.uint8)
             counts[:, ::2], counts[:, 1::2] = packed & 15, packed >> 4
             counts[counts == _MOST] = _ANY
@@ -465,6 +465,12 @@ def similar_texts(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFra
 
 def _similar(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """As ``similar_texts``, where an id has one text."""
+    with rows_per_batch(docs.sparkSession, BATCH):
+        return _components(docs, percent, width)
+
+
+def _components(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """All steps that use Python are run here; what is returned is a join of stored tables."""
     summaries = written(_summaries(docs, width), "summaries")
     texts = summaries.where("often is null")
     classes = texts.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))

@@ -6,15 +6,20 @@ import os
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashwave.session import shared_dir
+from hashwave.sources.files import Folder
 
 #: A word is a run of characters other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: The folders of the tables that ``written`` gave and that are still in use.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
@@ -29,7 +34,17 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _folders[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave and that nothing will read any more; other tables are left alone."""
+    for table in tables:
+        path = _folders.pop(table, None)
+        if path:
+            Folder(table.sparkSession, path).delete("")
 
 
 @contextmanager

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashwave.llm.common import written
+from hashwave.llm.common import discard, written
 from hashwave.operators.joins import splittable_join
 
 
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for all nodes but the smallest of each component.
 
     ``edges`` has two columns of one orderable type; direction, repetition, loops and nulls do not
-    matter. Each round is written to the shared folder, so no lineage grows, and the number of rounds
+    matter. Each round is written to the shared folder in place of the one before, so no lineage grows, and the number of rounds
     grows with the logarithm of the longest path. Minima are aggregated before the shuffle and the
     joins can be split, so a node with very many edges is no bottleneck.
     """
@@ -43,5 +43,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == seen or row.n == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = (row.n, row.h)
+        seen, before = (row.n, row.h), now
         now = written(_small_star(_large_star(now).distinct()), "edges")
+        discard(before)

@@ -21,6 +21,7 @@ that connects is not compared again, so a group of near copies costs no pairs.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hashwave.llm.common import rows_per_batch, written
+from hashwave.llm.common import discard, rows_per_batch, written
 from hashwave.llm.components import connected_components
 from hashwave.llm.shingles import Shingler
 from hashwave.operators.joins import splittable_join
@@ -94,10 +95,10 @@ def _group_counts(shingles: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _point(shingles: np.ndarray) -> bytes:
-    """Group counts in four bits each; the greatest stands for itself and all above."""
+    """Group counts, most of them small and so in Huffman's code; the greatest stands for itself and all above."""
     groups = max(GROUPS, 1 << (len(shingles) - 1).bit_length())
-    counts = np.minimum(_group_counts(shingles, groups), _MOST).astype(np.uint8)
-    return (counts[::2] | counts[1::2] << 4).tobytes()
+    code = zlib.compressobj(1, zlib.DEFLATED, -zlib.MAX_WBITS, strategy=zlib.Z_HUFFMAN_ONLY)
+    return code.compress(np.minimum(_group_counts(shingles, groups), _MOST).astype(np.uint8).tobytes()) + code.flush()
 
 
 def _place(shingles: np.ndarray) -> int:
@@ -110,14 +111,12 @@ class _Points:
     """The points of some sets, with their sizes."""
 
     def __init__(self, points: pa.Array, sizes: np.ndarray):
-        lengths = pa.compute.binary_length(points).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.sizes, self.groups = sizes, 2 * lengths
-        self._row, self._tables = np.empty(len(lengths), np.int64), {}
+        held = [zlib.decompress(point, -zlib.MAX_WBITS) for point in points.to_pylist()]
+        self.sizes, self.groups = sizes, np.array([len(counts) for counts in held], np.int64)
+        self._row, self._tables = np.empty(len(held), np.int64), {}
         for groups in np.unique(self.groups).tolist():
             of = np.flatnonzero(self.groups == groups)
-            packed = np.frombuffer(b"".join(points.take(pa.array(of)).to_pylist()), np.uint8).reshape(len(of), groups // 2)
-            counts = np.empty((len(of), groups), np.uint8)
-            counts[:, ::2], counts[:, 1::2] = packed & 15, packed >> 4
+            counts = np.frombuffer(b"".join([held[i] for i in of.tolist()]), np.uint8).reshape(len(of), groups).copy()
             counts[counts == _MOST] = _ANY
             self._row[of], self._tables[groups] = np.arange(len(of)), counts
 
@@ -288,7 +287,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs whose sets are similar enough. Only sets in pairs leave the scan of the texts."""
+    """The pairs whose sets are similar enough, stored. Only sets in pairs leave the scan of the texts."""
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     sets = written(_sets(docs, width, _bits(ends, DOC_BITS)), "sets")
@@ -305,7 +304,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
             kept = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
-    return written(both.mapInArrow(run, "a long, b long"), "links")
+    links = written(both.mapInArrow(run, "a long, b long"), "links")
+    discard(pairs, sets)
+    return links
 
 
 def _sizes_near(n, m, percent: int):
@@ -485,26 +486,32 @@ def _components(docs: DataFrame, percent: int, width: int) -> DataFrame:
     cells = cells.join(rows.where("rep is not null").select("doc_id", "rep").distinct(), "doc_id").groupBy("key", "rep").agg(F.lit(1).alias("one"))
     cells = written(cells.select("key", "rep"), "cells")
 
+    # Tables are deleted as soon as nothing reads them any more.
     # The more of a set's first shingles others have too, the more of them can link with it: each set is
     # tried with the best of its cells, and those still apart with the best of another component.
     sizes = cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    several = splittable_join(cells, sizes, ["key"])
+    several = written(splittable_join(cells, sizes, ["key"]), "several")
+    discard(cells)
     scores = several.groupBy("rep").agg(F.sum("size").alias("score"))
     points = texts.select(F.col("doc_id").alias("rep"), "n", "place", "point").join(scores, "rep")
     points = points.groupBy("rep", "n", "place", (F.col("score") / F.col("n")).alias("score")).agg(F.first("point").alias("point"))
     points = written(points, "points")
     cells = written(splittable_join(several.select("key", "rep"), points.select("rep", "score"), ["rep"]), "cells")
+    discard(summaries, several)
     links = cells.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     for _ in range(STARS):
         placed = _placed(cells, links)
         best = placed.groupBy("key").agg(F.max_by("rep", "score").alias("b"), F.max_by("component", "score").alias("c"), F.max("score").alias("best"))
         tried = splittable_join(placed, best, ["key"]).where("component != c")
         stars = tried.groupBy(F.col("rep").alias("a")).agg(F.max_by("b", "best").alias("b"))
-        links = written(links.unionByName(_verified(_bounded(stars, points, percent), docs, percent, width)), "links")
+        found, before = _verified(_bounded(stars, points, percent), docs, percent, width), links
+        links = written(links.unionByName(found), "links")
+        discard(placed, found, before)
 
     # What these have not connected meets in leaves. Cells with the same sets, as the shingles of one
     # shared passage make them, are one cell.
     placed = _placed(cells, links)
+    discard(cells)
     mixed = placed.groupBy("key").agg(
         F.min("component").alias("x"),
         F.max("component").alias("y"),
@@ -514,7 +521,9 @@ def _components(docs: DataFrame, percent: int, width: int) -> DataFrame:
     )
     mixed = mixed.where("x != y").groupBy("x", "y", "size", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
     members = written(splittable_join(placed, mixed, ["key"]).drop("score").join(points.drop("score"), "rep"), "members")
+    discard(placed, points)
     rest = _verified(_leaf_pairs(members, percent), docs, percent, width)
+    discard(members)
 
     parts = connected_components(links.unionByName(rest)).withColumnRenamed("node", "rep")
     labelled = splittable_join(rows, parts, ["rep"], "left")
@@ -523,6 +532,19 @@ def _components(docs: DataFrame, percent: int, width: int) -> DataFrame:
     )
 
 
+def _by_bits(held: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``_key`` is surely not among ``keys``, and all others, so that few texts are shuffled for a join.
+
+    A broadcast table of 2**DOC_BITS bits tells, however many keys there are; a full table has all rows asked.
+    """
+    low = F.col("_key").bitwiseAND(F.lit((1 << DOC_BITS) - 1))
+    bit, word = F.expr("shiftleft(1L, cast(_key & 63 as int))"), F.shiftright(low, 6).alias("_word")
+    words = written(keys.select(word, bit.alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_bits")), "words")
+    marked = held.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+    asked = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(~asked).select("_key", "_row"), marked.where(asked).select("_key", "_row")
+
+
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component of texts the smallest id stays.
 
@@ -543,8 +565,10 @@ def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame
         known = splittable_join(rows, best, ["part"]).withColumn("stays", F.col("_key") == F.col("best"))
     known = written(known.select("_key", "copies", "stays"), "known")
     held = docs.select(key.alias("_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    kept = held.join(known.where("not stays or copies > 1").select("_key"), "_key", "left_anti").select("_row.*")
+    taken_out = known.where("not stays or copies > 1").select("_key")
+    alone, asked = _by_bits(held, taken_out)
+    kept = alone.unionByName(asked.join(taken_out, "_key", "left_anti")).select("_row.*")
     repeated = known.where("stays and copies > 1").select("_key")
     if repeated.isEmpty():
         return kept
-    return kept.unionByName(held.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*"))
+    return kept.unionByName(asked.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*"))

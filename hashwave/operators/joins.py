@@ -14,9 +14,10 @@ def splittable_join(
     Spark splits a skewed join partition at run time, but only where both sides were shuffled for
     the join. A side grouped by the join keys would be used as it lies, which keeps a hot key of
     the other side in one task. A second key, derived from the first, makes both sides shuffle
-    for the join; the right side has one row per key, so that costs little.
+    for the join; the right side has one row per key, so that costs little. The second key is one bit, which
+    compresses well.
     """
-    spread = F.xxhash64(*keys)
+    spread = F.xxhash64(*keys).bitwiseAND(F.lit(1))
     return (
         left.withColumn("_spread", spread)
         .join(right.withColumn("_spread", spread), [*keys, "_spread"], how)

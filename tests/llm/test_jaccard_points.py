@@ -1,10 +1,13 @@
 """Points and leaves of the Jaccard join: bounds that hold, and few pairs left to verify."""
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from hashwave.llm import jaccard
+from hashwave import session as spark_session
+from hashwave.llm import common, jaccard
 
 
 def test_points_never_tell_less_than_is_shared():
@@ -61,3 +64,33 @@ def test_few_pairs_below_the_similarity_are_verified(spark, monkeypatch, stars):
     # Of some 80,000 pairs at a similarity of 0.74. Each star tries every set with at most one other.
     assert len(counted) == stars + 1
     assert all(n <= 402 for n in counted[:stars]) and counted[-1] <= 40
+
+
+def test_points_of_small_counts_are_short():
+    rng = np.random.default_rng(5)
+    shingles = np.unique(rng.integers(0, 1 << 63, 500, np.uint64))
+    # Half a byte for each of 512 groups is 256.
+    assert len(jaccard._point(shingles)) < 180
+
+
+def test_tables_are_deleted_as_soon_as_nothing_reads_them(spark, monkeypatch, tmp_path):
+    made = []
+    monkeypatch.setattr(spark_session, "shared_dir", lambda spark, purpose: made.append(f"{tmp_path}/{purpose}-{len(made)}") or made[-1])
+    monkeypatch.setattr(common, "shared_dir", spark_session.shared_dir)
+    texts = passage_texts(60)
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[7] + " tail"])), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.similar_texts(docs).collect()}
+    assert found == {i: i for i in range(60)} | {60: 7}
+    left = {Path(path).name.split("-")[0] for path in made if Path(path).exists()}
+    assert {Path(path).name.split("-")[0] for path in made} >= {"summaries", "cells", "several", "points", "placed", "members", "pairs", "sets"}
+    assert not left & {"summaries", "cells", "several", "points", "placed", "members", "pairs", "sets"}
+    assert "rows" in left
+
+
+def test_only_rows_that_the_bits_name_are_asked(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(-50, 1000)] + [(None, "none")], "_key long, _row string")
+    keys = spark.createDataFrame([(-7,), (12,), (999,), ((1 << jaccard.DOC_BITS) + 40,)], "_key long")
+    alone, asked = jaccard._by_bits(docs, keys)
+    # The last key has the low bits of another row.
+    assert sorted(r._key for r in asked.collect()) == [-7, 12, 40, 999]
+    assert alone.count() == 1051 - 4 and alone.where("_key is null").count() == 1

@@ -12,6 +12,7 @@ serve it. A segment holds whole documents; segments are in ascending document or
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -120,14 +121,20 @@ class DirectCodes:
         return values
 
 
+#: Letters, perhaps after a space, and then marks: two pre-tokens. An apostrophe may begin another.
+_LETTERS_AND_MARKS = re.compile(r"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+
+
 class LetterEncoder(PieceEncoder):
-    """Takes pieces of letters alone for the pre-tokens they are, without the pattern."""
+    """Takes pieces of letters alone, or of ASCII letters and marks, for the pre-tokens they are, without the pattern."""
 
     def _encode_piece(self, piece: str) -> bytes:
         letters = piece.removeprefix(" ")
         # Beyond these scripts, tables of letters may differ.
-        if letters.isalpha() and max(letters) < "\u0500":
+        if letters.isalpha() and (letters.isascii() or max(letters) < "\u0500"):
             return self._words[piece]
+        if two := _LETTERS_AND_MARKS.fullmatch(piece):
+            return self._words[two[1]] + self._words[two[2]]
         return super()._encode_piece(piece)
 
 
@@ -153,10 +160,14 @@ def library_encoder(path: str) -> PieceEncoder:
     special = {t.content: id for id, t in tokenizer.get_added_tokens_decoder().items()}
 
     alphabet = {byte: char for char, byte in byte_alphabet().items()}
-    model = tokenizer.model
+    space, tokenize = alphabet[ord(" ")], tokenizer.model.tokenize
+    ids = [id.to_bytes(4, "little") for id in range(max(tokenizer.get_vocab().values(), default=-1) + 1)]
 
     def encode_word(word: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(word.encode().decode("latin-1").translate(alphabet))])
+        # Of printable ASCII, the byte alphabet changes the space alone.
+        plain = word.isascii() and word.isprintable()
+        text = word.replace(" ", space) if plain else word.encode().decode("latin-1").translate(alphabet)
+        return b"".join([ids[t.id] for t in tokenize(text)])
 
     return LetterEncoder(encode_word, special, most=400_000)
 

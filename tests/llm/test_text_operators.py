@@ -80,6 +80,16 @@ def test_token_files_of_other_tokenizers_are_refused(tmp_path):
             tokenfile.library_encoder.__wrapped__(str(path))
 
 
+def test_letters_and_marks_are_encoded_without_the_pattern(library):
+    texts = ["ab***", " ab,", " Word).", " x#$%&*|", " a-b", " it's", " 'll", " end.'s", " caf\u00e9!", " a1!", " a! b", " \u0111\u00e0,", "a~", " tab\t!"]
+    encoder = tokenfile.library_encoder.__wrapped__(tokenizer_path())
+    assert [np.frombuffer(encoder(text), "<u4").tolist() for text in texts] == library(texts)
+    plain = tokenfile.library_encoder.__wrapped__(tokenizer_path())
+    assert plain("\n") == encoder("\n")  # kept for the end of lines
+    plain._pre_tokens = None
+    assert plain("ab*** cd,") == encoder("ab*** cd,")
+
+
 def test_direct_codes_of_many_levels():
     ids = np.array([0, 255, 256, 65535, 65536, 2**32 - 1, 7] * 300, np.uint32)
     codes = tokenfile.DirectCodes(*tokenfile.DirectCodes.pack(ids))

@@ -4,7 +4,8 @@ Cosine of at least t between two vectors is a chord of at most sqrt(2 - 2t) betw
 Pivots cut the directions into cells of what is nearest to each. A direction is a member of its own
 cell, and a visitor of every other cell that could hold a partner: by the triangle inequality a
 point nearer to pivot c than to pivot h is at least (d(x, c)^2 - d(x, h)^2) / (2 d(c, h)) away from x.
-So each vector finds all its partners within its own cell, and cells are joined independently.
+So each vector finds all its partners within its own cell, and cells are joined independently. Two vectors
+of different cells border on each other's; they are compared in the first of the two cells alone, and count for both.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from hashwave.operators.joins import splittable_join
 
 #: Rounding of a chord; a cosine this close to the threshold is computed again.
 _SLACK = 1e-9
+#: Cosines computed again together.
+_AGAIN = 1 << 14
 
 
 def _directions(vectors: pa.Array) -> np.ndarray:
@@ -93,33 +96,54 @@ def _forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
             rows = found
 
 
+def _linked(a: np.ndarray, b: np.ndarray, cosine: float, step: int) -> np.ndarray:
+    """Which rows of a link with which of b, in double precision.
+
+    Sums in single precision are off by the length times half a unit in the last place at most, and by a little for the
+    rounded components; only cosines that this leaves open are computed in double precision.
+    """
+    off = (a.shape[1] + 8) * 2.0**-24 + _SLACK
+    short, across = a.astype(np.float32), np.ascontiguousarray(b.astype(np.float32).T)
+    linked = np.zeros((len(a), len(b)), bool)
+    for i in range(0, len(a), step):
+        cosines = short[i : i + step] @ across
+        linked[i : i + step] = cosines >= np.float32(cosine + 2 * off)
+        left_open = cosines >= np.float32(cosine - 2 * off)
+        left_open ^= linked[i : i + step]
+        xs, ys = np.nonzero(left_open)
+        for low in range(0, len(xs), _AGAIN):
+            x, y = i + xs[low : low + _AGAIN], ys[low : low + _AGAIN]
+            again = np.einsum("ij,ij->i", a[x], b[y])
+            linked[x, y] = again >= cosine
+            for k in np.flatnonzero(np.abs(again - cosine) < _SLACK):
+                # The sum in one order, whichever side a vector is on.
+                linked[x[k], y[k]] = math.fsum(a[x[k]] * b[y[k]]) >= cosine
+    return linked
+
+
 def _join_block(cosine: float, step: int = 512):
-    """The join of one block: rows at home against members of the cell."""
+    """The join of one block: rows at home against members of the cell. What is found counts for both."""
 
     def run(table: pa.Table) -> pa.Table:
-        at_home = np.array(table.column("at_home").to_pylist(), bool)
+        at_home, neighbour = (np.array(table.column(c).to_pylist(), bool) for c in ("at_home", "neighbour"))
         rep = table.column("rep").to_numpy()
-        weight = table.column("n").to_numpy()
+        weight = table.column("n").to_numpy().astype(np.int64)
         points = _directions(table.column("vector").combine_chunks())
         a, b = np.flatnonzero(at_home), np.flatnonzero(~at_home)
-        linked = np.zeros((len(a), len(b)), bool)
-        for i in range(0, len(a), step):
-            part = a[i : i + step]
-            cosines = points[part] @ points[b].T
-            linked[i : i + step] = cosines >= cosine
-            for x, y in zip(*np.nonzero(np.abs(cosines - cosine) < _SLACK)):
-                # The sum in one order, whichever side a vector is on.
-                linked[i + x, y] = math.fsum(points[part[x]] * points[b[y]]) >= cosine
-        linked &= rep[a][:, None] != rep[b][None, :]
-        links = linked @ weight[b].astype(np.int64)
-        some = np.flatnonzero(links)
-        pairs = [(rep[a[x]], rep[b[y]]) for x, y in _forest(linked)]
-        nodes = [*rep[a[some]].tolist(), *(int(x) for x, _ in pairs)]
+        linked = _linked(points[a], points[b], cosine, step)
+        # Of two vectors at home here, each meets the other.
+        near = np.flatnonzero(~neighbour[b])
+        linked[:, near] &= rep[a][:, None] < rep[b[near]]
+        x, y = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+        linked, a, b = linked[np.ix_(x, y)], a[x], b[y]
+        pairs = [(rep[a[i]], rep[b[j]]) for i, j in _forest(linked)]
+        nodes = [*rep[a].tolist(), *rep[b].tolist(), *(int(x) for x, _ in pairs)]
+        links = [*(linked @ weight[b]).tolist(), *(weight[a] @ linked).tolist()]
         return pa.table(
             {
                 "node": pa.array(nodes, pa.int64()),
-                "links": pa.array([*links[some].tolist(), *[None] * len(pairs)], pa.int64()),
-                "other": pa.array([*[None] * len(some), *(int(y) for _, y in pairs)], pa.int64()),
+                "links": pa.array([*links, *[None] * len(pairs)], pa.int64()),
+                "other": pa.array([*[None] * len(links), *(int(y) for _, y in pairs)], pa.int64()),
             }
         )
 
@@ -155,7 +179,8 @@ def near_duplicates(
     for length, n in sorted(tuple(r) for r in classes.groupBy("length").count().collect()):
         alike = classes.where(F.col("length") == length)
         pivots = _pivots(alike, min(most_pivots, max(1, math.ceil(n / cell_rows))))
-        placed = written(_cells(alike, pivots, math.sqrt(2 - 2 * cosine)), "cells")
+        placed = _cells(alike, pivots, math.sqrt(2 - 2 * cosine))
+        placed = written(placed.withColumn("cells", F.filter("cells", lambda c: c <= F.col("home"))), "cells")
         # One row for each pivot.
         homes = dict(placed.groupBy("home").count().collect())
         members = dict(placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect())
@@ -168,14 +193,14 @@ def near_duplicates(
             placed.withColumn("cell", F.col("home"))
             .withColumn("_h", F.get(home_blocks, F.col("cell")))
             .withColumn("_m", F.get(member_blocks, F.col("cell")))
-            .select("cell", shuffled(1, F.col("_h")).alias("h"), blocks(F.col("_m")).alias("m"), "rep", "n", "vector", F.lit(True).alias("at_home"))
+            .select("cell", shuffled(1, F.col("_h")).alias("h"), blocks(F.col("_m")).alias("m"), "rep", "n", "vector", F.lit(True).alias("at_home"), F.lit(False).alias("neighbour"))
         )
         guests = (
             placed.withColumn("cell", F.explode("cells"))
             .withColumn("_h", F.get(home_blocks, F.col("cell")))
             .withColumn("_m", F.get(member_blocks, F.col("cell")))
             .where("_h > 0")
-            .select("cell", blocks(F.col("_h")).alias("h"), shuffled(2, F.col("_m")).alias("m"), "rep", "n", "vector", F.lit(False).alias("at_home"))
+            .select("cell", blocks(F.col("_h")).alias("h"), shuffled(2, F.col("_m")).alias("m"), "rep", "n", "vector", F.lit(False).alias("at_home"), (F.col("cell") != F.col("home")).alias("neighbour"))
         )
         joined = own.unionByName(guests).groupBy("cell", "h", "m")
         found.append(written(joined.applyInArrow(_join_block(cosine), "node long, links long, other long"), "links"))

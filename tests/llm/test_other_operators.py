@@ -111,3 +111,31 @@ def test_chats_come_back_whatever_they_hold(spark):
         assert list(found[conv].loss) == [t[2] for t in turns if t[1] == "assistant"]
     assert found[3].formatted == "<s>[INST]user[/INST]a</s>" + "<s>[INST]assistant[/INST]b</s>" * 2
     assert chat.format_chats(frame.limit(0)).count() == 0
+
+
+def test_cosines_near_the_threshold_are_decided_in_double_precision():
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(60, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    across = rng.normal(size=(60, 64))
+    across -= (across * a).sum(axis=1, keepdims=True) * a
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    cosines = 0.9 + np.repeat([-1e-4, -1e-7, -1e-8, 1e-8, 1e-7, 1e-4], 10)
+    b = cosines[:, None] * a + np.sqrt(1 - cosines**2)[:, None] * across
+    assert (vectors._linked(a, b, 0.9, 16) == (a @ b.T >= 0.9)).all()
+    assert np.diag(vectors._linked(a, b, 0.9, 16)).tolist() == (cosines >= 0.9).tolist()
+
+
+def test_two_cells_are_joined_in_the_first_of_them_alone(spark, monkeypatch):
+    placed, written = [], vectors.written
+
+    def spy(frame, purpose):
+        table = written(frame, purpose)
+        placed.extend(table.select("home", "cells").collect() if purpose == "cells" else [])
+        return table
+
+    monkeypatch.setattr(vectors, "written", spy)
+    points = np.random.default_rng(6).normal(size=(300, 32))
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    vectors.near_duplicates(frame, cell_rows=30).count()
+    assert len(placed) == 300 and all(row.home in row.cells and max(row.cells) == row.home for row in placed)

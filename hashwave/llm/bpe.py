@@ -139,8 +139,8 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _parts(batch: pa.RecordBatch, column: str, bytes_each: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of about ``_PART_BYTES`` of one column, so that little is worked on at once."""
+def _parts(batch: pa.RecordBatch, column: str, bytes_each: int, most: int = _PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``most`` bytes of one column, so that little is worked on at once."""
     if not batch.num_rows:
         yield batch
     values = batch.column(column)
@@ -149,7 +149,7 @@ def _parts(batch: pa.RecordBatch, column: str, bytes_each: int) -> Iterator[pa.R
     low = 0
     while low < batch.num_rows:
         done = ends[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(ends, done + _PART_BYTES, "right")))
+        high = max(low + 1, int(np.searchsorted(ends, done + most, "right")))
         yield batch.slice(low, high - low)
         low = high
 

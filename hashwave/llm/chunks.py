@@ -11,11 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 
 # White space as Python sees it holds all the white space of the pattern, so a cut made here is
 # one that the tokenizer makes too.
-_NEEDS_CARE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 _BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 
@@ -26,9 +28,8 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 LONGEST_KEPT = 64
 
 
-def pieces(text: str) -> list[str]:
-    """The pieces of a text; all but the first lose the one space that they begin with."""
-    return _CUT.split(text) if _NEEDS_CARE.search(text) else text.split(" ")
+class NoPiece(Exception):
+    """What stands between two spaces is no piece, as white space or nothing follows the first."""
 
 
 def lines(text: str) -> list[str]:
@@ -49,6 +50,8 @@ class PieceCache(dict):
     def __missing__(self, piece: str) -> bytes:
         value = self._old.get(piece)
         if value is None:
+            if self._prefix and (not piece or piece[0].isspace()):
+                raise NoPiece
             value = self._encode(self._prefix + piece)
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= self._most:
@@ -66,7 +69,7 @@ class PieceEncoder:
     """
 
     def __init__(self, encode: Callable[[str], bytes], special: dict[str, int], most: int = 250_000):
-        self._words = PieceCache(encode)
+        self._encode_word, self._words = encode, PieceCache(encode)
         self._pre_tokens = regex.compile(PRE_TOKEN).findall
         self._first = PieceCache(self._encode_piece, "", 50_000)
         self._spaced = PieceCache(self._encode_piece, " ", most)
@@ -74,7 +77,8 @@ class PieceEncoder:
         self._marks = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def __call__(self, text: str) -> bytes:
-        if self._marks is None or not self._marks.search(text):
+        # One search a string is much faster than the pattern, which tries all of them at each character.
+        if not any(name in text for name in self._special):
             return self._plain(text)
         out, end = [], 0
         for mark in self._marks.finditer(text):
@@ -82,6 +86,51 @@ class PieceEncoder:
             end = mark.end()
         return b"".join([*out, self._plain(text[end:])])
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of some texts. A piece is looked up once for all of them, and its ids are copied to its places by array."""
+        marked = {i: self(text) for i, text in enumerate(texts) if any(name in text for name in self._special)}
+        parts = [[] if not text or i in marked else lines(text) for i, text in enumerate(texts)]
+        every = [line for part in parts for line in part]
+        split = pa.compute.split_pattern(pa.array(every, pa.string()), " ")
+        starts = split.offsets.to_numpy()
+        is_first = np.zeros(len(split.values), bool)
+        is_first[starts[:-1]] = True
+        heads = split.values.filter(pa.array(is_first)).to_pylist()
+        spaced = split.values.filter(pa.array(~is_first)).dictionary_encode()
+        names, codes = spaced.dictionary.to_pylist(), spaced.indices.to_numpy()
+
+        # Lines in which white space follows a space are cut otherwise, and are put in whole for their first pieces.
+        no_pieces = np.array([not name or name[0].isspace() for name in names], bool)
+        whole = np.zeros(len(every), bool)
+        if no_pieces.any():
+            line_of = np.repeat(np.arange(len(every)), np.diff(starts) - 1)
+            whole[line_of[no_pieces[codes]]] = True
+            codes = np.where(whole[line_of], len(names), codes)
+            used = np.bincount(codes, minlength=len(names) + 1)[:-1] > 0
+            names = [name if is_used else None for name, is_used in zip(names, used.tolist())]
+        ids = [b"" if name is None else self._spaced[name] for name in names]
+        ids.append(b"")
+        line_break, at = self._first["\n"], 0
+        for part in parts:
+            for i in range(at, at + len(part)):
+                if whole[i]:
+                    head = self._joined(_CUT.split(every[i]))
+                else:
+                    head = self._first[heads[i]] if heads[i] else b""
+                ids.append(line_break + head if i > at else head)
+            at += len(part)
+
+        place = np.empty(len(is_first), np.int64)
+        place[~is_first] = codes
+        place[is_first] = len(names) + 1 + np.arange(len(every))
+        size = np.array([len(i) // 4 for i in ids], np.int64)
+        begin, sizes = np.cumsum(size) - size, size[place]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        from_ = np.repeat(begin[place] - ends[:-1], sizes) + np.arange(ends[-1])
+        out = np.frombuffer(b"".join(ids), "<u4")[from_].tobytes()
+        bounds = 4 * ends[starts[np.cumsum([0, *map(len, parts)])]]
+        return [marked[i] if i in marked else out[a:b] for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist()))]
+
     def _encode_piece(self, piece: str) -> bytes:
         letters = piece.removeprefix(" ")
         if letters.isascii() and letters.isalpha():
@@ -92,6 +141,13 @@ class PieceEncoder:
         return self._first["\n"].join(map(self._line, lines(text))) if text else b""
 
     def _line(self, text: str) -> bytes:
-        first, *spaced = pieces(text)
+        try:
+            return self._joined(text.split(" "))
+        except NoPiece:
+            return self._joined(_CUT.split(text))
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        """The ids of a text cut into pieces; all but the first have lost the one space that they begin with."""
+        first, *spaced = pieces
         head = self._first[first] if first else b""
         return head + b"".join(map(self._spaced.__getitem__, spaced))

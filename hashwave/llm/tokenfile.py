@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hashwave.llm.bpe import byte_alphabet
+from hashwave.llm.bpe import _parts, byte_alphabet
 from hashwave.llm.chunks import PieceEncoder
 from hashwave.llm.common import written
 from hashwave.operators.joins import splittable_join
@@ -33,6 +33,9 @@ CHUNK_BITS = 8
 LEVELS = 4
 RANK_BITS = 512
 
+#: Texts of about so many bytes are encoded together: the more, the more often a piece is met again.
+_TOGETHER = 1 << 23
+
 SEGMENT = T.StructType(
     [
         T.StructField("part", T.IntegerType()),
@@ -122,21 +125,30 @@ class DirectCodes:
 
 
 #: Letters, perhaps after a space, and then marks: two pre-tokens. An apostrophe may begin another.
-_LETTERS_AND_MARKS = re.compile(r"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+_LETTERS_AND_MARKS = re.compile(r" ?([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+
+#: From here on, tables of letters may differ.
+_OTHER_SCRIPTS = "\u0500"
 
 
 class LetterEncoder(PieceEncoder):
-    """Takes pieces of letters alone, or of ASCII letters and marks, for the pre-tokens they are, without the pattern."""
+    """Takes pieces of letters alone, or of letters and marks, for the pre-tokens they are, without the pattern.
+
+    Such a piece is kept once, among the pieces, and its letters with another mark behind them are looked up there.
+    """
 
     def _encode_piece(self, piece: str) -> bytes:
-        letters = piece.removeprefix(" ")
-        # Beyond these scripts, tables of letters may differ.
-        if letters.isalpha() and (letters.isascii() or max(letters) < "\u0500"):
-            return self._words[piece]
-        if two := _LETTERS_AND_MARKS.fullmatch(piece):
-            return self._words[two[1]] + self._words[two[2]]
+        if self._letters(piece.removeprefix(" ")):
+            return self._encode_word(piece)
+        if (two := _LETTERS_AND_MARKS.fullmatch(piece)) and self._letters(two[1]):
+            known = self._spaced if piece[0] == " " else self._first
+            return known[two[1]] + self._words[two[2]]
         return super()._encode_piece(piece)
 
+    @staticmethod
+    def _letters(text: str) -> bool:
+        return text.isalpha() and (text.isascii() or max(text) < _OTHER_SCRIPTS)
+
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> PieceEncoder:
@@ -188,7 +200,7 @@ def write_token_file(
     end = int(end_id).to_bytes(4, "little")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = library_encoder(path)
+        encode_many = library_encoder(path).encode_many
         part, made, first = TaskContext.get().partitionId(), 0, 0
         held, ids, total = [], [], 0
 
@@ -199,9 +211,9 @@ def write_token_file(
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.binary())] * 3]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], SEGMENT.names)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append(encode_text(text.as_py()) + end)
+        for batch in (run for batch in batches for run in _parts(batch, "text", 1, _TOGETHER)):
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), encode_many(batch.column(1).to_pylist())):
+                held.append(encoded + end)
                 ids.append(doc_id)
                 total += len(held[-1]) // 4
                 if total >= segment_ids:

@@ -90,6 +90,19 @@ def test_letters_and_marks_are_encoded_without_the_pattern(library):
     assert plain("ab*** cd,") == encoder("ab*** cd,")
 
 
+def test_texts_are_encoded_together_and_each_piece_once(library):
+    texts = ["", "ab cd, ab", " ab  cd \n\n ab", "ab\ncd\nab ", "cd caf\u00e9! \u00b2! a\u00b2, x_y", " \u00a0ab \tcd", "a<|endoftext|> ab\n", "ab " * 300]
+    encoder = tokenfile.library_encoder.__wrapped__(tokenizer_path())
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_many(texts)] == library(texts)
+    assert encoder.encode_many([]) == [] and encoder.encode_many([""]) == [b""]
+    fresh, asked = tokenfile.library_encoder.__wrapped__(tokenizer_path()), []
+    encode = fresh._spaced._encode
+    fresh._spaced._encode = lambda piece: asked.append(piece) or encode(piece)
+    long = "zzqzzq" * 20  # too long to be kept
+    fresh.encode_many([f"ab {long} {long}", f"{long} {long}"])
+    assert asked == [f" {long}"]
+
+
 def test_direct_codes_of_many_levels():
     ids = np.array([0, 255, 256, 65535, 65536, 2**32 - 1, 7] * 300, np.uint32)
     codes = tokenfile.DirectCodes(*tokenfile.DirectCodes.pack(ids))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashwave.llm import audit, bpe, chat, exact, html, jaccard, merkle, mixing, quality, token_counts, tokenfile, urls, vectors
-from hashwave.llm.common import local_shared_dir, read_table, tokenizer_path, written
+from hashwave.llm.common import local_shared_dir, read_table, rows_per_batch, tokenizer_path, written
 from hashwave.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = "byte_bpe_50k", "byte_bpe_multi_50k"
     files = {version: tokenizer_path(f"{version}.tiktoken") for version in (old, new)}
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    counts = written(token_counts.count_tokens(docs, files), "counts")
+    with rows_per_batch(spark, token_counts.BATCH):
+        counts = written(token_counts.count_tokens(docs, files), "counts")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     labelled = lambda q: counts.join(labels.where(F.col("quality") == q).select("doc_id").distinct(), "doc_id", "left_semi")
     batches = {

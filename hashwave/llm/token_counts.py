@@ -10,31 +10,37 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashwave.llm.chunks import PRE_TOKEN, PieceEncoder
+from hashwave.llm.bpe import _parts
+from hashwave.llm.chunks import PRE_TOKEN, PieceCounter
 from hashwave.sources.commits import CommitLog, Piece, batch_id
 
 KEYS = ["source", "lang", "tokenizer"]
 VALUES = ["n_docs", "n_tokens"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
+#: Rows sent to Python at once where ``rows_per_batch`` sets it, as texts may be long.
+BATCH = 1024
+
 
 @lru_cache(maxsize=4)
-def rank_encoder(path: str) -> PieceEncoder:
-    """Encodes by a rank file of the tiktoken library; such a file has no special tokens."""
+def rank_counter(paths: tuple[str, ...]) -> PieceCounter:
+    """Counts by rank files of the tiktoken library, one per Python worker; such files have no special tokens."""
     import tiktoken
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    encoding = tiktoken.Encoding("ranks", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
-    return PieceEncoder(lambda piece: np.array(encoding.encode_ordinary(piece), "<u4").tobytes(), {})
+    def count(path: str) -> Callable[[str], int]:
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        encoding = tiktoken.Encoding("ranks", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+        return lambda word: len(encoding.encode_ordinary(word))
+
+    return PieceCounter([count(path) for path in paths])
 
 
 def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text: str = "text") -> DataFrame:
@@ -47,10 +53,10 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text: str = "text"
     others = [f for f in docs.schema if f.name != text and f.name not in {f"n_{v}" for v in versions}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = [rank_encoder(tokenizers[v]) for v in versions]
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            counts = [pa.array([len(encode(t)) // 4 for t in texts], pa.int64()) for encode in encoders]
+        count = rank_counter(tuple(tokenizers[v] for v in versions)).per_tokenizer
+        for batch in (part for batch in batches for part in _parts(batch, text, 1)):
+            rows = [count(t or "") for t in batch.column(text).to_pylist()]
+            counts = [pa.array([row[i] for row in rows], pa.int64()) for i in range(len(versions))]
             names = [f.name for f in others]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), *counts], [*names, *(f"n_{v}" for v in versions)]
@@ -89,10 +95,12 @@ class TokenRollup:
 
     Null sources and languages are keys like others. Deleting what was never inserted gives
     negative totals rather than an error, as batches may arrive in any order. Several writers may commit at once.
+    A batch is added up by ``parts`` tasks at most and stored in as many files, however many shuffle partitions the session
+    has: its rows are as many as its keys. Many millions of sources want more parts.
     """
 
-    def __init__(self, spark: SparkSession, path: str, fold_every: int = 32):
-        self._spark, self._path, self._fold_every = spark, path.rstrip("/"), fold_every
+    def __init__(self, spark: SparkSession, path: str, fold_every: int = 32, parts: int = 6):
+        self._spark, self._path, self._fold_every, self._parts = spark, path.rstrip("/"), fold_every, parts
         self._log = CommitLog(spark, f"{self._path}/log")
 
     def commit(self, changes: DataFrame, batch: str) -> bool:
@@ -126,9 +134,8 @@ class TokenRollup:
     def _attempts(state) -> list[str]:
         return [piece.attempt for piece in state.pieces.get("totals", [])]
 
-    @staticmethod
-    def _added_up(changes: DataFrame) -> DataFrame:
-        return changes.groupBy(*KEYS).agg(*(F.sum(v).alias(v) for v in VALUES))
+    def _added_up(self, changes: DataFrame) -> DataFrame:
+        return changes.groupBy(*KEYS).agg(*(F.sum(v).alias(v) for v in VALUES)).coalesce(self._parts)
 
     def _stored(self, rows: DataFrame) -> str:
         """A new folder with the rows. No reader looks into it before it is in the log."""

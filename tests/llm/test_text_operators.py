@@ -359,6 +359,46 @@ def test_token_totals_equal_the_library(spark, tmp_path):
     assert token_counts.TokenRollup(spark, str(tmp_path / "none")).totals().count() == 0
 
 
+def test_rollup_folders_have_few_files(spark, tmp_path):
+    """Each file written by Hadoop's local file system starts a process; a folder has as many as there are parts, not shuffle partitions."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    for name, value in held.items():
+        spark.conf.set(name, value)
+    try:
+        docs = spark.range(400).select(F.concat(F.lit("s"), F.pmod("id", F.lit(100))).alias("source"), F.lit("en").alias("lang"), F.col("id").alias("n"))
+        rollup = token_counts.TokenRollup(spark, str(tmp_path / "files"), parts=3)
+        for batch in ("1", "2"):
+            assert rollup.commit(token_counts.inserts(docs, "v1", "n"), batch)
+        rollup.compact()
+        folders = list((tmp_path / "files" / "data").iterdir())
+        assert len(folders) == 3 and all(1 <= len(list(f.glob("part-*"))) <= 3 for f in folders)
+        found = {r.source: (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+        assert found == {f"s{i}": (8, 2 * (4 * i + 600)) for i in range(100)}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_one_counter_counts_for_all_tokenizers():
+    """Against the library on whole texts; a piece is counted once for both files, and pieces are bounded by number."""
+    import base64
+
+    import tiktoken
+
+    files = tuple(tokenizer_path(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k"))
+    texts = ["", " ", "\n", "a\n\nb", " \t x\r\n\n y  ", "x" * 300, "ab1" * 99, "\n " * 50 + "é", "don't it's", "漢字 " * 70, "a" * 64 + " " + "b." * 33, "z\x1c q\u2028w"]
+    texts += [f"word{i} rare {i},{i}" for i in range(500)]
+    counter = token_counts.rank_counter(files)
+    small = token_counts.PieceCounter(counter._counts, most=50)
+    for n, path in enumerate(files):
+        ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in open(path, "rb"))}
+        encoding = tiktoken.Encoding("whole", pat_str=token_counts.PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+        whole = [len(encoding.encode_ordinary(t)) for t in texts]
+        assert [counter.per_tokenizer(t)[n] for t in texts] == whole == [small.per_tokenizer(t)[n] for t in texts]
+    assert len(small._spaced) <= 50 and len(small._spaced._old) <= 50
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class="ad">Buy this, now. It is cheap, and good.</div>
 <article><h1>The &amp; title</h1><p>First paragraph, with <b>bold</b> and <a href=x>a link</a>. It goes
